@@ -18,53 +18,29 @@ def number_text(column: Column) -> Column:
     """A double in its shortest form: 45.0, 0.3, 123456789.0, 1e-05, 1e+16.
 
     Plain decimals from 1e-4 up to below 1e16, an exponent of at least two digits elsewhere.
-    Spark writes an exponent below 1e-3 and from 1e7 on; only those values are rewritten.
+    Spark's own text is already that for values from 1e-3 up to below 1e7, so most values take
+    the first branch; for the others it is rewritten.
     """
     column = column.cast("double")
-    plain = _fewest_digits(column)
-    size = F.ltrim(plain, F.lit("-"))
-    sign = F.when(F.startswith(plain, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    exponent = F.substring_index(size, "E", -1).try_cast("int")
-    digits = F.rtrim(
-        F.replace(F.substring_index(size, "E", 1), F.lit("."), F.lit("")), F.lit("0")
-    )
-    places = exponent + 1
-    large = F.when(
-        F.length(digits) <= places,
-        F.concat(F.rpad(digits, places, F.lit("0")), F.lit(".0")),
-    ).otherwise(F.concat(F.left(digits, places), F.lit("."), F.substr(digits, places + 1)))
-    small = F.concat(F.lit("0.000"), digits)
-    fraction = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2))))
-    power = F.concat(
-        F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit("")),
-        F.abs(exponent).cast("string"),
-    )
-    scientific = F.concat(
-        F.left(digits, F.lit(1)), F.coalesce(fraction, F.lit("")), F.lit("e"), power
+    size, own = F.abs(column), column.cast("string")
+    # A few doubles come out of older Java versions with a digit too many.
+    sixteen_digits = F.format_string("%.15e", column)
+    short = F.when(
+        (F.length(own) >= 18) & (sixteen_digits.try_cast("double") == column), sixteen_digits
+    ).otherwise(own)
+    # 17 digits before and 21 after the point hold every double of this range exactly.
+    plain = F.regexp_replace(
+        short.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0*$", "$1"
     )
-    return F.when(~F.contains(plain, F.lit("E")), plain).otherwise(
-        F.concat(
-            sign,
-            F.when(exponent.between(7, 15), large)
-            .when(exponent == -4, small)
-            .otherwise(scientific),
-        )
+    bare = F.regexp_replace(short, r"\.?0*[eE]\+?", "e")
+    signed = F.regexp_replace(bare, r"e(\d)", "e+$1")
+    scientific = F.regexp_replace(signed, r"([+-])(\d)$", "$10$2")
+    usual = ((size >= 1e-3) & (size < 1e7) & (F.length(own) < 18)) | (size == 0)
+    return (
+        F.when(usual, own).when((size >= 1e-4) & (size < 1e16), plain).otherwise(scientific)
     )
 
 
-def _fewest_digits(column: Column) -> Column:
-    """Spark's own text, or one digit less where that still reads back as the same number."""
-    own = column.cast("string")
-    shorter = F.format_string("%.15e", column).try_cast("double").cast("string")
-    return F.when(
-        (F.length(own) >= 18)
-        & (F.length(shorter) < F.length(own))
-        & (shorter.try_cast("double") == column),
-        shorter,
-    ).otherwise(own)
-
-
 def value_text(column: Column, data_type: T.DataType) -> Column:
     """A value as text, NULL for a missing one."""
     clean = normalized(column, data_type)

@@ -105,11 +105,9 @@ def drop_consecutive(
     in the log.
     """
     previous = with_previous(log, order, values, within, ids_per_group)
-    first = (
-        F.lit(False)
-        if latest is None
-        else F.struct(*values).eqNullSafe(F.struct(*map(F.lit, latest)))
-    )
+    first = F.lit(latest is not None)
+    for name, value in zip(values, latest or ()):
+        first = first & F.col(name).eqNullSafe(F.lit(value))
     repeated = F.when(F.col("_previous").isNull(), first).otherwise(
         F.col("_previous").eqNullSafe(F.struct(*values))
     )

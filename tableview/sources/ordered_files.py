@@ -27,8 +27,9 @@ BROADCAST_RUNS = 200_000
 SLICES = 32
 SLICE_ROWS = 65_536
 
-_FILE = F.col("_metadata.file_path")
-_POSITION = F.col("_metadata.row_index")
+# Hidden columns of a Parquet scan: the file a row lies in and its position there.
+FILE = "_metadata.file_path"
+POSITION = "_metadata.row_index"
 
 
 @dataclass(frozen=True)
@@ -77,11 +78,11 @@ class OrderedFiles:
         """Every run in row order, from one grouped count over footers (and run columns)."""
         keys = [F.col(name) for name in self.source or ()]
         counted = (
-            self.frame.groupBy(_FILE.alias("file"), *keys)
+            self.frame.groupBy(F.col(FILE).alias("file"), *keys)
             .agg(
                 F.count(F.lit(1)).alias("rows"),
                 F.max("_metadata.file_size").alias("bytes"),
-                *([F.min(_POSITION).alias("position")] if keys else []),
+                *([F.min(F.col(POSITION)).alias("position")] if keys else []),
             )
             .toArrow()
             .to_pylist()
@@ -122,21 +123,21 @@ class OrderedFiles:
     def numbered(self, name: str, base: int = 0) -> DataFrame:
         """All rows with their number; `base` is the number of the first row."""
         if self.single_file:
-            return self.frame.withColumn(name, _POSITION + F.lit(base))
+            return self.frame.withColumn(name, F.col(POSITION) + F.lit(base))
         return self.placed(self.frame, self.runs, name, base)
 
     def between(self, start: int, stop: int, name: str, base: int = 0) -> DataFrame:
         """Rows start <= row < stop (counted from 0); only the files that hold them are read."""
         if self.single_file:
-            frame = self.frame.filter((_POSITION >= start) & (_POSITION < stop))
-            return frame.withColumn(name, _POSITION + F.lit(base))
+            frame = self.frame.filter((F.col(POSITION) >= start) & (F.col(POSITION) < stop))
+            return frame.withColumn(name, F.col(POSITION) + F.lit(base))
         runs = self._covering(start, stop)
         if not runs:
             return self.frame.filter(F.lit(False)).withColumn(name, F.lit(0).cast("bigint"))
         frame = self.frame
         files = {run.file for run in runs}
         if len(files) < len({run.file for run in self.runs}):
-            frame = frame.filter(_FILE.isin(*files))
+            frame = frame.filter(F.col(FILE).isin(*files))
         number = F.col(f"`{name}`")
         return self.placed(frame, runs, name, base).filter(
             (number >= start + base) & (number < stop + base)
@@ -150,7 +151,7 @@ class OrderedFiles:
 
     def placed(self, frame: DataFrame, runs: list[Run], name: str, base: int) -> DataFrame:
         if len(runs) == 1 and not self.source:
-            return frame.withColumn(name, _POSITION + F.lit(runs[0].first + base))
+            return frame.withColumn(name, F.col(POSITION) + F.lit(runs[0].first + base))
         table = pa.table(
             {
                 "_run_file": pa.array([run.file for run in runs], pa.string()),
@@ -164,7 +165,7 @@ class OrderedFiles:
             }
         )
         shifts = self.spark.createDataFrame(table)
-        located = frame.withColumns({"_run_file": _FILE, "_run_position": _POSITION})
+        located = frame.withColumns({"_run_file": F.col(FILE), "_run_position": F.col(POSITION)})
         keys = ["_run_file"]
         for i, column in enumerate(self.source or ()):
             located = located.withColumn(f"_run_{i}", F.col(column))
