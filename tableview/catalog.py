@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,9 +86,9 @@ class Variable:
     @property
     def value(self) -> Column:
         """The cleaned value under the variable's own name, its description kept."""
-        raw = self.raw
+        raw, known = self.raw, self.field_metadata()
         clean = normalized(raw, self.data_type)
-        return raw if clean is raw else clean.alias(self.name, metadata=self.field_metadata())
+        return raw if clean is raw and not known else clean.alias(self.name, metadata=known)
 
     @property
     def operand(self) -> Column:
@@ -126,21 +127,21 @@ class Catalog:
         self._by_folded_name = {variable.name.upper(): variable for variable in variables}
 
     @classmethod
-    def of(cls, schema: T.StructType) -> Catalog:
-        return cls(
-            [
-                Variable(
-                    name=field.name,
-                    kind=kind_of(field.dataType),
-                    data_type=field.dataType,
-                    label=str(field.metadata.get(LABEL_KEY, "")),
-                    length=field.metadata.get(LENGTH_KEY),
-                    format=str(field.metadata.get(FORMAT_KEY, "")),
-                )
-                for field in schema.fields
-                if field.name != SOURCE_ROW
-            ]
-        )
+    def of(cls, schema: T.StructType, described: Mapping[str, dict] | None = None) -> Catalog:
+        """From a schema and its field metadata; `described` adds to what the fields say."""
+
+        def variable(field: T.StructField) -> Variable:
+            known = {**field.metadata, **(described or {}).get(field.name, {})}
+            return Variable(
+                name=field.name,
+                kind=kind_of(field.dataType),
+                data_type=field.dataType,
+                label=str(known.get(LABEL_KEY, "")),
+                length=known.get(LENGTH_KEY),
+                format=str(known.get(FORMAT_KEY, "")),
+            )
+
+        return cls([variable(field) for field in schema.fields if field.name != SOURCE_ROW])
 
     @property
     def names(self) -> list[str]:
@@ -164,14 +165,6 @@ class Catalog:
         return name in self._by_name
 
 
-def describe(frame: DataFrame, described: dict[str, dict]) -> DataFrame:
-    """Attach labels, lengths and formats: {"AGE": {"label": "Age", "length": 8}}."""
-    for name, values in described.items():
-        known = frame.schema[name].metadata
-        frame = frame.withMetadata(name, {**known, **values})
-    return frame
-
-
 def contents(
     spark: SparkSession, frame: DataFrame, catalog: Catalog, search: str = ""
 ) -> DataFrame:

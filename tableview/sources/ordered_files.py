@@ -138,7 +138,7 @@ class OrderedFiles:
         files = {run.file for run in runs}
         if len(files) < len({run.file for run in self.runs}):
             frame = frame.filter(F.col(FILE).isin(*files))
-        number = F.col(f"`{name}`")
+        number = F.col(name)
         return self.placed(frame, runs, name, base).filter(
             (number >= start + base) & (number < stop + base)
         )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableview import storage
-from tableview.catalog import SOURCE_ROW, Catalog, contents, describe
+from tableview.catalog import SOURCE_ROW, Catalog, contents, quoted
 from tableview.errors import IncompleteTableError
 from tableview.sources.ordered_files import OrderedFiles
 
@@ -56,7 +56,7 @@ class Table:
         known = [name for name in self.catalog.names if name in kept]
         return frame.select(
             *[F.col(name) for name in order],
-            *[F.col(f"`{name}`") for name in known],
+            *[quoted(name) for name in known],
             *[column.alias(name) for name, column in self.derive.items()],
         )
 
@@ -166,10 +166,10 @@ def table_of(
     derive = dict(derive or {})
     visible = [c for c in frame.columns if c not in (SOURCE_ROW, *(origin or ()))]
     shaped = frame.select(
-        *[F.col(f"`{name}`") for name in visible if name not in derive],
+        *[quoted(name) for name in visible if name not in derive],
         *[column.alias(name) for name, column in derive.items()],
     )
-    catalog = Catalog.of(describe(shaped, dict(described or {})).schema)
+    catalog = Catalog.of(shaped.schema, described)
     return Table(spark, path, frame, catalog, files, derive, complete, expected_rows)
 
 
