@@ -18,26 +18,23 @@ def number_text(column: Column) -> Column:
     """A double in its shortest form: 45.0, 0.3, 123456789.0, 1e-05, 1e+16.
 
     Plain decimals from 1e-4 up to below 1e16, an exponent of at least two digits elsewhere.
-    Spark's own text is already that for values from 1e-3 up to below 1e7, so most values take
-    the first branch; for the others it is rewritten.
+    Spark's own text is already that from 1e-3 up to below 1e7, which is where most values
+    lie. The rest is kept to few expressions: a generated method beyond 8,000 bytes of code is
+    never compiled by the JVM.
     """
     column = column.cast("double")
     size, own = F.abs(column), column.cast("string")
-    # A few doubles come out of older Java versions with a digit too many.
-    sixteen_digits = F.format_string("%.15e", column)
-    short = F.when(
-        (F.length(own) >= 18) & (sixteen_digits.try_cast("double") == column), sixteen_digits
-    ).otherwise(own)
-    # 17 digits before and 21 after the point hold every double of this range exactly.
-    plain = F.regexp_replace(
-        short.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0*$", "$1"
+    # 17 digits before and 21 after the point hold the text of every double of this range.
+    digits = F.rtrim(own.cast("decimal(38,21)").cast("string"), F.lit("0"))
+    plain = F.regexp_replace(digits, r"\.$", ".0")
+    bare = F.regexp_replace(own, r"(\.0)?E(?!-)", "e+")
+    scientific = F.regexp_replace(
+        F.regexp_replace(bare, r"(\.0)?E", "e"), r"([+-])(\d)$", "$10$2"
     )
-    bare = F.regexp_replace(short, r"\.?0*[eE]\+?", "e")
-    signed = F.regexp_replace(bare, r"e(\d)", "e+$1")
-    scientific = F.regexp_replace(signed, r"([+-])(\d)$", "$10$2")
-    usual = ((size >= 1e-3) & (size < 1e7) & (F.length(own) < 18)) | (size == 0)
     return (
-        F.when(usual, own).when((size >= 1e-4) & (size < 1e16), plain).otherwise(scientific)
+        F.when(size.between(1e-3, 9999999.999999998) | (size == 0), own)
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .otherwise(scientific)
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableview.catalog import SOURCE_ROW, VIEW_ROW, quoted
@@ -210,10 +210,9 @@ class View:
         if plain or self.sort in self._known or offset + limit > TOP_ROWS:
             return self.slice(offset, offset + limit).orderBy(VIEW_ROW).limit(limit)
         top = self._sortable().orderBy(*self.order()).offset(offset).limit(limit)
-        # The window sees one page of rows, never the table.
-        position = F.row_number().over(Window.orderBy(*self.order())) - F.lit(1)
-        numbered = top.withColumn(VIEW_ROW, F.lit(offset).cast("bigint") + position)
-        return numbered.select(VIEW_ROW, *map(quoted, columns))
+        # A global limit leaves one sorted partition, so the ids on it count 0, 1, 2, ...
+        position = F.lit(offset).cast("bigint") + F.monotonically_increasing_id()
+        return top.withColumn(VIEW_ROW, position).select(VIEW_ROW, *map(quoted, columns))
 
     def slice(self, start: int, stop: int, columns: tuple[str, ...] | None = None) -> DataFrame:
         """Rows start <= row < stop (from 0) of the given or all visible columns."""

@@ -16,6 +16,9 @@ from tableview.plans.registry import Query, opened, view
 from tableview.sources.table import open_table, snapshot, table_of
 from tableview.streaming.ingest import ingest
 
+# Rows of a batch of a progressive load: the first of them is visible at once.
+CHUNK_ROWS = 20_000
+
 CUSTOMER = {
     "c_custkey": {"label": "Customer key", "length": 8, "format": "12."},
     "c_name": {"label": "Customer name", "format": "$25."},
@@ -51,7 +54,7 @@ def source_row_of_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Row numbers over a folder of many files, the order of which is given by their names."""
     copy = storage.new_path(spark, "parts")
     ordered = opened(spark, folder, "orders").with_source_row.orderBy(SOURCE_ROW)
-    ordered.drop(SOURCE_ROW).write.option("maxRecordsPerFile", 1_000).parquet(copy)
+    ordered.drop(SOURCE_ROW).write.option("maxRecordsPerFile", 5_000).parquet(copy)
     return open_table(spark, copy).with_source_row
 
 
@@ -86,8 +89,8 @@ def snapshot_orders(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot(opened(spark, folder, "orders")).with_source_row
 
 
-def loaded_events(spark: SparkSession, folder: str):
-    source = snapshot(opened(spark, folder, "events"), rows_per_file=2_000)
+def loaded_events(spark: SparkSession, folder: str, rows_per_file: int = CHUNK_ROWS):
+    source = snapshot(opened(spark, folder, "events"), rows_per_file)
     load = ingest(source, files_per_batch=1)
     load.wait()
     return load
@@ -173,7 +176,7 @@ FROM events""",
         lambda spark, folder: loaded_events(spark, folder).table().with_source_row, EVENTS_SQL
     ),
     "ingest_status": Query(
-        lambda spark, folder: loaded_events(spark, folder).status_frame(),
+        lambda spark, folder: loaded_events(spark, folder, 2_500).status_frame(),
         """
 SELECT count(*) AS cached_rows, count(*) AS total_rows, true AS complete FROM events""",
     ),
