@@ -27,10 +27,14 @@ def number_text(column: Column) -> Column:
     # 17 digits before and 21 after the point hold the text of every double of this range.
     digits = F.rtrim(own.cast("decimal(38,21)").cast("string"), F.lit("0"))
     plain = F.regexp_replace(digits, r"\.$", ".0")
-    bare = F.regexp_replace(own, r"(\.0)?E(?!-)", "e+")
-    scientific = F.regexp_replace(
-        F.regexp_replace(bare, r"(\.0)?E", "e"), r"([+-])(\d)$", "$10$2"
+    # From 1e16 on older Java versions may print a digit too many.
+    sixteen_digits = F.format_string("%.15e", column)
+    excess = (size >= 1e16) & (F.length(own) > 20) & (sixteen_digits.try_cast("double") == column)
+    bare = F.regexp_replace(
+        F.when(excess, sixteen_digits).otherwise(own), r"\.?0*[eE]\+?", "e"
     )
+    signed = F.regexp_replace(bare, r"e(\d)", "e+$1")
+    scientific = F.regexp_replace(signed, r"([+-])(\d)$", "$10$2")
     return (
         F.when(size.between(1e-3, 9999999.999999998) | (size == 0), own)
         .when((size >= 1e-4) & (size < 1e16), plain)

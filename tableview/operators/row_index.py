@@ -1,9 +1,9 @@
 """Row numbers of a view.
 
-A sorted or filtered view is written once, in order, as Parquet in the shared folder. The
-position of a row in those files is its number, so numbering needs no global window, any range
-of rows means reading just the files that hold it, and a lost executor costs nothing: the order
-was fixed when the files were committed, not when a range partitioning happened to be sampled.
+A sorted or filtered view is written once as Parquet in the shared folder. Where a row lies in
+those files tells its number, so numbering needs no global window, any range of rows means
+reading just the files that hold it, and a lost executor costs nothing: the order was fixed when
+the files were committed, not when a range partitioning happened to be sampled.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tableview import storage
 from tableview.catalog import SOURCE_ROW, VIEW_ROW, quoted
 from tableview.sources.ordered_files import OrderedFiles
-from tableview.sources.table import ROWS_PER_FILE, Table, publish
+from tableview.sources.table import ORIGIN_BLOCK, ORIGIN_FILE, ROWS_PER_FILE, Table, publish
 
 
 @dataclass(frozen=True)
@@ -59,9 +59,27 @@ def source_index(table: Table, columns: tuple[str, ...]) -> RowIndex:
 
 def sorted_index(spark: SparkSession, ordered: DataFrame, columns: tuple[str, ...]) -> RowIndex:
     """Write an ordered frame and number its rows by where they lie."""
+    return _written_index(spark, ordered, columns, None)
+
+
+def filtered_index(spark: SparkSession, kept: DataFrame, columns: tuple[str, ...]) -> RowIndex:
+    """Write the rows of a condition in source order, without a shuffle.
+
+    Each task writes the rows of the blocks it reads as it finds them, marked with file and
+    block; the order of the blocks is that of the source.
+    """
+    return _written_index(spark, kept, columns, (ORIGIN_FILE, ORIGIN_BLOCK))
+
+
+def _written_index(
+    spark: SparkSession,
+    frame: DataFrame,
+    columns: tuple[str, ...],
+    origin: tuple[str, str] | None,
+) -> RowIndex:
     path = storage.new_path(spark, "index")
-    publish(ordered, path, ROWS_PER_FILE)
-    files = OrderedFiles(spark, spark.read.schema(ordered.schema).parquet(path))
+    publish(frame, path, ROWS_PER_FILE)
+    files = OrderedFiles(spark, spark.read.schema(frame.schema).parquet(path), origin)
     return RowIndex(
         columns,
         lambda: files.numbered(VIEW_ROW),

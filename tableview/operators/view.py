@@ -15,8 +15,8 @@ from tableview.catalog import SOURCE_ROW, VIEW_ROW, quoted
 from tableview.errors import ColumnSelectionError
 from tableview.functions.conditions import Condition, any_contains
 from tableview.functions.text import csv_line, display_text
-from tableview.operators.row_index import RowIndex, sorted_index, source_index
-from tableview.sources.ordered_files import sorted_rows
+from tableview.operators.row_index import RowIndex, filtered_index, sorted_index, source_index
+from tableview.sources.ordered_files import scan_partitions, sorted_rows
 from tableview.sources.table import Table
 
 # Rows per page, the usual number and the bounds it is kept within.
@@ -24,8 +24,9 @@ PAGE_ROWS = 500
 LEAST_PAGE_ROWS = 50
 MOST_PAGE_ROWS = 5_000
 
-# Up to this row a page is a top-k over the view; pages further down come from the row index.
-TOP_ROWS = 20_000
+# A page is a top-k over the view as long as this many rows, the candidates of all tasks
+# together, reach the task that picks the page. Pages further down come from the row index.
+TOP_CANDIDATES = 10_000_000
 
 
 def page_rows(wanted: int = PAGE_ROWS) -> int:
@@ -187,17 +188,28 @@ class View:
         """The view's row numbers, counted from 0; made once per condition and sort.
 
         Unfiltered in source order they follow from the table. Otherwise the visible columns
-        are written once in view order; hiding columns later does not make it stale.
+        are written once, which needs a shuffle only for a sort; hiding columns later does not
+        make the index stale.
         """
         columns = self._visible()
         if self.condition is None and self.sort is None:
             return source_index(self.table, columns)
         known = self._known.get(self.sort)
         if known is None or not set(columns) <= set(known.columns):
-            known = sorted_index(self.table.spark, self.ordered(), columns)
+            located = self.table.located if self.sort is None else None
+            if located is None:
+                known = sorted_index(self.table.spark, self.ordered(), columns)
+            else:
+                kept = self.table.clean(self._kept(located), columns)
+                known = filtered_index(self.table.spark, kept, columns)
             self._known[self.sort] = known
         return known.showing(columns)
 
+    def release(self) -> None:
+        """Delete the indexes this view has written."""
+        for key in [key for key in self._known if key != "count"]:
+            self._known.pop(key).drop()
+
     def view_rows(self) -> DataFrame:
         """Every row with `_view_row`, its 0-based position in the view."""
         self.table.require_complete("numbering the view")
@@ -207,12 +219,20 @@ class View:
         """`limit` rows from row `offset` on, in order, with `_view_row`."""
         columns = self._visible()
         plain = self.condition is None and self.sort is None
-        if plain or self.sort in self._known or offset + limit > TOP_ROWS:
+        tasks = self._top_tasks()
+        if plain or self.sort in self._known or tasks * (offset + limit) > TOP_CANDIDATES:
             return self.slice(offset, offset + limit).orderBy(VIEW_ROW).limit(limit)
-        top = self._sortable().orderBy(*self.order()).offset(offset).limit(limit)
+        ranked = self._sortable().coalesce(tasks).orderBy(*self.order())
         # A global limit leaves one sorted partition, so the ids on it count 0, 1, 2, ...
         position = F.lit(offset).cast("bigint") + F.monotonically_increasing_id()
-        return top.withColumn(VIEW_ROW, position).select(VIEW_ROW, *map(quoted, columns))
+        page = ranked.offset(offset).limit(limit).withColumn(VIEW_ROW, position)
+        return page.select(VIEW_ROW, *map(quoted, columns))
+
+    def _top_tasks(self) -> int:
+        """Tasks of a top-k: enough to keep every core busy, not one per block of a huge scan."""
+        spark = self.table.spark
+        scanned = scan_partitions(spark, self.table.source_bytes)
+        return min(scanned, 2 * spark.sparkContext.defaultParallelism)
 
     def slice(self, start: int, stop: int, columns: tuple[str, ...] | None = None) -> DataFrame:
         """Rows start <= row < stop (from 0) of the given or all visible columns."""

@@ -112,6 +112,11 @@ class OrderedFiles:
         file, block = run.source
         return (natural_order(file), block, natural_order(run.file), run.position)
 
+    @property
+    def keeps_order(self) -> bool:
+        """Numbering leaves the rows where and in the order the scan finds them."""
+        return self.source is None and (self.single_file or len(self.runs) <= BROADCAST_RUNS)
+
     @property
     def total(self) -> int:
         return self.runs[-1].end if self.runs else 0
@@ -120,11 +125,15 @@ class OrderedFiles:
     def bytes(self) -> int:
         return sum({run.file: run.bytes for run in self.runs}.values())
 
-    def numbered(self, name: str, base: int = 0) -> DataFrame:
-        """All rows with their number; `base` is the number of the first row."""
+    def numbered(self, name: str, base: int = 0, frame: DataFrame | None = None) -> DataFrame:
+        """All rows with their number; `base` is the number of the first row.
+
+        `frame` may be the same files read with more columns.
+        """
+        frame = self.frame if frame is None else frame
         if self.single_file:
-            return self.frame.withColumn(name, F.col(POSITION) + F.lit(base))
-        return self.placed(self.frame, self.runs, name, base)
+            return frame.withColumn(name, F.col(POSITION) + F.lit(base))
+        return self.placed(frame, self.runs, name, base)
 
     def between(self, start: int, stop: int, name: str, base: int = 0) -> DataFrame:
         """Rows start <= row < stop (counted from 0); only the files that hold them are read."""
@@ -186,6 +195,13 @@ def _sliced_join(located: DataFrame, shifts: DataFrame, keys: list[str]) -> Data
     ).join(shifts.withColumn("_run_slice", slices), [*keys, "_run_slice"]).drop("_run_slice")
 
 
+def scan_partitions(spark: SparkSession, source_bytes: int) -> int:
+    """About how many tasks a scan of this much Parquet has."""
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
+    unit = {"k": 1024, "m": 1024**2, "g": 1024**3}.get(text[-1], 1)
+    return 1 + source_bytes // (int(text.rstrip("kmg")) * unit)
+
+
 def partition_count(spark: SparkSession, source_bytes: int) -> int:
     """Sort partitions for this much Parquet: the session's own number, or more if it is big."""
     per_partition = 128 * 1024 * 1024

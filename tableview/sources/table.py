@@ -50,12 +50,12 @@ class Table:
     def name(self) -> str:
         return self.path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".parquet")
 
-    def _shaped(self, frame: DataFrame, numbered: bool) -> DataFrame:
+    def _shaped(self, frame: DataFrame, numbered: bool, extra: tuple = ()) -> DataFrame:
         kept = [column for column in frame.columns if column not in self.derive]
         order = [SOURCE_ROW] if numbered else []
         known = [name for name in self.catalog.names if name in kept]
         return frame.select(
-            *[F.col(name) for name in order],
+            *[F.col(name) for name in (*order, *extra)],
             *[quoted(name) for name in known],
             *[column.alias(name) for name, column in self.derive.items()],
         )
@@ -72,6 +72,17 @@ class Table:
             return self._shaped(self.rows, numbered=True)
         return self._shaped(self.files.numbered(SOURCE_ROW, base=1), numbered=True)
 
+    @property
+    def located(self) -> DataFrame | None:
+        """The numbered rows with the file and block they were read from.
+
+        None where numbering moves rows or their order does not follow from where they lie.
+        """
+        if self.files is None or not self.files.keeps_order:
+            return None
+        frame = self.files.numbered(SOURCE_ROW, 1, with_origin(self.files.frame))
+        return self._shaped(frame, numbered=True, extra=(ORIGIN_FILE, ORIGIN_BLOCK))
+
     def source_range(self, start: int, stop: int) -> DataFrame:
         """Stored rows at positions start <= p < stop of the source order (from 0)."""
         if self.files is None:
@@ -88,7 +99,7 @@ class Table:
 
     def clean(self, frame: DataFrame, names) -> DataFrame:
         """Project to the named variables with their cleaned values, row numbers first."""
-        order = [c for c in frame.columns if c == SOURCE_ROW]
+        order = [c for c in frame.columns if c in (SOURCE_ROW, ORIGIN_FILE, ORIGIN_BLOCK)]
         return frame.select(*order, *[self.catalog.exact(name).value for name in names])
 
     @property
@@ -135,20 +146,21 @@ def open_table(
     origin = None
     if format != "parquet":
         copy = storage.new_path(spark, "copy")
-        publish(
-            frame.withColumns(
-                {
-                    ORIGIN_FILE: F.col("_metadata.file_path"),
-                    ORIGIN_BLOCK: F.col("_metadata.file_block_start"),
-                }
-            ),
-            copy,
-            ROWS_PER_FILE,
-        )
+        publish(with_origin(frame), copy, ROWS_PER_FILE)
         frame, path, origin = spark.read.parquet(copy), copy, (ORIGIN_FILE, ORIGIN_BLOCK)
     return table_of(spark, path, frame, origin=origin, described=described, derive=derive)
 
 
+def with_origin(frame: DataFrame) -> DataFrame:
+    """Add the file and the block of the file each row is read from."""
+    return frame.withColumns(
+        {
+            ORIGIN_FILE: F.col("_metadata.file_path"),
+            ORIGIN_BLOCK: F.col("_metadata.file_block_start"),
+        }
+    )
+
+
 def table_of(
     spark: SparkSession,
     path: str,
