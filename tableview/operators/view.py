@@ -252,3 +252,24 @@ class View:
         """Each row as a CSV record, with `_view_row`."""
         variables = [self.table.catalog.exact(name) for name in self._visible()]
         return self.view_rows().select(VIEW_ROW, csv_line(variables).alias("line"))
+
+    def copied_block(
+        self,
+        start: int,
+        stop: int,
+        columns: tuple[str, ...] | None = None,
+        headers: bool = False,
+    ) -> DataFrame:
+        """A rectangle of cells as tab-separated lines, with `_view_row` (-1 for the headers)."""
+        names = columns or self._visible()
+        variables = [self.table.catalog.exact(name) for name in names]
+        cells = self.slice(start, stop, tuple(names))
+        lines = cells.select(
+            VIEW_ROW, F.concat_ws("\t", *[display_text(v) for v in variables]).alias("line")
+        )
+        if not headers:
+            return lines
+        first = self.table.spark.range(1).select(
+            F.lit(-1).cast("bigint").alias(VIEW_ROW), F.lit("\t".join(names)).alias("line")
+        )
+        return first.unionAll(lines)

@@ -194,6 +194,26 @@ WHERE o_orderkey >= 7000 AND o_orderkey < 7500""",
         f"""
 SELECT _view_row, o_orderpriority, o_orderkey FROM {EXPENSIVE_SQL}
 WHERE _view_row >= 1234 AND _view_row < 2345""",
+    ),
+    "copied_block": Query(
+        lambda spark, folder: expensive(spark, folder).copied_block(
+            600, 1_300, ("o_orderkey", "o_orderpriority"), headers=True
+        ),
+        f"""
+SELECT -1 AS _view_row, concat('o_orderkey', chr(9), 'o_orderpriority') AS line
+UNION ALL
+SELECT _view_row, concat(CAST(o_orderkey AS VARCHAR), chr(9), o_orderpriority) AS line
+FROM {EXPENSIVE_SQL} WHERE _view_row >= 600 AND _view_row < 1300""",
+    ),
+    "index_filtered": Query(
+        lambda spark, folder: view(spark, folder, "orders")
+        .select("o_orderkey", "o_custkey")
+        .where(EXPENSIVE)
+        .view_rows(),
+        """
+SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS _view_row, o_orderkey + 1 AS _source_row,
+       o_orderkey, o_custkey
+FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 100000""",
     ),
     "filtered_count": Query(
         lambda spark, folder: expensive(spark, folder)

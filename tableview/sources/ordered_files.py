@@ -27,6 +27,10 @@ BROADCAST_RUNS = 200_000
 SLICES = 32
 SLICE_ROWS = 65_536
 
+# A range of rows is read from the files it lies in by naming them, up to this many names; a
+# range over more files reads them all.
+NAMED_FILES = 1_000
+
 # Hidden columns of a Parquet scan: the file a row lies in and its position there.
 FILE = "_metadata.file_path"
 POSITION = "_metadata.row_index"
@@ -121,10 +125,14 @@ class OrderedFiles:
     def total(self) -> int:
         return self.runs[-1].end if self.runs else 0
 
-    @property
+    @cached_property
     def bytes(self) -> int:
         return sum({run.file: run.bytes for run in self.runs}.values())
 
+    @cached_property
+    def _firsts(self) -> list[int]:
+        return [run.first for run in self.runs]
+
     def numbered(self, name: str, base: int = 0, frame: DataFrame | None = None) -> DataFrame:
         """All rows with their number; `base` is the number of the first row.
 
@@ -145,7 +153,7 @@ class OrderedFiles:
             return self.frame.filter(F.lit(False)).withColumn(name, F.lit(0).cast("bigint"))
         frame = self.frame
         files = {run.file for run in runs}
-        if len(files) < len({run.file for run in self.runs}):
+        if len(files) <= NAMED_FILES:
             frame = frame.filter(F.col(FILE).isin(*files))
         number = F.col(name)
         return self.placed(frame, runs, name, base).filter(
@@ -153,9 +161,8 @@ class OrderedFiles:
         )
 
     def _covering(self, start: int, stop: int) -> list[Run]:
-        firsts = [run.first for run in self.runs]
-        low = max(bisect_right(firsts, start) - 1, 0)
-        high = bisect_right(firsts, stop - 1)
+        low = max(bisect_right(self._firsts, start) - 1, 0)
+        high = bisect_right(self._firsts, stop - 1)
         return [run for run in self.runs[low:high] if run.end > start]
 
     def placed(self, frame: DataFrame, runs: list[Run], name: str, base: int) -> DataFrame:
