@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 # Above this many runs the table of first rows (about 200 bytes each) is no longer broadcast.
 BROADCAST_RUNS = 200_000
 
-# Then each first row is repeated for this many slices of its file, and joined by (file, slice).
-SLICES = 32
-SLICE_ROWS = 65_536
+# Then it is joined by file and slice, a slice being at most this many rows of one file.
+SLICE_ROWS = 5_000_000
 
 # A range of rows is read from the files it lies in by naming them, up to this many names; a
 # range over more files reads them all.
@@ -174,6 +173,8 @@ class OrderedFiles:
                 "_run_shift": pa.array(
                     [run.first - run.position + base for run in runs], pa.int64()
                 ),
+                "_run_last": pa.array([run.position + run.rows - 1 for run in runs], pa.int64()),
+                "_run_start": pa.array([run.position for run in runs], pa.int64()),
                 **{
                     f"_run_{i}": [run.source[i] for run in runs]
                     for i in range(len(self.source or ()))
@@ -187,7 +188,7 @@ class OrderedFiles:
             located = located.withColumn(f"_run_{i}", F.col(column))
             keys.append(f"_run_{i}")
         if len(runs) <= BROADCAST_RUNS:
-            joined = located.join(F.broadcast(shifts), keys)
+            joined = located.join(F.broadcast(shifts.drop("_run_start", "_run_last")), keys)
         else:
             joined = _sliced_join(located, shifts, keys)
         numbered = joined.withColumn(name, F.col("_run_position") + F.col("_run_shift"))
@@ -195,11 +196,17 @@ class OrderedFiles:
 
 
 def _sliced_join(located: DataFrame, shifts: DataFrame, keys: list[str]) -> DataFrame:
-    """The join by file for very many files; a big file spreads over SLICES partitions."""
-    slices = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)).cast("array<bigint>"))
-    return located.withColumn(
-        "_run_slice", F.floor(F.col("_run_position") / SLICE_ROWS) % SLICES
-    ).join(shifts.withColumn("_run_slice", slices), [*keys, "_run_slice"]).drop("_run_slice")
+    """The join by file for very many files. No key has more than SLICE_ROWS rows."""
+
+    def slice_of(position: str) -> Column:
+        return F.floor(F.col(position) / SLICE_ROWS)
+
+    slices = F.explode(F.sequence(slice_of("_run_start"), slice_of("_run_last")))
+    return (
+        located.withColumn("_run_slice", slice_of("_run_position"))
+        .join(shifts.withColumn("_run_slice", slices), [*keys, "_run_slice"])
+        .drop("_run_slice", "_run_start", "_run_last")
+    )
 
 
 def scan_partitions(spark: SparkSession, source_bytes: int) -> int:

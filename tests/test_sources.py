@@ -92,7 +92,7 @@ def test_source_rows(spark, saved, files):
 def test_source_rows_without_broadcast(spark, saved, monkeypatch):
     path = saved([(i,) for i in range(100)], "k int", files=4)
     monkeypatch.setattr(ordered_files, "BROADCAST_RUNS", 1)
-    monkeypatch.setattr(ordered_files, "SLICE_ROWS", 5)
+    monkeypatch.setattr(ordered_files, "SLICE_ROWS", 7)
     frame = open_table(spark, path).with_source_row
     assert numbers(frame) == [(i + 1, i) for i in range(100)]
     assert "Broadcast" not in frame._jdf.queryExecution().optimizedPlan().toString()
