@@ -21,6 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableview.catalog import CHARACTER, NUMERIC, TEMPORAL, Catalog, Variable, is_finite
 from tableview.errors import ConditionError
@@ -175,11 +176,14 @@ def _literal(variable: Variable, value) -> Column:
             raise ConditionError(f"{variable.name} needs a finite number")
         if isinstance(value, int) and value not in _INT64:
             raise ConditionError(f"{value} does not fit into 64 bits")
-        return F.lit(value)
+        whole = isinstance(variable.data_type, T.IntegralType) and value == int(value)
+        # A whole number as such, so that a comparison with a stored integer is pushed down.
+        return F.lit(int(value)) if whole and int(value) in _INT64 else F.lit(value)
     if variable.kind == TEMPORAL:
         if not isinstance(value, dt.date):
             raise ConditionError(f"{variable.name} is temporal, {value!r} is no date or time")
-        return F.lit(value).cast(variable.data_type)
+        # As text, which no time zone of the Python process can shift.
+        return F.lit(value.isoformat()).cast(variable.data_type)
     if not isinstance(value, str):
         raise ConditionError(f"{variable.name} is character, {value!r} is not text")
     return F.lit(value)

@@ -13,7 +13,7 @@ from tableview.operators.view import View
 from tableview.sources.ordered_files import natural_order
 
 # Beyond this size the export stays a folder of ordered parts instead of one file.
-SINGLE_FILE_BYTES = 64 * 1024**3
+SINGLE_FILE_BYTES = 8 * 1024**3
 
 
 @dataclass(frozen=True)

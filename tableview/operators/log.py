@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableview import storage
-from tableview.sources.ordered_files import natural_order
+from tableview.sources.ordered_files import natural_order, top_tasks
 
 SCHEMA = (
     "id bigint, dataset_path string, dataset_name string, where_text string, executed_at string"
@@ -121,7 +121,7 @@ def cleaned(log: DataFrame, text: str = "where_text") -> DataFrame:
 
 def keep_latest(log: DataFrame, order: str = "id", entries: int = KEPT_ENTRIES) -> DataFrame:
     """Only the newest entries: a top-k, no full sort."""
-    return log.orderBy(F.col(order).desc()).limit(kept_entries(entries))
+    return log.coalesce(top_tasks(log.sparkSession)).orderBy(F.col(order).desc()).limit(kept_entries(entries))
 
 
 def listed(

@@ -16,7 +16,7 @@ from tableview.errors import ColumnSelectionError
 from tableview.functions.conditions import Condition, any_contains
 from tableview.functions.text import csv_line, display_text
 from tableview.operators.row_index import RowIndex, filtered_index, sorted_index, source_index
-from tableview.sources.ordered_files import scan_partitions, sorted_rows
+from tableview.sources.ordered_files import sorted_rows, top_tasks
 from tableview.sources.table import Table
 
 # Rows per page, the usual number and the bounds it is kept within.
@@ -26,7 +26,7 @@ MOST_PAGE_ROWS = 5_000
 
 # A page is a top-k over the view as long as this many rows, the candidates of all tasks
 # together, reach the task that picks the page. Pages further down come from the row index.
-TOP_CANDIDATES = 10_000_000
+TOP_CANDIDATES = 20_000_000
 
 
 def page_rows(wanted: int = PAGE_ROWS) -> int:
@@ -219,7 +219,7 @@ class View:
         """`limit` rows from row `offset` on, in order, with `_view_row`."""
         columns = self._visible()
         plain = self.condition is None and self.sort is None
-        tasks = self._top_tasks()
+        tasks = top_tasks(self.table.spark)
         if plain or self.sort in self._known or tasks * (offset + limit) > TOP_CANDIDATES:
             return self.slice(offset, offset + limit).orderBy(VIEW_ROW).limit(limit)
         ranked = self._sortable().coalesce(tasks).orderBy(*self.order())
@@ -228,12 +228,6 @@ class View:
         page = ranked.offset(offset).limit(limit).withColumn(VIEW_ROW, position)
         return page.select(VIEW_ROW, *map(quoted, columns))
 
-    def _top_tasks(self) -> int:
-        """Tasks of a top-k: enough to keep every core busy, not one per block of a huge scan."""
-        spark = self.table.spark
-        scanned = scan_partitions(spark, self.table.source_bytes)
-        return min(scanned, 2 * spark.sparkContext.defaultParallelism)
-
     def slice(self, start: int, stop: int, columns: tuple[str, ...] | None = None) -> DataFrame:
         """Rows start <= row < stop (from 0) of the given or all visible columns."""
         for name in columns or ():

@@ -209,11 +209,12 @@ def _sliced_join(located: DataFrame, shifts: DataFrame, keys: list[str]) -> Data
     )
 
 
-def scan_partitions(spark: SparkSession, source_bytes: int) -> int:
-    """About how many tasks a scan of this much Parquet has."""
-    text = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
-    unit = {"k": 1024, "m": 1024**2, "g": 1024**3}.get(text[-1], 1)
-    return 1 + source_bytes // (int(text.rstrip("kmg")) * unit)
+def top_tasks(spark: SparkSession) -> int:
+    """Tasks for a top-k: enough for every core, but not one per block of a huge scan.
+
+    Each task hands its own top-k to the single task that picks the result.
+    """
+    return 2 * spark.sparkContext.defaultParallelism
 
 
 def partition_count(spark: SparkSession, source_bytes: int) -> int:

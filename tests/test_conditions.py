@@ -215,6 +215,7 @@ def test_temporal_and_boolean(spark, saved):
     view = View.of(open_table(spark, saved(rows, "d date, f boolean, t timestamp")))
     assert view.where(var("d") > dt.date(2024, 1, 15)).count() == 1
     assert view.where(var("t") <= dt.datetime(2024, 1, 1, 5)).count() == 1
+    assert view.where(var("t") == dt.datetime(2024, 1, 1, 6, tzinfo=dt.UTC)).count() == 1
     assert view.where(var("f") == 1).count() == 1
     assert view.where(~(var("f") == 1)).count() == 1
     assert view.where(missing("d")).count() == 1

@@ -36,6 +36,7 @@ def read_columns(frame):
         (lambda: ~(var("x") >= 100), "LessThan(x,100.0)"),
         (lambda: var("x").between(1, 2), "GreaterThanOrEqual(x,1.0), LessThanOrEqual(x,2.0)"),
         (lambda: var("k") == 5, "EqualTo(k,5)"),
+        (lambda: var("k") >= 5.0, "GreaterThanOrEqual(k,5)"),
         (lambda: var("k").is_in(5, 6), "In(k, [5,6])"),
         (lambda: var("s").starts_with("na"), "StringStartsWith(s,na)"),
         (lambda: var("s").contains("am"), "StringContains(s,am)"),
