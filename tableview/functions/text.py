@@ -9,7 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableview.catalog import Variable, normalized
+from tableview.catalog import NUMERIC, TEMPORAL, Variable, normalized
+
+# The characters that numbers, and dates and times, are written with.
+KIND_CHARACTERS = {NUMERIC: "0123456789+-.e", TEMPORAL: "0123456789+-.: "}
 
 BOM = b"\xef\xbb\xbf"
 
@@ -56,7 +59,13 @@ def display_text(variable: Variable, missing: str = "") -> Column:
 
 
 def shows(variable: Variable, text: str) -> Column:
-    """The variable's text contains the given text, in any letter case."""
+    """The variable's text contains the given text, in any letter case.
+
+    A number or a date never shows a letter, so most searches need not turn them into text.
+    """
+    characters = KIND_CHARACTERS.get(variable.kind)
+    if characters is not None and not set(text.lower()) <= set(characters):
+        return F.lit(False)
     return F.contains(F.lower(display_text(variable)), F.lower(F.lit(text)))
 
 

@@ -33,7 +33,7 @@ BLANKS = (
 
 # Ids per window partition. Ids are unique, so no partition can hold more rows than this,
 # whatever share of the log one table or one text has.
-IDS_PER_GROUP = 100_000
+IDS_PER_GROUP = 1_000_000
 
 
 def trimmed(text: Column) -> Column:

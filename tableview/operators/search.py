@@ -14,7 +14,7 @@ from tableview.operators.view import View
 # The first range of rows that find looks at, and how much each further range grows. A near
 # match then costs one small read, and a far one a handful of ever larger jobs.
 FIRST_ROWS = 1_000_000
-GROWTH = 8
+GROWTH = 16
 
 RESULT = "row_index bigint, column_name string"
 
@@ -43,7 +43,7 @@ def find_frame(
     """Find as one lazy query: zero or one row (row_index, column_name).
 
     Every matching row is ranked by (past the start or not, distance in the direction), so the
-    wrap-around is part of the same pass; only one candidate per task is shuffled.
+    wrap-around is part of the same pass; each task hands on a single candidate.
     """
     view.table.require_complete("finding")
     columns = view._visible()
@@ -52,11 +52,9 @@ def find_frame(
     start = _default_start(view, start, forward)
     row = F.col(VIEW_ROW)
     wrapped = (row <= start) if forward else (row >= start)
-    rank = F.struct(wrapped, row if forward else -row)
+    rank = [wrapped.asc(), row.asc() if forward else row.desc()]
     hits = _matches(view, view.index().numbered(), text)
-    best = hits.agg(F.min_by(F.struct(VIEW_ROW, *map(quoted, columns)), rank).alias("hit"))
-    hit = best.filter(F.col("hit").isNotNull()).select("hit.*")
-    return hit.select(
+    return hits.orderBy(*rank).limit(1).select(
         row.alias("row_index"), _matched_column(view, text).alias("column_name")
     )
 

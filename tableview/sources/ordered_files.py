@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import pyarrow as pa
@@ -50,6 +50,13 @@ class Run:
     def end(self) -> int:
         return self.first + self.rows
 
+    def clipped(self, start: int, stop: int) -> Run:
+        """Just the rows of the run with start <= number < stop."""
+        first = max(self.first, start)
+        rows = min(self.end, stop) - first
+        position = self.position + first - self.first
+        return replace(self, position=position, rows=rows, first=first)
+
 
 def natural_order(path: str) -> list:
     return [
@@ -103,9 +110,7 @@ class OrderedFiles:
         found.sort(key=self._order)
         placed, first = [], 0
         for run in found:
-            placed.append(
-                Run(run.file, run.source, run.position, run.rows, run.bytes, first)
-            )
+            placed.append(replace(run, first=first))
             first += run.rows
         return placed
 
@@ -147,34 +152,34 @@ class OrderedFiles:
         if self.single_file:
             frame = self.frame.filter((F.col(POSITION) >= start) & (F.col(POSITION) < stop))
             return frame.withColumn(name, F.col(POSITION) + F.lit(base))
-        runs = self._covering(start, stop)
+        runs = [run.clipped(start, stop) for run in self._covering(start, stop)]
         if not runs:
             return self.frame.filter(F.lit(False)).withColumn(name, F.lit(0).cast("bigint"))
         frame = self.frame
         files = {run.file for run in runs}
         if len(files) <= NAMED_FILES:
             frame = frame.filter(F.col(FILE).isin(*files))
-        number = F.col(name)
-        return self.placed(frame, runs, name, base).filter(
-            (number >= start + base) & (number < stop + base)
-        )
+        return self.placed(frame, runs, name, base, clipped=True)
 
     def _covering(self, start: int, stop: int) -> list[Run]:
         low = max(bisect_right(self._firsts, start) - 1, 0)
         high = bisect_right(self._firsts, stop - 1)
         return [run for run in self.runs[low:high] if run.end > start]
 
-    def placed(self, frame: DataFrame, runs: list[Run], name: str, base: int) -> DataFrame:
-        if len(runs) == 1 and not self.source:
-            return frame.withColumn(name, F.col(POSITION) + F.lit(runs[0].first + base))
+    def placed(
+        self, frame: DataFrame, runs: list[Run], name: str, base: int, clipped: bool = False
+    ) -> DataFrame:
+        """Number the rows of `frame` that lie in these runs.
+
+        Where the runs are clipped their bounds travel as columns, not as constants of the
+        plan: searches over one range after the other then share their generated code.
+        """
         table = pa.table(
             {
                 "_run_file": pa.array([run.file for run in runs], pa.string()),
-                "_run_shift": pa.array(
-                    [run.first - run.position + base for run in runs], pa.int64()
-                ),
-                "_run_last": pa.array([run.position + run.rows - 1 for run in runs], pa.int64()),
+                "_run_shift": pa.array([run.first - run.position + base for run in runs]),
                 "_run_start": pa.array([run.position for run in runs], pa.int64()),
+                "_run_last": pa.array([run.position + run.rows - 1 for run in runs], pa.int64()),
                 **{
                     f"_run_{i}": [run.source[i] for run in runs]
                     for i in range(len(self.source or ()))
@@ -188,11 +193,14 @@ class OrderedFiles:
             located = located.withColumn(f"_run_{i}", F.col(column))
             keys.append(f"_run_{i}")
         if len(runs) <= BROADCAST_RUNS:
-            joined = located.join(F.broadcast(shifts.drop("_run_start", "_run_last")), keys)
+            joined = located.join(F.broadcast(shifts), keys)
         else:
             joined = _sliced_join(located, shifts, keys)
+        if clipped:
+            position = F.col("_run_position")
+            joined = joined.filter(position.between(F.col("_run_start"), F.col("_run_last")))
         numbered = joined.withColumn(name, F.col("_run_position") + F.col("_run_shift"))
-        return numbered.drop(*keys, "_run_position", "_run_shift")
+        return numbered.drop(*keys, "_run_position", "_run_shift", "_run_start", "_run_last")
 
 
 def _sliced_join(located: DataFrame, shifts: DataFrame, keys: list[str]) -> DataFrame:
@@ -205,7 +213,7 @@ def _sliced_join(located: DataFrame, shifts: DataFrame, keys: list[str]) -> Data
     return (
         located.withColumn("_run_slice", slice_of("_run_position"))
         .join(shifts.withColumn("_run_slice", slices), [*keys, "_run_slice"])
-        .drop("_run_slice", "_run_start", "_run_last")
+        .drop("_run_slice")
     )
 
 
