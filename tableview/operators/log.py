@@ -53,17 +53,41 @@ def with_previous(
 ) -> DataFrame:
     """Add `_previous`: the values of the row before, by `order`, overall or within a key.
 
-    `order` is a unique whole number. Rows are windowed in groups of consecutive ids; ahead of
-    its first row each group gets one extra row, a copy of the last row before the group. Those
-    last rows come from a small aggregation and find their own predecessors the same way, in
-    groups of `ids_per_group` again. So the data is shuffled once, and neither a global window
-    nor a hot key ever gathers more than `ids_per_group` rows in one place.
+    `order` is a unique whole number. A key of at most `ids_per_group` rows is one window
+    partition. The rows of bigger keys, or of the whole log without a key, are windowed in
+    groups of consecutive ids; ahead of its first row each group gets one extra row, a copy of
+    the last row before the group. Those last rows come from a small aggregation and find their
+    own predecessors the same way, in groups of `ids_per_group` again. So the data is shuffled
+    once, and neither a global window nor a hot key ever gathers more than `ids_per_group` rows
+    in one place.
     """
+    keys = list(within)
+    rows = frame.withColumn("_row", F.struct(*values)).withColumn("_hot", F.lit(True))
+    if keys:
+        hot = _hot_keys(frame, keys, ids_per_group)
+        if hot is None:
+            window = Window.partitionBy(*keys).orderBy(order)
+            return rows.withColumn("_previous", F.lag("_row").over(window)).drop("_row", "_hot")
+        rows = _marked(rows.drop("_hot"), hot, keys)
     low, high = frame.agg(F.min(order), F.max(order)).first()
-    rows = frame.withColumn("_row", F.struct(*values))
     span = 0 if low is None else high - low
-    lagged = _lagged(rows, order, list(within), ids_per_group, ids_per_group, span)
-    return lagged.drop("_row")
+    return _lagged(rows, order, keys, ids_per_group, ids_per_group, span).drop("_row", "_hot")
+
+
+def _hot_keys(frame: DataFrame, keys: list[str], most: int) -> DataFrame | None:
+    """Keys with more than `most` rows: at most one per `most` rows of the log, so few."""
+    counted = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = counted.filter(F.col("_rows") > most).select(*keys).toArrow()
+    return frame.sparkSession.createDataFrame(hot) if hot.num_rows else None
+
+
+def _marked(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """Add `_hot`; a missing key is a key like any other."""
+    names = {key: f"_hot_{i}" for i, key in enumerate(keys)}
+    marks = hot.withColumnsRenamed(names).withColumn("_hot", F.lit(True))
+    same = [F.col(key).eqNullSafe(F.col(name)) for key, name in names.items()]
+    joined = rows.join(F.broadcast(marks), same, "left").drop(*names.values())
+    return joined.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
 
 
 def _lagged(
@@ -75,8 +99,14 @@ def _lagged(
         return rows.withColumn("_previous", F.lag("_row").over(window))
     group = f"_group_{width}"
     keys = [*within, group]
-    grouped = rows.withColumn(group, number - F.pmod(number, F.lit(width)))
-    last = grouped.groupBy(*keys).agg(F.max_by("_row", order).alias("_row"))
+    first_id = F.when(F.col("_hot"), number - F.pmod(number, F.lit(width)))
+    grouped = rows.withColumn(group, first_id)
+    last = (
+        grouped.filter("_hot")
+        .groupBy(*keys)
+        .agg(F.max_by("_row", order).alias("_row"))
+        .withColumn("_hot", F.lit(True))
+    )
     carried = (
         _lagged(last, group, within, width * step, step, span)
         .filter(F.col("_previous").isNotNull())
