@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableview.catalog import NUMERIC, TEMPORAL, Variable, normalized
+from tableview.catalog import CHARACTER, NUMERIC, TEMPORAL, Variable, normalized
 
 # The characters that numbers, and dates and times, are written with.
 KIND_CHARACTERS = {NUMERIC: "0123456789+-.e", TEMPORAL: "0123456789+-.: "}
@@ -66,7 +66,10 @@ def shows(variable: Variable, text: str) -> Column:
     characters = KIND_CHARACTERS.get(variable.kind)
     if characters is not None and not set(text.lower()) <= set(characters):
         return F.lit(False)
-    return F.contains(F.lower(display_text(variable)), F.lower(F.lit(text)))
+    shown = display_text(variable)
+    if variable.kind == CHARACTER or isinstance(variable.data_type, T.DecimalType):
+        shown = F.lower(shown)
+    return F.contains(shown, F.lower(F.lit(text)))
 
 
 def any_text_contains(variables: list[Variable], text: str) -> Column:
