@@ -29,6 +29,13 @@ MOST_PAGE_ROWS = 5_000
 TOP_CANDIDATES = 20_000_000
 
 
+# A filtered page in source order looks at this many rows of the table first, and at this many
+# times more as long as too few pass; a table of up to so many bytes is simply read.
+LEADING_ROWS = 4_000_000
+LEADING_GROWTH = 16
+SCANNED_AT_ONCE = 1024**3
+
+
 def page_rows(wanted: int = PAGE_ROWS) -> int:
     return min(max(wanted, LEAST_PAGE_ROWS), MOST_PAGE_ROWS)
 
@@ -222,12 +229,29 @@ class View:
         tasks = top_tasks(self.table.spark)
         if plain or self.sort in self._known or tasks * (offset + limit) > TOP_CANDIDATES:
             return self.slice(offset, offset + limit).orderBy(VIEW_ROW).limit(limit)
-        ranked = self._sortable().coalesce(tasks).orderBy(*self.order())
+        rows = self._leading_rows(offset + limit) if self.sort is None else self._sortable()
+        ranked = rows.coalesce(tasks).orderBy(*self.order())
         # A global limit leaves one sorted partition, so the ids on it count 0, 1, 2, ...
         position = F.lit(offset).cast("bigint") + F.monotonically_increasing_id()
         page = ranked.offset(offset).limit(limit).withColumn(VIEW_ROW, position)
         return page.select(VIEW_ROW, *map(quoted, columns))
 
+    def _leading_rows(self, needed: int) -> DataFrame:
+        """Rows of a filtered view in source order, from the start of the table on.
+
+        In a big table the first rows that pass usually lie near its start, so growing ranges
+        of it are counted until they hold enough; only when they never do is all of it read.
+        """
+        stop = LEADING_ROWS
+        if self.table.source_bytes > SCANNED_AT_ONCE:
+            total = self.table.row_count
+            while stop < total:
+                part = self._kept(self.table.source_range(0, stop))
+                if part.count() >= needed:
+                    return self.table.clean(part, self._visible())
+                stop *= LEADING_GROWTH
+        return self._sortable()
+
     def slice(self, start: int, stop: int, columns: tuple[str, ...] | None = None) -> DataFrame:
         """Rows start <= row < stop (from 0) of the given or all visible columns."""
         for name in columns or ():

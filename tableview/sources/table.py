@@ -102,6 +102,11 @@ class Table:
         order = [c for c in frame.columns if c in (SOURCE_ROW, ORIGIN_FILE, ORIGIN_BLOCK)]
         return frame.select(*order, *[self.catalog.exact(name).value for name in names])
 
+    @property
+    def row_count(self) -> int:
+        """All rows, from file footers."""
+        return self.rows.count() if self.files is None else self.files.total
+
     @property
     def source_bytes(self) -> int:
         """Stored size: the shape of the sort that a view over this table needs."""

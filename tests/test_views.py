@@ -252,6 +252,24 @@ def test_count_is_remembered(big):
     assert "count" not in view.where(var("t") < "c")._known
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_filtered_page_reads_from_the_start(big, monkeypatch, stored):
+    from tableview import snapshot
+
+    monkeypatch.setattr(view_module, "SCANNED_AT_ONCE", 0)
+    monkeypatch.setattr(view_module, "LEADING_ROWS", 50)
+    monkeypatch.setattr(view_module, "LEADING_GROWTH", 4)
+    view = View.of(snapshot(big.table)).select("k", "s", "x", "t") if stored else big
+    wanted = [row[0] for row in expected(None) if row[3] < "c"]
+    view = view.where(var("t") < "c").select("k")
+    for offset, limit in [(0, 5), (3, 40), (100, 60), (len(wanted) - 5, 50), (len(wanted), 5)]:
+        page = rows_of(view.page(offset, limit), "_view_row", "k")
+        rows = wanted[offset : offset + limit]
+        assert page == [(offset + i, k) for i, k in enumerate(rows)]
+    assert view._leading_rows(5).count() < len(wanted)
+    assert view._leading_rows(10**6).count() == len(wanted)
+
+
 @pytest.mark.parametrize("format", ["parquet", "csv"])
 def test_filtered_index_in_source_order(spark, saved, tmp_path, format):
     """A filter without a sort is numbered without a shuffle, also over many split files."""
