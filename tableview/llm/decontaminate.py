@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableview.llm.tables import received, sent
 from tableview.llm.texts import ALPHANUMERIC, Words, annotate, fresh, sequences
 
 WINDOW = 10
@@ -141,12 +142,11 @@ def contamination(
     result = documents
     for turn, block in enumerate(_blocks(benchmark, block_words)):
         rows = [(row.item, row.text) for row in block.collect()]
-        shared = documents.sparkSession.sparkContext.broadcast(Fingerprints(rows, window, gram))
+        shared = sent(documents.sparkSession, Fingerprints(rows, window, gram))
 
         def prepare(shared=shared, again=turn > 0):
-            return lambda batch, data, offsets: _judged(
-                shared.value, batch, data, offsets, (hits, items) if again else None
-            )
+            block, earlier = received(shared), (hits, items) if again else None
+            return lambda batch, data, offsets: _judged(block, batch, data, offsets, earlier)
 
         fields = [
             T.StructField(n_words, T.LongType()),

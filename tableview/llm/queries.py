@@ -6,15 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableview.llm import decontaminate
+from tableview.llm import decontaminate, jaccard_join, language
 from tableview.llm.tables import read
 
 
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.grouped(read(spark, folder, "documents"))
+
+
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.summary(read(spark, folder, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.summary(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_jaccard_join": op3_jaccard_join,
+    "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from tableview.storage import new_path
@@ -18,3 +19,12 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def sent(spark: SparkSession, value):
+    """Something of bounded size for all tasks; `received` brings it back there."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast):
+    return cloudpickle.loads(broadcast.value)
