@@ -10,9 +10,10 @@ percent * union.
    ceil(percent * (n + m) / (100 + percent)) - max(rest of n, rest of m) of them.
 2. *Groups.* Of the classes that share a prefix shingle each is compared with the first one only:
    as many comparisons as rows. What links is put in groups of similar documents.
-3. *Matrix.* Per shingle the groups whose union holds it, with the sizes of their members. A query
-   counts its prefix shingles in each other group; only groups where the count reaches the bound
-   above for some member's size are opened, and their members compared with the query in full.
+3. *Matrix.* Per rare shingle the groups whose union holds it, with the sizes of their members. A
+   query counts its prefix shingles in each other group; only groups where the count reaches the
+   bound above for some member's size are opened, and their members compared with the query in full.
+   Classes that share a frequent prefix shingle are counted by matrix products of blocks instead.
 
 So no comparison is made inside a group, where everything is connected already, and none between
 texts that share only frequent passages. The order is free for the result: counting fewer
@@ -39,6 +40,8 @@ SHINGLE = 5
 PERCENT = 75
 HOT = 50
 MOST_HOT = 1 << 21
+#: Classes in a block of comparisons.
+CELL = 1_024
 #: Ids sent to all tasks rather than joined by a shuffle.
 MOST_SENT = 500_000
 
@@ -91,6 +94,11 @@ def needed(counts, percent: int):
     return -(-percent * counts // 100)
 
 
+def needed_overlap(n, m, percent: int):
+    """The least that two sets of these sizes share if they link."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 def _split(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the tokens by bucket, and the bounds of each bucket in it."""
     of = (tokens >> np.uint64(32)) % np.uint64(buckets)
@@ -191,14 +199,15 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, buckets: int, percent: int)
     return annotate(docs, "text", fields, prepare, keep=["doc_id"])
 
 
-_LISTED = "token long, key long, n long, leader long, leader_n long"
+_LISTED = "token long, key long, n long, leader long, leader_n long, frequent boolean"
 
 
 def _lists(prefixes: DataFrame, buckets: int) -> DataFrame:
-    """(token, key, n, leader, leader_n) for the prefix tokens that more than one class has.
+    """(token, key, n, leader, leader_n, frequent) for the prefix tokens of more than one class.
 
     Rare tokens are few times each, so that a bucket of them is as even as a hash; frequent ones
-    are grouped by Spark.
+    are grouped by Spark. A frequent token is led by the class whose frequent tokens are the most
+    frequent ones: the most typical of its copies.
     """
 
     def deal(batches):
@@ -249,19 +258,23 @@ def _lists(prefixes: DataFrame, buckets: int) -> DataFrame:
         lead, keep = np.repeat(lead, sizes), np.repeat(sizes, sizes) > 1
         columns = (tokens.view(np.int64), keys, ns, keys[lead], ns[lead])
         names = ("token", "key", "n", "leader", "leader_n")
-        return pa.table({name: pa.array(column[keep]) for name, column in zip(names, columns)})
+        columns = {name: pa.array(column[keep]) for name, column in zip(names, columns)}
+        return pa.table({**columns, "frequent": pa.array(np.zeros(int(keep.sum()), bool))})
 
     rare = prefixes.where("octet_length(rare) > 0").select("n", "key", "rare")
     rare = rare.mapInArrow(deal, "bucket long, tokens binary, keys binary, ns binary")
     rare = rare.groupBy("bucket").applyInArrow(shared, _LISTED)
     often = prefixes.select(F.explode("often").alias("token"), "key", "n").distinct()
-    lead = often.groupBy("token").agg(
-        F.count("*").alias("several"), F.min(F.struct("key", "n")).alias("lead")
-    )
-    lead = lead.where("several > 1").select(
+    often = written(often, "often")
+    sizes = often.groupBy("token").agg(F.count("*").alias("several")).where("several > 1")
+    often = often.join(sizes, "token")
+    typical = often.groupBy("key").agg(F.sum("several").alias("typical"))
+    lead = often.join(typical, "key").groupBy("token")
+    lead = lead.agg(F.max(F.struct("typical", "key", "n")).alias("lead")).select(
         "token", F.col("lead.key").alias("leader"), F.col("lead.n").alias("leader_n")
     )
-    return rare.union(often.join(lead, "token").select("token", "key", "n", "leader", "leader_n"))
+    often = often.join(lead, "token").select("token", "key", "n", "leader", "leader_n")
+    return rare.union(often.withColumn("frequent", F.lit(True)))
 
 
 def _least_shared(percent: int, n, m):
@@ -298,20 +311,101 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int)
     sets = annotate(given.select("class", "text"), "text", fields, prepare, keep=["class"])
     sets = sets.where("class = key").dropDuplicates(["key"]).select("key", "tokens")
     sets = written(sets, "sets")
-    both = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "other"), "b")
+    cells = _cells(pairs)
+    shipped = cells.select("cell", F.explode(F.array("a", "b")).alias("key")).distinct()
+    shipped = shipped.join(sets, "key").select(F.col("cell").alias("place"), "key", "tokens")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = {
+            key: np.frombuffer(blob, np.uint64)
+            for key, blob in zip(right.column("key").to_pylist(), right.column("tokens").to_pylist())
+        }
+        keep = []
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
+            one, other = own.get(a), own.get(b)
+            if one is None or other is None:
+                keep.append(False)
+                continue
+            places = np.minimum(np.searchsorted(other, one), len(other) - 1)
+            common = int((other[places] == one).sum())
+            keep.append(100 * common >= percent * (len(one) + len(other) - common))
+        return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return cells.groupBy("cell").cogroup(shipped.groupBy("place")).applyInArrow(
+        compare, "a long, b long"
+    )
 
-    def compare(batches):
-        for batch in batches:
-            keep = []
-            for one, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                one, other = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
-                places = np.minimum(np.searchsorted(other, one), len(other) - 1)
-                common = int((other[places] == one).sum())
-                keep.append(100 * common >= percent * (len(one) + len(other) - common))
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    return both.select("a", "b", "one", "other").mapInArrow(compare, "a long, b long")
+def _cells(pairs: DataFrame) -> DataFrame:
+    """The pairs with the cell in which they are compared. All pairs that hang together are one
+    family; small families share cells, a bigger one has a cell for each two of its blocks. So a
+    set travels once, or once for each block of its family, and no cell grows with a family."""
+    families = components(pairs)
+    sizes = families.groupBy("component").agg(F.count("*").alias("size"))
+    families = families.join(sizes, "component")
+    blocks = F.ceil(F.col("size") / CELL)
+    block = F.pmod(F.xxhash64("id"), blocks)
+    families = written(families.select("id", "component", blocks.alias("m"), block.alias("at")), "at")
+    few = max(1, families.count() // CELL)
+    one = families.select(F.col("id").alias("a"), "component", "m", F.col("at").alias("i"))
+    other = families.select(F.col("id").alias("b"), F.col("at").alias("j"))
+    near = F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j"))
+    cell = F.when(F.col("m") == 1, F.pmod(F.xxhash64("component"), F.lit(few))).otherwise(near)
+    return written(
+        pairs.join(one, "a").join(other, "b").select(cell.alias("cell"), "a", "b"), "cells"
+    )
+
+
+def _crowded(cells: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes of different groups that share a frequent prefix token and
+    enough prefix tokens in all.
+
+    Per token, blocks of at most `CELL` classes meet two by two; a task multiplies their
+    class-token matrices and returns the pairs whose count reaches the bound, and only those.
+    """
+    crowds = cells.where("frequent").groupBy("token").agg(
+        F.count("*").alias("m"), F.min("grp").alias("least"), F.max("grp").alias("most")
+    )
+    crowds = crowds.where("least < most").select("token", F.ceil(F.col("m") / CELL).alias("blocks"))
+    members = cells.where("frequent").join(crowds, "token")
+    keys = members.select("key").distinct()
+    tokens = listed.join(keys, "key").groupBy("key").agg(F.collect_list("token").alias("tokens"))
+    members = members.withColumn("at", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    members = members.select(
+        "token", "key", "n", "grp", "at", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("to")
+    )
+    members = members.join(tokens, "key").select(
+        "token", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at",
+        "key", "n", "grp", "tokens",
+    )
+
+    def multiply(table: pa.Table) -> pa.Table:
+        key, n, grp, at = (table.column(name).to_numpy() for name in ("key", "n", "grp", "at"))
+        lists = table.column("tokens").combine_chunks()
+        seen, places = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        rows = np.repeat(np.arange(len(key)), lists.value_lengths().to_numpy())
+        often = np.bincount(places) > 1
+        rank = np.cumsum(often) - 1
+        rows, places = rows[often[places]], rank[places[often[places]]]
+        one = np.flatnonzero(at == at.min())
+        other = np.flatnonzero(at == at.max())
+        shared = np.zeros((len(one), len(other)), np.float32)
+        for begin in range(0, int(often.sum()), 4_096):
+            part = (places >= begin) & (places < begin + 4_096)
+            held = np.zeros((len(key), 4_096), np.float32)
+            held[rows[part], places[part] - begin] = 1
+            shared += held[one] @ held[other].T
+        low, high = n[one][:, None], n[other][None, :]
+        overlap = needed_overlap(low, high, percent)
+        rest = np.maximum(needed(low, percent), needed(high, percent)) - 1
+        fits = (100 * low >= percent * high) & (100 * high >= percent * low)
+        apart = grp[one][:, None] != grp[other][None, :]
+        a, b = np.nonzero(apart & fits & (shared >= np.maximum(1, overlap - rest)))
+        a, b = key[one[a]], key[other[b]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    found = members.groupBy("token", "i", "j").applyInArrow(multiply, "a long, b long")
+    return found.distinct()
 
 
 def links(
@@ -339,8 +433,10 @@ def links(
     groups = written(components(first), "groups")
 
     own = groups.select(F.col("id").alias("key"), F.col("component").alias("grp"))
-    cells = listed.select("token", "key", "n").join(own, "key", "left")
+    cells = listed.select("token", "key", "n", "frequent").join(own, "key", "left")
     cells = cells.withColumn("grp", F.coalesce("grp", "key"))
+    crowded = _crowded(cells, listed, percent)
+    cells = cells.where("NOT frequent")
     matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     several = matrix.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("z"))
     several = several.where("a < z").select("token")
@@ -363,7 +459,8 @@ def links(
     inside = cells.groupBy("grp", "key").agg(F.min("n").alias("m"))
     inside = inside.select(F.col("grp").alias("other"), F.col("key").alias("b"), "m")
     pairs = opened.join(inside, "other").where(_fits(percent, n, F.col("m")))
-    pairs = written(pairs.select(F.col("key").alias("a"), "b"), "opened")
+    pairs = pairs.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
+    pairs = written(pairs.union(crowded).distinct(), "opened")
     second = written(_linked(pairs, docs, classes, percent), "links")
     return prefixes.select("doc_id", "n", "key"), first.union(second)
 

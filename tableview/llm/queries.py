@@ -6,14 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableview.llm import decontaminate, jaccard_join, language
+from tableview.llm import archives, decontaminate, jaccard_join, language, line_dedup, packing, pii, toxicity
 from tableview.llm.tables import read
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.summary(read(spark, folder, "documents"))
+
+
+def op2_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return archives.round_trip(read(spark, folder, "pages"))
+
+
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.grouped(read(spark, folder, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.summary(read(spark, folder, "documents"))
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(read(spark, folder, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.summary(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.summary(read(spark, folder, "documents"))
 
@@ -23,7 +43,12 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_archives": op2_archives,
     "op3_jaccard_join": op3_jaccard_join,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_packing": op6_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
 }

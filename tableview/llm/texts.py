@@ -77,6 +77,14 @@ def sequences(hashes: np.ndarray, length: int) -> np.ndarray:
     return mixed(total)
 
 
+def ordered(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One hash for each run of hashes between bounds, in their order; 0 for an empty run."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mixed(hashes) * _power("base", len(hashes)), out=sums[1:])
+    total = (sums[bounds[1:]] - sums[bounds[:-1]]) * _power("inverse", len(sums))[bounds[:-1]]
+    return mixed(total)
+
+
 class Words:
     """The words of a chunk: byte range, hash, and the bounds of each row's words."""
 
