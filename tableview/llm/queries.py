@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableview.llm import archives, decontaminate, jaccard_join, language, line_dedup, packing, pii, toxicity
+from tableview.llm import (
+    archives,
+    decontaminate,
+    jaccard_join,
+    language,
+    line_dedup,
+    neighbours,
+    packing,
+    pii,
+    suffixes,
+    toxicity,
+)
 from tableview.llm.tables import read
 
 
@@ -22,6 +33,10 @@ def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.grouped(read(spark, folder, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(read(spark, folder, "embeddings"))
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.summary(read(spark, folder, "documents"))
 
@@ -30,6 +45,10 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(read(spark, folder, "documents"))
 
 
+def op7_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.summary(read(spark, folder, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.summary(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
@@ -46,8 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_archives": op2_archives,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_neighbours": op4_neighbours,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
+    "op7_suffixes": op7_suffixes,
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
