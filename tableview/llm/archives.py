@@ -40,6 +40,7 @@ from tableview.llm.tables import written
 from tableview.storage import new_path
 
 FILE_BYTES = 64 << 20
+BATCH_BYTES = 4 << 20
 END = "\r\n\r\n"
 CRAWLED = "20000101000000"
 
@@ -148,16 +149,15 @@ def converted(archives: DataFrame) -> DataFrame:
 
     def convert(batches):
         for batch in batches:
+            rows, size = [], 0
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = []
                 for record in read_arc(name, content.as_py()):
                     head, payload = _split(record)
-                    kind = "response" if head else "resource"
                     rows.append(
                         (
                             name,
                             record_id(name, record.offset),
-                            kind,
+                            "response" if head else "resource",
                             record.url,
                             iso_date(record.date),
                             record.ip,
@@ -168,15 +168,21 @@ def converted(archives: DataFrame) -> DataFrame:
                             base32_sha1(payload),
                         )
                     )
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, f.type) for c, f in zip(zip(*rows), _CONVERTED)],
-                        schema=_CONVERTED,
-                    )
+                    size += len(record.body)
+                    if size >= BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, size = [], 0
+            if rows:
+                yield _batch(rows)
 
     return archives.select("name", "content").mapInArrow(convert, CONVERTED)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(column, field.type) for column, field in zip(zip(*rows), _CONVERTED)]
+    return pa.RecordBatch.from_arrays(columns, schema=_CONVERTED)
+
+
 def warc_record(row: dict) -> bytes:
     """The record without its final line ends. `first`, if given, is the (source, id) of the
     record whose payload it repeats."""
@@ -229,11 +235,18 @@ def write_warc(records: DataFrame, path: str) -> None:
     def write(batches):
         begun = False
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = {name: batch.column(i)[at].as_py() for i, name in enumerate(names)}
-                record = warc_record(row)
-                lines = [record] if begun else [_info(record), record]
-                begun = True
+            lines, size = [], 0
+            for values in zip(*batch.columns):
+                record = warc_record({name: v.as_py() for name, v in zip(names, values)})
+                if not begun:
+                    lines.append(_info(record))
+                    begun = True
+                lines.append(record)
+                size += len(record)
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["value"])
+                    lines, size = [], 0
+            if lines:
                 yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["value"])
 
     lines = records.mapInArrow(write, "value binary").select(F.col("value").cast("string"))
