@@ -291,8 +291,8 @@ def summary(documents: DataFrame, **options) -> DataFrame:
     found = spans(docs, **options).dropDuplicates(["row"])
     rows = docs.select("doc_id", _row().alias("row"))
     counts = [
-        F.size(F.filter("base", lambda s, at=at: s["rank"] == at)).cast("long").alias(f"n_{kind}")
-        for at, kind in enumerate(KINDS[:4])
+        F.size(F.filter("base", _of(rank))).cast("long").alias(f"n_{kind}")
+        for rank, kind in enumerate(KINDS[:4])
     ]
     return rows.join(found, "row").select(
         "doc_id",
@@ -302,6 +302,10 @@ def summary(documents: DataFrame, **options) -> DataFrame:
     )
 
 
+def _of(rank: int):
+    return lambda span: span["rank"] == rank
+
+
 def _replacement(kind: int, word: str) -> str:
     if kind == 4:
         return ""
