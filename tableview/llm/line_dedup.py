@@ -1,10 +1,10 @@
 """Fuzzy line deduplication over the whole corpus, in DataFrame operations only.
 
-Lines end at a line feed. A line is normalised: lower case, digits as 0, white space as one blank,
-none outside. Lines of fewer than `MIN_CHARS` normalised characters are left alone. Lines that are
+Lines end at a line feed. A line is normalised: lower case, white space as one blank, none outside.
+Lines of fewer than `MIN_CHARS` normalised characters are left alone. Lines that are
 equal so are one kind of line, known by a hash.
 
-1. Each kind gets a 64-bit SimHash of its words.
+1. Each kind gets a 64-bit SimHash of its different words.
 2. Two kinds whose SimHashes differ in at most `DISTANCE` = 3 bits agree in two of five blocks of
    bits at least: ten keys per kind join all of them.
 3. A pair with near SimHashes is verified: the edit distance must be at most
@@ -34,40 +34,42 @@ SIMILARITY = 0.8
 DISTANCE = 3
 #: (first bit, bits) of the blocks.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+#: Bytes of a line that may have 2 ** 15 different words.
+LONG_LINE = 1 << 16
 #: Kinds sent to all tasks rather than joined by a shuffle.
 MOST_SENT = 500_000
 
 
 def normalised(line: Column) -> Column:
-    plain = F.translate(F.lower(line), "123456789", "0" * 9)
-    return F.trim(F.regexp_replace(plain, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[^\S ]", " "))
 
 
-def _simhash(width: int) -> str:
-    """SQL for the SimHash of the array `hashes`: the counts of 64 bits are kept in fields of
-    `width` bits, 64 / width of them in a long; the counts stay below 2 ** (width - 1)."""
+def _simhashes(words: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """The keys with the SimHash `sim` of their words' hashes `h`. The counts of the 64 bits are
+    kept in fields of `width` bits, 64 / width of them in a long, and summed by Spark; a key has
+    fewer than 2 ** (width - 1) words."""
     ones = sum(1 << place for place in range(0, 64, width))
-    ones = ones - (1 << 64) if ones >= 1 << 63 else ones
     most = (1 << width) - 1
-    counts = (
-        f"aggregate(hashes, array_repeat(0L, {width}), (counts, h) -> "
-        f"transform(counts, (n, k) -> n + (shiftright(h, k) & {ones}L)))"
-    )
-    return (
-        f"aggregate(sequence(0, 63), named_struct('counts', {counts}, 'bits', 0L), (s, b) -> "
-        f"named_struct('counts', s.counts, 'bits', s.bits | if(2 * (shiftrightunsigned("
-        f"s.counts[b % {width}], (b div {width}) * {width}) & {most}L) > size(hashes), "
-        f"shiftleft(1L, b), 0L)), s -> s.bits)"
-    )
+    sums = [F.expr(f"sum(shiftright(h, {k}) & {ones}L)").alias(f"c{k}") for k in range(width)]
+    bits = [
+        f"if(2 * (shiftrightunsigned(c{bit % width}, {bit // width * width}) & {most}L) > n, "
+        f"{1 << bit if bit < 63 else -(1 << 63) + 1}L{' - 1L' if bit == 63 else ''}, 0L)"
+        for bit in range(64)
+    ]
+    counted = words.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+    return counted.select(*keys, F.expr(" | ".join(f"({bit})" for bit in bits)).alias("sim"))
+
 
+def with_simhash(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of the lines with the SimHash of the different blank-separated words of `line`."""
 
-def with_simhash(frame: DataFrame, text: str, name: str) -> DataFrame:
-    """The frame with the SimHash of the blank-separated words of a column."""
-    hashed = frame.withColumn("hashes", F.transform(F.split(text, " "), lambda word: F.xxhash64(word)))
-    size = F.size("hashes")
-    value = F.when(size <= 127, F.expr(_simhash(8)))
-    value = value.when(size <= 32_767, F.expr(_simhash(16))).otherwise(F.expr(_simhash(32)))
-    return hashed.withColumn(name, value).drop("hashes")
+    def words(part: DataFrame) -> DataFrame:
+        word = F.explode(F.array_distinct(F.split("line", " ")))
+        return part.select(*keys, word.alias("word")).select(*keys, F.xxhash64("word").alias("h"))
+
+    size = F.octet_length("line")
+    usual = _simhashes(words(lines.where(size < LONG_LINE)), keys, 16)
+    return usual.union(_simhashes(words(lines.where(size >= LONG_LINE)), keys, 32))
 
 
 def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
@@ -95,7 +97,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     both = pairs.join(texts.toDF("a", "one"), "a").join(texts.toDF("b", "other"), "b")
     longest = "greatest(char_length(one), char_length(other))"
     most = f"cast(floor({longest} * {1 - similarity:.6f}) AS int)"
-    return both.where(f"levenshtein(one, other, {most}) >= 0").select("a", "b")
+    # The cost grows with the distance asked for, and most pairs are much nearer than allowed.
+    near = f"levenshtein(one, other, cast({most} div 16 AS int)) >= 0"
+    return both.where(f"if({near}, true, levenshtein(one, other, {most}) >= 0)").select("a", "b")
 
 
 def _near(one: str, other: str, distance: int) -> Column:
@@ -112,9 +116,7 @@ def repeats(
     if not 0 <= distance <= 3:
         raise ValueError("two of five blocks agree only up to a distance of 3")
     lines = _lines(documents, min_chars)
-    placed = written(
-        with_simhash(lines, "line", "sim").select("doc", "row", "pos", "kind", "sim"), "lines"
-    )
+    placed = written(with_simhash(lines, ["doc", "row", "pos", "kind"]), "lines")
     kinds = placed.groupBy("kind").agg(
         F.min("sim").alias("sim"), F.min(F.struct("doc", "row", "pos")).alias("first")
     )
