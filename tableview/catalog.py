@@ -152,7 +152,7 @@ class Catalog:
         try:
             return self._by_folded_name[name.upper()]
         except KeyError:
-            raise ConditionError(f"Unknown variable: {name}") from None
+            raise ConditionError(f"the table has no variable {name}") from None
 
     def exact(self, name: str) -> Variable:
         """By exact name, the way views and sorts name variables."""

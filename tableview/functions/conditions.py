@@ -13,6 +13,7 @@ stored column, negated or not, can be pushed into the Parquet scan.
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import math
 import operator
 from collections.abc import Callable
@@ -170,18 +171,28 @@ def var(name: str) -> Var:
 
 def _literal(variable: Variable, value) -> Column:
     if variable.kind == NUMERIC:
-        if isinstance(value, bool) or not isinstance(value, (int, float)):
+        if isinstance(value, bool) or not isinstance(value, (int, float, decimal.Decimal)):
             raise ConditionError(f"{variable.name} is numeric, {value!r} is not a number")
-        if isinstance(value, float) and not math.isfinite(value):
+        if not isinstance(value, int) and not math.isfinite(value):
             raise ConditionError(f"{variable.name} needs a finite number")
         if isinstance(value, int) and value not in _INT64:
             raise ConditionError(f"{value} does not fit into 64 bits")
+        if isinstance(variable.data_type, T.DecimalType) and not isinstance(value, int):
+            # As a decimal, so that the comparison with the stored column is pushed down.
+            return F.lit(value if isinstance(value, decimal.Decimal) else decimal.Decimal(repr(value)))
+        if isinstance(value, decimal.Decimal) and isinstance(
+            variable.data_type, (T.FloatType, T.DoubleType)
+        ):
+            return F.lit(float(value))
         whole = isinstance(variable.data_type, T.IntegralType) and value == int(value)
         # A whole number as such, so that a comparison with a stored integer is pushed down.
         return F.lit(int(value)) if whole and int(value) in _INT64 else F.lit(value)
     if variable.kind == TEMPORAL:
         if not isinstance(value, dt.date):
             raise ConditionError(f"{variable.name} is temporal, {value!r} is no date or time")
+        timed = isinstance(value, dt.datetime) and value.time() != dt.time()
+        if isinstance(variable.data_type, T.DateType) and timed:
+            raise ConditionError(f"{variable.name} holds dates, {value!r} has a time of day")
         # As text, which no time zone of the Python process can shift.
         return F.lit(value.isoformat()).cast(variable.data_type)
     if not isinstance(value, str):
@@ -196,7 +207,7 @@ def _operand(left: Variable, other, catalog: Catalog) -> tuple[Column, Column |
     right = catalog.find(other.name)
     if right.kind != left.kind:
         raise ConditionError(
-            f"Cannot compare {left.name} ({left.kind}) with {right.name} ({right.kind})"
+            f"{left.name} is {left.kind} and {right.name} is {right.kind}: they do not go together"
         )
     return right.operand, right.valid
 

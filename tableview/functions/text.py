@@ -30,12 +30,17 @@ def number_text(column: Column) -> Column:
     # 17 digits before and 21 after the point hold the text of every double of this range.
     digits = F.rtrim(own.cast("decimal(38,21)").cast("string"), F.lit("0"))
     plain = F.regexp_replace(digits, r"\.$", ".0")
-    # From 1e16 on older Java versions may print a digit too many.
-    sixteen_digits = F.format_string("%.15e", column)
-    excess = (size >= 1e16) & (F.length(own) > 20) & (sixteen_digits.try_cast("double") == column)
-    bare = F.regexp_replace(
-        F.when(excess, sixteen_digits).otherwise(own), r"\.?0*[eE]\+?", "e"
+    # From 1e16 on older Java versions may print digits too many: the shortest text of 15 to 17
+    # digits that reads back is taken, up to 9e18 from the whole number itself.
+    sixteen, seventeen = F.format_string("%.15e", column), F.format_string("%.16e", column)
+    long = (size >= 9e18) & (F.length(own) > 20)
+    shortest = (
+        F.when((size >= 1e16) & (size < 9e18), _whole_digits(column))
+        .when(long & (sixteen.try_cast("double") == column), sixteen)
+        .when(long & (seventeen.try_cast("double") == column), seventeen)
+        .otherwise(own)
     )
+    bare = F.regexp_replace(shortest, r"\.?0*[eE]\+?", "e")
     signed = F.regexp_replace(bare, r"e(\d)", "e+$1")
     scientific = F.regexp_replace(signed, r"([+-])(\d)$", "$10$2")
     return (
@@ -45,6 +50,29 @@ def number_text(column: Column) -> Column:
     )
 
 
+def _whole_digits(column: Column) -> Column:
+    """A double from 1e16 up to below 9e18 with an exponent, rounded to as few of its digits, 15
+    at least, as read back the same."""
+    size = F.abs(column)
+    whole = size.try_cast("bigint")
+    step = F.when(size < 1e17, F.lit(100)).when(size < 1e18, F.lit(1_000)).otherwise(10_000)
+
+    def rounded(unit: Column) -> Column:
+        half = F.floor(unit / 2)
+        return whole + half - F.pmod(whole + half, unit)
+
+    fifteen, sixteen, seventeen = (rounded(F.floor(step / part)) for part in (1, 10, 100))
+    chosen = (
+        F.when(fifteen.cast("double") == size, fifteen)
+        .when(sixteen.cast("double") == size, sixteen)
+        .otherwise(seventeen)
+        .cast("string")
+    )
+    digits = F.concat(F.substring(chosen, 1, 1), F.lit("."), F.substring(chosen, 2, 20))
+    exponent = F.concat(F.lit("e"), (F.length(chosen) - 1).cast("string"))
+    return F.concat(F.when(column < 0, "-").otherwise(""), digits, exponent)
+
+
 def value_text(column: Column, data_type: T.DataType) -> Column:
     """A value as text, NULL for a missing one."""
     clean = normalized(column, data_type)

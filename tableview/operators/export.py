@@ -12,8 +12,8 @@ from tableview.functions.text import BOM, csv_header, csv_line
 from tableview.operators.view import View
 from tableview.sources.ordered_files import natural_order
 
-# Beyond this size the export stays a folder of ordered parts instead of one file.
-SINGLE_FILE_BYTES = 8 * 1024**3
+# Names every part of an export in order, the header first.
+ORDER = "_order"
 
 
 @dataclass(frozen=True)
@@ -23,15 +23,13 @@ class Exported:
     single_file: bool
 
 
-def export_csv(
-    view: View, destination: str, *, single_file_bytes: int = SINGLE_FILE_BYTES
-) -> Exported:
+def export_csv(view: View, destination: str, *, single_file: bool = False) -> Exported:
     """Write the view as UTF-8 CSV with a byte-order mark and a header.
 
-    Executors format and write the lines of the sorted partitions in parallel. Up to
-    `single_file_bytes` the parts are then joined, in order, into one file that appears under
-    its name only when complete. A bigger export keeps its parts in `<destination>.parts`,
-    named so that joining the folder's files by name gives exactly the same bytes.
+    Executors format and write the lines of the sorted partitions in parallel. The result is the
+    folder `<destination>.parts`: a header, the parts, and the file `_order`, which names them in
+    order, one a line; joined so they are one CSV file. With `single_file` they are joined here,
+    as a stream inside the JVM, into one file that appears under its name only when complete.
     """
     view.table.require_complete("exporting")
     columns = view._visible()
@@ -46,17 +44,20 @@ def export_csv(
     try:
         lines.observe(observed, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").text(folder)
         rows = observed.get["rows"]
-        parts = [part for part in storage.list_files(spark, folder) if _is_data(part[0])]
-        if sum(size for _, size in parts) > single_file_bytes:
+        parts = [path for path, _ in storage.list_files(spark, folder) if _is_data(path)]
+        parts.sort(key=natural_order)
+        if single_file:
+            storage.concatenate(spark, header, parts, destination)
+        else:
+            names = ["header.csv", *(path.rsplit("/", 1)[-1] for path in parts)]
             storage.write_bytes(spark, f"{folder}/header.csv", header)
-            return Exported(rows, folder, False)
-        ordered = sorted((path for path, _ in parts), key=natural_order)
-        storage.concatenate(spark, header, ordered, destination)
+            storage.write_bytes(spark, f"{folder}/{ORDER}", "".join(f"{n}\n" for n in names).encode())
     except BaseException:
         storage.delete(spark, folder)
         raise
-    storage.delete(spark, folder)
-    return Exported(rows, destination, True)
+    if single_file:
+        storage.delete(spark, folder)
+    return Exported(rows, destination if single_file else folder, single_file)
 
 
 def _is_data(path: str) -> bool:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableview import storage
+from tableview.errors import TableViewError
 from tableview.sources.ordered_files import natural_order, top_tasks
 
 SCHEMA = (
@@ -151,7 +152,8 @@ def cleaned(log: DataFrame, text: str = "where_text") -> DataFrame:
 
 def keep_latest(log: DataFrame, order: str = "id", entries: int = KEPT_ENTRIES) -> DataFrame:
     """Only the newest entries: a top-k, no full sort."""
-    return log.coalesce(top_tasks(log.sparkSession)).orderBy(F.col(order).desc()).limit(kept_entries(entries))
+    kept = kept_entries(entries)
+    return log.coalesce(top_tasks(kept)).orderBy(F.col(order).desc()).limit(kept)
 
 
 def listed(
@@ -178,7 +180,8 @@ class ConditionLog:
     """A log in the shared folder. Each change writes a new version beside the old one.
 
     A version is current once its write is committed, so a failed change leaves the log as it
-    was. One writer at a time; the retention keeps every version small.
+    was. Its name holds the highest id ever given: no id is used again, whatever is deleted.
+    One writer at a time; the retention keeps every version small.
     """
 
     def __init__(self, spark: SparkSession, root: str, entries: int = KEPT_ENTRIES) -> None:
@@ -200,10 +203,17 @@ class ConditionLog:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(versions[-1])
 
-    def _write(self, log: DataFrame) -> None:
+    def highest(self) -> int:
+        """The highest id ever given, 0 for a new log."""
         versions = self._versions()
-        number = int(versions[-1].rsplit("-", 1)[-1]) + 1 if versions else 1
-        log.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/version-{number}")
+        return int(versions[-1].rsplit("-", 1)[-1]) if versions else 0
+
+    def _write(self, log: DataFrame, highest: int | None = None) -> None:
+        versions = self._versions()
+        number = int(versions[-1].rsplit("-", 2)[-2]) + 1 if versions else 1
+        highest = self.highest() if highest is None else highest
+        path = f"{self.root}/version-{number}-{highest}"
+        log.coalesce(1).write.mode("overwrite").parquet(path)
         for old in versions[:-1]:
             storage.delete(self.spark, old)
 
@@ -216,22 +226,30 @@ class ConditionLog:
         newest = log.orderBy(F.col("id").desc()).limit(1).first()
         if newest is not None and (newest.dataset_path, newest.where_text) == (path, stripped):
             return None
-        number = 1 if newest is None else newest.id + 1
+        number = self.highest() + 1
         stamp = (when or dt.datetime.now(dt.UTC)).isoformat(timespec="seconds")
         name = path.rstrip("/").rsplit("/", 1)[-1]
         entry = self.spark.createDataFrame([(number, path, name, stripped, stamp)], SCHEMA)
-        self._write(keep_latest(log.unionByName(entry), entries=self.entries))
+        self._write(keep_latest(log.unionByName(entry), entries=self.entries), number)
         return number
 
     def add_all(self, batch: DataFrame) -> None:
-        """Log many conditions at once; their ids continue after the newest entry's."""
-        log = self.read()
+        """Log many conditions at once. Their ids must be unique and above every id ever given;
+        two aggregations check that first."""
+        log, highest = self.read(), self.highest()
+        low, high, rows, ids = batch.agg(
+            F.min("id"), F.max("id"), F.count(F.lit(1)), F.countDistinct("id")
+        ).first()
+        if not rows:
+            return
+        if low is None or low <= highest or ids != rows:
+            raise TableViewError(f"the ids of a batch must be unique and above {highest}")
         newest = log.orderBy(F.col("id").desc()).limit(1).first()
         latest = None if newest is None else (newest.dataset_path, newest.where_text)
         fresh = drop_consecutive(
             cleaned(batch), "id", ["dataset_path", "where_text"], latest=latest
         )
-        self._write(keep_latest(log.unionByName(fresh), entries=self.entries))
+        self._write(keep_latest(log.unionByName(fresh), entries=self.entries), high)
 
     def list(self, path: str | None = None) -> DataFrame:
         return listed(self.read(), path=path)

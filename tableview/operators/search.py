@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableview.catalog import SOURCE_ROW, VIEW_ROW, quoted
 from tableview.functions.text import any_text_contains, shows
@@ -115,8 +116,9 @@ def _growing(low: int, high: int, forward: bool):
 
 def _find_from_end(view: View, text: str, forward: bool) -> Found | None:
     key = quoted(view.sort.variable) if view.sort else F.lit(None).cast("int")
+    carried, restored = _carrying(view)
     candidates = _matches(view, view._sortable(), text).select(
-        key.alias("_key"), SOURCE_ROW, _matched_column(view, text).alias("column_name")
+        key.alias("_key"), carried(key).alias("_carried"), SOURCE_ROW, _matched_column(view, text).alias("column_name")
     )
     rank = [F.col("_key"), F.col(SOURCE_ROW)]
     ascending = view.sort.ascending if view.sort else True
@@ -128,11 +130,25 @@ def _find_from_end(view: View, text: str, forward: bool) -> Found | None:
     hit = candidates.orderBy(first, second).limit(1).first()
     if hit is None:
         return None
-    before = view._sortable().filter(_comes_before(view, hit["_key"], hit[SOURCE_ROW])).count()
+    limit = None if hit["_carried"] is None else restored(hit["_carried"])
+    before = view._sortable().filter(_comes_before(view, limit, hit[SOURCE_ROW])).count()
     return Found(before, hit["column_name"])
 
 
-def _comes_before(view: View, key, source_row: int) -> Column:
+def _carrying(view: View):
+    """How the sort key of the match comes to the driver and back: times as whole numbers, which
+    no time zone can shift, everything else as it is."""
+    kind = view.table.catalog.exact(view.sort.variable).data_type if view.sort else None
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros, lambda value: F.timestamp_micros(F.lit(value))
+    if isinstance(kind, T.DateType):
+        return F.unix_date, lambda value: F.date_from_unix_date(F.lit(value))
+    if isinstance(kind, (T.TimestampNTZType, T.DayTimeIntervalType, T.YearMonthIntervalType)):
+        return lambda key: key.cast("string"), lambda value: F.lit(value).cast(kind)
+    return lambda key: key, F.lit
+
+
+def _comes_before(view: View, key: Column | None, source_row: int) -> Column:
     """Rows ahead of the row with this sort key and source row, missing keys being lowest."""
     earlier = F.col(SOURCE_ROW) < source_row
     if view.sort is None:
@@ -141,7 +157,7 @@ def _comes_before(view: View, key, source_row: int) -> Column:
     if key is None:
         tied = column.isNull() & earlier
         return tied if view.sort.ascending else column.isNotNull() | tied
-    tied = (column == F.lit(key)) & earlier
+    tied = (column == key) & earlier
     if view.sort.ascending:
-        return column.isNull() | (column < F.lit(key)) | tied
-    return (column > F.lit(key)) | tied
+        return column.isNull() | (column < key) | tied
+    return (column > key) | tied

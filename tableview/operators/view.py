@@ -16,7 +16,7 @@ from tableview.errors import ColumnSelectionError
 from tableview.functions.conditions import Condition, any_contains
 from tableview.functions.text import csv_line, display_text
 from tableview.operators.row_index import RowIndex, filtered_index, sorted_index, source_index
-from tableview.sources.ordered_files import sorted_rows, top_tasks
+from tableview.sources.ordered_files import partition_count, sorted_rows, top_tasks
 from tableview.sources.table import Table
 
 # Rows per page, the usual number and the bounds it is kept within.
@@ -24,10 +24,9 @@ PAGE_ROWS = 500
 LEAST_PAGE_ROWS = 50
 MOST_PAGE_ROWS = 5_000
 
-# A page is a top-k over the view as long as this many rows, the candidates of all tasks
-# together, reach the task that picks the page. Pages further down come from the row index.
-TOP_CANDIDATES = 20_000_000
-
+# A page is a top-k over the view as long as it ends within this many rows: every task holds so
+# many. Pages further down come from the row index.
+TOP_ROWS = 4 * MOST_PAGE_ROWS
 
 # A filtered page in source order looks at this many rows of the table first, and at this many
 # times more as long as too few pass; a table of up to so many bytes is simply read.
@@ -145,9 +144,24 @@ class View:
 
     def ordered(self) -> DataFrame:
         """The whole view in order."""
-        ranged = sorted_rows(self._sortable(), self.order(), self.table.source_bytes)
+        ranged = sorted_rows(self._sortable(), self.order(), self._sorted_bytes())
         return ranged.select(SOURCE_ROW, *map(quoted, self.columns))
 
+    def _sorted_bytes(self) -> int:
+        """About the size of what a sort moves: the share of the table that the rows kept and the
+        columns shown have. The rows are only counted for a table that is big as a whole."""
+        size = self.table.source_bytes
+        usual = int(self.table.spark.conf.get("spark.sql.shuffle.partitions"))
+        if partition_count(self.table.spark, size) <= usual:
+            return size
+        fields = self.table.unnumbered._jdf.schema().fields()
+        widths = {field.name(): field.dataType().defaultSize() for field in fields}
+        moved = {*self.columns, *((self.sort.variable,) if self.sort else ())}
+        share = sum(widths[name] for name in moved) / max(1, sum(widths.values()))
+        if self.condition is not None:
+            share *= self.count() / max(1, self.table.row_count)
+        return int(size * share)
+
     def text_cells(self, missing: str = "") -> DataFrame:
         """The view's cells as text, with `_source_row`."""
         variables = [self.table.catalog.exact(name) for name in self._visible()]
@@ -209,11 +223,16 @@ class View:
             else:
                 kept = self.table.clean(self._kept(located), columns)
                 known = filtered_index(self.table.spark, kept, columns)
+            if self.sort in self._known:
+                # Frames made from the narrower index may still be read: it goes with release().
+                self._known.setdefault("replaced", []).append(self._known[self.sort])
             self._known[self.sort] = known
         return known.showing(columns)
 
     def release(self) -> None:
         """Delete the indexes this view has written."""
+        for known in self._known.pop("replaced", []):
+            known.drop()
         for key in [key for key in self._known if key != "count"]:
             self._known.pop(key).drop()
 
@@ -226,11 +245,10 @@ class View:
         """`limit` rows from row `offset` on, in order, with `_view_row`."""
         columns = self._visible()
         plain = self.condition is None and self.sort is None
-        tasks = top_tasks(self.table.spark)
-        if plain or self.sort in self._known or tasks * (offset + limit) > TOP_CANDIDATES:
+        if plain or self.sort in self._known or offset + limit > TOP_ROWS:
             return self.slice(offset, offset + limit).orderBy(VIEW_ROW).limit(limit)
         rows = self._leading_rows(offset + limit) if self.sort is None else self._sortable()
-        ranked = rows.coalesce(tasks).orderBy(*self.order())
+        ranked = rows.coalesce(top_tasks(offset + limit)).orderBy(*self.order())
         # A global limit leaves one sorted partition, so the ids on it count 0, 1, 2, ...
         position = F.lit(offset).cast("bigint") + F.monotonically_increasing_id()
         page = ranked.offset(offset).limit(limit).withColumn(VIEW_ROW, position)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableview import storage
@@ -96,6 +98,18 @@ def loaded_events(spark: SparkSession, folder: str, rows_per_file: int = CHUNK_R
     return load
 
 
+def stopped_load(spark: SparkSession, folder: str):
+    """A load that ended when only the first half of the events had arrived."""
+    whole = opened(spark, folder, "events")
+    total = whole.row_count
+    half = whole.with_source_row.where(F.col(SOURCE_ROW) <= total // 2).drop(SOURCE_ROW)
+    copy = storage.new_path(spark, "half")
+    half.write.parquet(copy)
+    load = ingest(open_table(spark, copy), files_per_batch=1)
+    load.wait()
+    return replace(load, total_hint=total)
+
+
 def reload_view(spark: SparkSession, folder: str) -> DataFrame:
     """A view on customers carried over to a version without one of its columns."""
     old = (
@@ -125,10 +139,14 @@ def reload_dropped_condition(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _sorted_customers(spark: SparkSession, folder: str):
+    return view(spark, folder, "customer").sort_by("c_acctbal", ascending=False)
+
+
 def exported_file(spark: SparkSession, folder: str) -> DataFrame:
     """Export a sorted view to one CSV file and read that file back."""
-    shown = view(spark, folder, "customer").sort_by("c_acctbal", ascending=False)
-    done = export_csv(shown, storage.new_path(spark, "export") + ".csv")
+    shown = _sorted_customers(spark, folder)
+    done = export_csv(shown, storage.new_path(spark, "export") + ".csv", single_file=True)
     return (
         spark.read.schema(shown.table.unnumbered.schema)
         .csv(done.path, header=True)
@@ -136,6 +154,28 @@ def exported_file(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def exported_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Export a sorted view and read its parts back, each line with its place in the export."""
+    shown = _sorted_customers(spark, folder).select("c_custkey", "c_name")
+    path = export_csv(shown, storage.new_path(spark, "export") + ".csv").path
+    names = spark.read.text(f"{path}/_order").coalesce(1)
+    names = names.select(
+        F.col("value").alias("name"), F.monotonically_increasing_id().alias("part")
+    )
+    texts = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_name").alias("name"), F.split("value", "\n").alias("lines")
+    )
+    texts = texts.select("name", F.slice("lines", 1, F.size("lines") - 1).alias("lines"))
+    # One small row a part is numbered; the lines themselves stay where they are.
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("size").over(order), F.lit(0))
+    sizes = texts.select("name", F.size("lines").alias("size")).join(names, "name")
+    parts = texts.join(sizes.select("name", before.alias("before")), "name")
+    lines = parts.select("before", F.posexplode("lines").alias("at", "line"))
+    line = F.regexp_replace("line", "^\ufeff", "")
+    return lines.select((F.col("before") + F.col("at")).alias("place"), line.alias("line"))
+
+
 QUERIES = {
     "open_table": Query(open_orders, ORDERS_SQL),
     "open_csv": Query(
@@ -180,6 +220,17 @@ FROM events""",
         """
 SELECT count(*) AS cached_rows, count(*) AS total_rows, true AS complete FROM events""",
     ),
+    "ingest_stopped_status": Query(
+        lambda spark, folder: stopped_load(spark, folder).status_frame(),
+        """
+SELECT count(*) // 2 AS cached_rows, count(*) AS total_rows, false AS complete FROM events""",
+    ),
+    "ingest_partial_page": Query(
+        lambda spark, folder: View.of(stopped_load(spark, folder).table())
+        .select("event_id", "event_type")
+        .page(0, 500),
+        "SELECT event_id AS _view_row, event_id, event_type FROM events WHERE event_id < 500",
+    ),
     "reload_view": Query(
         reload_view,
         """
@@ -223,6 +274,15 @@ FROM documents""",
         exported_file,
         "SELECT *, (SELECT count(*) FROM customer) AS exported_rows FROM customer",
     ),
+    "export_csv_parts": Query(
+        exported_parts,
+        """
+SELECT 0 AS place, 'c_custkey,c_name' AS line
+UNION ALL
+SELECT row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS place,
+       concat(CAST(c_custkey AS VARCHAR), ',', c_name) AS line
+FROM customer""",
+    ),
     "number_text": Query(
         lambda spark, folder: opened(spark, folder, "lineitem").unnumbered.select(
             "l_extendedprice",

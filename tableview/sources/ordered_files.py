@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Above this many runs the table of first rows (about 200 bytes each) is no longer broadcast.
+# Up to this many runs the table of first rows is broadcast with the paths of the files (about
+# 200 bytes a run), up to MOST_RUNS with 64-bit hashes of them (about 40 bytes) instead.
 BROADCAST_RUNS = 200_000
+MOST_RUNS = 5_000_000
 
 # Then it is joined by file and slice, a slice being at most this many rows of one file.
 SLICE_ROWS = 5_000_000
@@ -30,6 +32,9 @@ SLICE_ROWS = 5_000_000
 # range over more files reads them all.
 NAMED_FILES = 1_000
 
+# The candidates of all tasks of a top-k that may reach the task that picks the result.
+TOP_CANDIDATES = 5_000_000
+
 # Hidden columns of a Parquet scan: the file a row lies in and its position there.
 FILE = "_metadata.file_path"
 POSITION = "_metadata.row_index"
@@ -44,6 +49,7 @@ class Run:
     position: int
     rows: int
     bytes: int
+    written: int = 0
     first: int = 0
 
     @property
@@ -69,15 +75,22 @@ class OrderedFiles:
     """Numbers the rows of a Parquet DataFrame.
 
     `source` optionally names columns holding where each row came from (original file, block):
-    then the order is that of the source, and the files are just where the rows lie now.
+    then the order is that of the source, and the files are just where the rows lie now. Files
+    `by_arrival` are ordered by the time they were written: more files leave the numbers as they
+    are.
     """
 
     def __init__(
-        self, spark: SparkSession, frame: DataFrame, source: tuple[str, str] | None = None
+        self,
+        spark: SparkSession,
+        frame: DataFrame,
+        source: tuple[str, str] | None = None,
+        by_arrival: bool = False,
     ) -> None:
         self.spark = spark
         self.frame = frame
         self.source = source
+        self.by_arrival = by_arrival
 
     @cached_property
     def single_file(self) -> bool:
@@ -92,6 +105,7 @@ class OrderedFiles:
             .agg(
                 F.count(F.lit(1)).alias("rows"),
                 F.max("_metadata.file_size").alias("bytes"),
+                F.max(F.unix_micros("_metadata.file_modification_time")).alias("written"),
                 *([F.min(F.col(POSITION)).alias("position")] if keys else []),
             )
             .toArrow()
@@ -104,6 +118,7 @@ class OrderedFiles:
                 position=row.get("position", 0),
                 rows=row["rows"],
                 bytes=row["bytes"],
+                written=row["written"] if self.by_arrival else 0,
             )
             for row in counted
         ]
@@ -116,14 +131,14 @@ class OrderedFiles:
 
     def _order(self, run: Run) -> tuple:
         if not run.source:
-            return (natural_order(run.file),)
+            return (run.written, natural_order(run.file))
         file, block = run.source
         return (natural_order(file), block, natural_order(run.file), run.position)
 
     @property
     def keeps_order(self) -> bool:
         """Numbering leaves the rows where and in the order the scan finds them."""
-        return self.source is None and (self.single_file or len(self.runs) <= BROADCAST_RUNS)
+        return self.source is None and (self.single_file or len(self.runs) <= MOST_RUNS)
 
     @property
     def total(self) -> int:
@@ -194,6 +209,9 @@ class OrderedFiles:
             keys.append(f"_run_{i}")
         if len(runs) <= BROADCAST_RUNS:
             joined = located.join(F.broadcast(shifts), keys)
+        elif len(runs) <= MOST_RUNS and (hashed := _hashed(shifts, keys)) is not None:
+            located = located.withColumns({key: F.xxhash64(key) for key in keys if key in PATHS})
+            joined = located.join(F.broadcast(hashed), keys)
         else:
             joined = _sliced_join(located, shifts, keys)
         if clipped:
@@ -203,6 +221,20 @@ class OrderedFiles:
         return numbered.drop(*keys, "_run_position", "_run_shift", "_run_start", "_run_last")
 
 
+#: Keys of runs that are paths.
+PATHS = ("_run_file", "_run_0")
+
+
+def _hashed(shifts: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The runs with hashes in place of paths; None if two paths have the same hash."""
+    paths = [key for key in keys if key in PATHS]
+    for path in paths:
+        counted = shifts.agg(F.countDistinct(path), F.countDistinct(F.xxhash64(path))).first()
+        if counted[0] != counted[1]:
+            return None
+    return shifts.withColumns({path: F.xxhash64(path) for path in paths})
+
+
 def _sliced_join(located: DataFrame, shifts: DataFrame, keys: list[str]) -> DataFrame:
     """The join by file for very many files. No key has more than SLICE_ROWS rows."""
 
@@ -217,17 +249,15 @@ def _sliced_join(located: DataFrame, shifts: DataFrame, keys: list[str]) -> Data
     )
 
 
-def top_tasks(spark: SparkSession) -> int:
-    """Tasks for a top-k: enough for every core, but not one per block of a huge scan.
-
-    Each task hands its own top-k to the single task that picks the result.
-    """
-    return 2 * spark.sparkContext.defaultParallelism
+def top_tasks(rows: int) -> int:
+    """Tasks for a top-k of so many rows: as many as may hand their own top-k to the single
+    task that picks the result. The cores of the moment do not matter."""
+    return max(1, TOP_CANDIDATES // max(rows, 1))
 
 
 def partition_count(spark: SparkSession, source_bytes: int) -> int:
     """Sort partitions for this much Parquet: the session's own number, or more if it is big."""
-    per_partition = 128 * 1024 * 1024
+    per_partition = 512 * 1024 * 1024
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(usual, -(-source_bytes // per_partition))
 

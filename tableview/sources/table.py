@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableview import storage
-from tableview.catalog import SOURCE_ROW, Catalog, contents, quoted
-from tableview.errors import IncompleteTableError
+from tableview.catalog import SOURCE_ROW, VIEW_ROW, Catalog, contents, quoted
+from tableview.errors import IncompleteTableError, TableViewError
 from tableview.sources.ordered_files import OrderedFiles
 
 ORIGIN_FILE = "_origin_file"
 ORIGIN_BLOCK = "_origin_block"
 
+# In the metadata of a stored `_source_row`: this library wrote it.
+NUMBERED = "tableview_source_row"
+
 # Rows per file of the tables this library writes: a page then touches one or two small files.
 ROWS_PER_FILE = 1_000_000
 
@@ -45,6 +48,13 @@ class Table:
     derive: Mapping[str, Column] = field(default_factory=dict)
     complete: bool = True
     expected_rows: int = 0
+    # The folder of a copy that belongs to this table alone.
+    owned: str | None = None
+
+    def release(self) -> None:
+        """Delete the copy this table was opened from, if the library made one for it."""
+        if self.owned is not None:
+            storage.delete(self.spark, self.owned)
 
     @property
     def name(self) -> str:
@@ -148,12 +158,13 @@ def open_table(
     if schema is not None:
         reader = reader.schema(schema)
     frame = reader.format(format).load(path)
-    origin = None
+    origin = copy = None
     if format != "parquet":
         copy = storage.new_path(spark, "copy")
         publish(with_origin(frame), copy, ROWS_PER_FILE)
         frame, path, origin = spark.read.parquet(copy), copy, (ORIGIN_FILE, ORIGIN_BLOCK)
-    return table_of(spark, path, frame, origin=origin, described=described, derive=derive)
+    table = table_of(spark, path, frame, origin=origin, described=described, derive=derive)
+    return replace(table, owned=copy)
 
 
 def with_origin(frame: DataFrame) -> DataFrame:
@@ -176,10 +187,17 @@ def table_of(
     derive: Mapping[str, Column] | None = None,
     complete: bool = True,
     expected_rows: int = 0,
+    by_arrival: bool = False,
 ) -> Table:
     """A table over Parquet files already read."""
-    stored_number = SOURCE_ROW in frame.columns
-    files = None if stored_number else OrderedFiles(spark, frame, origin)
+    stored_number = SOURCE_ROW in frame.columns and bool(
+        frame.schema[SOURCE_ROW].metadata.get(NUMBERED)
+    )
+    own = {*(origin or ()), *((SOURCE_ROW,) if stored_number else ())}
+    reserved = {SOURCE_ROW, VIEW_ROW, ORIGIN_FILE, ORIGIN_BLOCK} - own
+    if clash := sorted(reserved.intersection(name.lower() for name in frame.columns)):
+        raise TableViewError(f"these column names are reserved: {', '.join(clash)}")
+    files = None if stored_number else OrderedFiles(spark, frame, origin, by_arrival)
     derive = dict(derive or {})
     visible = [c for c in frame.columns if c not in (SOURCE_ROW, *(origin or ()))]
     shaped = frame.select(
@@ -198,9 +216,15 @@ def snapshot(table: Table, rows_per_file: int = ROWS_PER_FILE) -> Table:
     """
     table.require_complete("a snapshot")
     copy = storage.new_path(table.spark, "snapshot")
-    publish(table.with_source_row, copy, rows_per_file)
+    publish(marked(table.with_source_row), copy, rows_per_file)
     described = {v.name: v.field_metadata() for v in table.catalog.variables}
-    return table_of(table.spark, copy, table.spark.read.parquet(copy), described=described)
+    frozen = table_of(table.spark, copy, table.spark.read.parquet(copy), described=described)
+    return replace(frozen, owned=copy)
+
+
+def marked(frame: DataFrame) -> DataFrame:
+    """The frame with its `_source_row` marked as written by this library."""
+    return frame.withMetadata(SOURCE_ROW, {NUMBERED: True})
 
 
 def publish(frame: DataFrame, path: str, rows_per_file: int) -> None:

@@ -59,8 +59,7 @@ def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
 def concatenate(spark: SparkSession, header: bytes, parts: list[str], destination: str) -> None:
     """Write header + parts to a `.part` file and rename it over the destination.
 
-    The bytes flow from stream to stream inside the JVM, never through Python. Callers bound
-    the total size first.
+    The bytes flow from stream to stream inside the JVM, never through Python.
     """
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()

@@ -3,7 +3,9 @@
 A file stream appends a few source files per micro-batch to a Parquet sink. The checkpoint and
 the sink's own log make each file land exactly once, also when executors or the driver are lost
 and the load is started again with the same folder. Source row numbers come from the source's
-file order, not from arrival, so they do not depend on how files fall into batches.
+file order, not from arrival, so they do not depend on how files fall into batches. While the
+load goes on, rows are shown and numbered in the order in which they arrive: every row that has
+arrived is on some page, and later arrivals leave those pages as they are.
 """
 
 from __future__ import annotations
@@ -17,7 +19,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tableview import storage
 from tableview.catalog import SOURCE_ROW
-from tableview.sources.table import IngestStatus, Table, table_of
+from tableview.sources.table import IngestStatus, Table, marked, table_of
+
+
+# Of source files in a batch: a table of 100 TB arrives in some thousand batches.
+BATCH_BYTES = str(32 * 1024**3)
 
 
 @dataclass
@@ -36,14 +42,20 @@ class Ingest:
 
     def landed(self) -> DataFrame:
         """The rows that have arrived so far."""
-        schema = self.source.with_source_row.schema
+        schema = marked(self.source.with_source_row).schema
         if not storage.exists(self.spark, f"{self.landed_path}/_spark_metadata"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.landed_path)
 
     @property
     def finished(self) -> bool:
-        return not self.query.isActive and self.query.exception() is None
+        """All rows of the source have arrived, whether or not the query still runs."""
+        return self._holds_all(self.landed().count())
+
+    def _holds_all(self, rows: int) -> bool:
+        # An empty source is over when its query has ended by itself.
+        ended = not self.query.isActive and self.query.exception() is None
+        return rows >= self.total_hint and (self.total_hint > 0 or ended)
 
     def status(self) -> IngestStatus:
         """Rows so far, rows expected, and whether the load is over.
@@ -54,13 +66,11 @@ class Ingest:
 
     def status_frame(self) -> DataFrame:
         """The status as one row (cached_rows, total_rows, complete)."""
-        finished = self.finished
         cached = F.count(F.lit(1))
-        total = cached if finished else F.greatest(cached, F.lit(self.total_hint))
         return self.landed().agg(
             cached.alias("cached_rows"),
-            total.alias("total_rows"),
-            F.lit(finished).alias("complete"),
+            F.greatest(cached, F.lit(self.total_hint)).alias("total_rows"),
+            F.lit(self.finished).alias("complete"),
         )
 
     def batches(self) -> list[int]:
@@ -76,15 +86,22 @@ class Ingest:
         """
         finished = self.finished
         described = {v.name: v.field_metadata() for v in self.source.catalog.variables}
+        landed = self.landed()
         return table_of(
             self.spark,
             self.landed_path,
-            self.landed(),
+            landed if finished else landed.drop(SOURCE_ROW),
             described=described,
             complete=finished,
             expected_rows=self.total_hint,
+            by_arrival=not finished,
         )
 
+    def release(self) -> None:
+        """Delete what was loaded, once the load is over."""
+        self.query.stop()
+        storage.delete(self.spark, self.folder)
+
     def wait(self) -> Table:
         self.query.awaitTermination()
         return self.table()
@@ -93,23 +110,23 @@ class Ingest:
 def ingest(
     source: Table,
     *,
-    files_per_batch: int | None = 1,
+    files_per_batch: int | None = None,
     bytes_per_batch: str | None = None,
     folder: str | None = None,
     options: Mapping[str, str] | None = None,
 ) -> Ingest:
     """Start loading a Parquet table file by file and return at once.
 
-    A batch is bounded by a number of files or, for files of very uneven size, by bytes. Pass
-    the folder of an interrupted load to go on with it.
+    A batch is bounded by a number of files or by bytes, by `BATCH_BYTES` if neither is given.
+    Pass the folder of an interrupted load to go on with it.
     """
     spark = source.spark
     folder = folder or storage.new_path(spark, "ingest")
     reader = spark.readStream.schema(source.rows.schema).options(**dict(options or {}))
-    if bytes_per_batch is not None:
-        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
-    elif files_per_batch is not None:
+    if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch or BATCH_BYTES)
     if storage.is_file(spark, source.path):
         parent, name = source.path.rsplit("/", 1)
         arriving = reader.option("pathGlobFilter", name).parquet(parent)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 
 from tableview import (
     IncompleteTableError,
+    TableViewError,
     View,
     export_csv,
     find,
@@ -141,7 +144,7 @@ def test_rebind_drops_what_no_longer_fits(spark, saved):
     assert done.view.condition is None and done.view.sort.variable == "x"
     gone = open_table(spark, saved([("a",)], "s string", "gone"))
     done = rebind(old, gone)
-    assert "Unknown variable" in done.warning
+    assert "has no variable" in done.warning
     assert done.view.columns == ("s",) and done.view.sort is None
 
 
@@ -165,3 +168,37 @@ def test_failed_reload_keeps_the_old_view(spark, saved, tmp_path):
         rebind(view, open_table(spark, str(tmp_path / "missing.parquet")))
     assert view.count() == 100
     assert storage.exists(spark, view.table.path)
+
+
+def test_a_stopped_load_is_not_complete_and_shows_what_it_has(spark, saved):
+    """Files whose times run against the order of their names arrive last name first."""
+    import os
+
+    path = saved(ROWS, SCHEMA, files=4)
+    files = sorted(os.path.join(at, f) for at, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+    for place, file in enumerate(files):
+        os.utime(file, (2e9 - place * 10, 2e9 - place * 10))
+    source = open_table(spark, path)
+    load = ingest(source, files_per_batch=1)
+    load.wait()
+    first = load.batches()
+    assert first == [25, 25, 25, 25] and load.finished
+    stopped = replace(load, total_hint=400)
+    assert not stopped.finished
+    assert tuple(stopped.status_frame().first()) == (100, 400, False)
+    view = View.of(stopped.table())
+    pages = [view.page(at, 50).collect() for at in (0, 50)]
+    assert [row._view_row for page in pages for row in page] == list(range(100))
+    assert {row.USUBJID for page in pages for row in page} == {name for name, _ in ROWS}
+    load.release()
+    assert not storage.exists(spark, load.folder)
+
+
+def test_reserved_names_and_release(spark, saved):
+    path = saved([(0, "a"), (10, "b")], "_source_row int, t string")
+    with pytest.raises(TableViewError, match="_source_row"):
+        open_table(spark, path)
+    table = snapshot(open_table(spark, saved(ROWS, SCHEMA, "plain")))
+    assert open_table(spark, table.path).with_source_row.count() == 100
+    table.release()
+    assert not storage.exists(spark, table.path)

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tableview import ConditionLog
+from tableview import ConditionLog, TableViewError
 from tableview.operators.log import cleaned, drop_consecutive, kept_entries, with_previous
 
 WHEN = dt.datetime(2024, 5, 1, 12, 30, 45, 999, tzinfo=dt.UTC)
@@ -133,3 +133,22 @@ def test_blanks_are_those_python_strips(spark):
     assert {row.where_text for row in cleaned(frame).collect()} == {"x"}
     blank = spark.createDataFrame([(1, " \t　"), (2, None)], "id int, where_text string")
     assert cleaned(blank).count() == 0
+
+
+def test_ids_are_never_used_again(log):
+    assert [log.add("/a", text) for text in "12"] == [1, 2]
+    log.delete(2)
+    assert log.add("/a", "3") == 3
+    log.clear()
+    assert log.add("/a", "4") == 4
+
+
+def test_a_batch_with_used_or_repeated_ids_is_refused(spark, log):
+    log.add("/a", "1")
+    schema = log.read().schema
+    for ids in ((1, 2), (5, 5), (None, 7)):
+        rows = [(number, "/a", "a", f"X = {at}", "") for at, number in enumerate(ids)]
+        with pytest.raises(TableViewError, match="unique and above 1"):
+            log.add_all(spark.createDataFrame(rows, schema))
+    log.add_all(spark.createDataFrame([(9, "/a", "a", "X = 9", "")], schema))
+    assert log.add("/a", "10") == 10

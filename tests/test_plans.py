@@ -102,7 +102,7 @@ def test_big_tables_get_more_sort_partitions(spark, view):
     from tableview.sources.ordered_files import partition_count, sorted_rows
 
     assert partition_count(spark, 1) == 8
-    assert partition_count(spark, 100 * 1024**4) == 819_200
-    frame = sorted_rows(view.rows(), [F.col("k").asc()], 20 * 128 * 1024**2)
+    assert partition_count(spark, 100 * 1024**4) == 204_800
+    frame = sorted_rows(view.rows(), [F.col("k").asc()], 20 * 512 * 1024**2)
     assert "rangepartitioning(k#" in plan(frame) and ", 20)" in plan(frame)
     assert [row.k for row in frame.collect()] == list(range(2_000))

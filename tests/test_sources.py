@@ -12,7 +12,7 @@ from tableview.sources import ordered_files
 from tableview.sources.ordered_files import OrderedFiles, natural_order
 from tableview.sources.table import table_of
 
-ADSL = [("101-001", 45.0), ("101-002", 52.0), ("101-003", 30.0)]
+ADSL = [("K4-071", 45.0), ("K4-075", 52.0), ("K4-082", 30.0)]
 DESCRIBED = {
     "USUBJID": {"label": "Subject", "length": 20, "format": "$20."},
     "AGE": {"label": "Age", "length": 8, "format": "8."},
@@ -95,6 +95,10 @@ def test_source_rows_without_broadcast(spark, saved, monkeypatch):
     monkeypatch.setattr(ordered_files, "SLICE_ROWS", 7)
     frame = open_table(spark, path).with_source_row
     assert numbers(frame) == [(i + 1, i) for i in range(100)]
+    assert "hashpartitioning" not in frame._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ordered_files, "MOST_RUNS", 1)
+    frame = open_table(spark, path).with_source_row
+    assert numbers(frame) == [(i + 1, i) for i in range(100)]
     assert "Broadcast" not in frame._jdf.queryExecution().optimizedPlan().toString()
 
 
@@ -160,7 +164,7 @@ def test_snapshot_outlives_its_source(spark, saved):
     storage.delete(spark, path)
     view = View.of(frozen).where(var("AGE") >= 40)
     assert view.count() == 2
-    assert [row.USUBJID for row in view.page().collect()] == ["101-001", "101-002"]
+    assert [row.USUBJID for row in view.page().collect()] == ["K4-071", "K4-075"]
     assert [row._source_row for row in frozen.source_range(1, 3).collect()] == [2, 3]
 
 

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tableview import View, export_csv, open_table, var
+from tableview.sources.ordered_files import natural_order
 from tableview.functions.text import csv_header, number_text
 
 FIXED = [
@@ -64,7 +65,7 @@ CSV_ROWS = [
 
 
 def exported(spark, view, tmp_path, **options):
-    done = export_csv(view, str(tmp_path / "out.csv"), **options)
+    done = export_csv(view, str(tmp_path / "out.csv"), single_file=True, **options)
     return done, (tmp_path / "out.csv").read_bytes()
 
 
@@ -86,10 +87,11 @@ def test_export_single_column_keeps_empty_rows(spark, saved, tmp_path):
 def test_export_golden(adae, tmp_path):
     condition = (var("AESER") == "Y") & (var("AGE") >= 40)
     view = adae.where(condition).select("USUBJID", "AGE").sort_by("AGE", ascending=False)
-    done = export_csv(view, str(tmp_path / "current"))  # the suffix is added
+    # The suffix is added.
+    done = export_csv(view, str(tmp_path / "current"), single_file=True)
     assert done.rows == 2 and done.path.endswith("current.csv")
     data = (tmp_path / "current.csv").read_bytes()
-    assert data == b"\xef\xbb\xbfUSUBJID,AGE\n101-004,60.0\n101-001,45.0\n"
+    assert data == b"\xef\xbb\xbfUSUBJID,AGE\nK4-090,67.0\nK4-071,44.0\n"
 
 
 def test_export_replaces_and_orders_many_parts(spark, saved, tmp_path):
@@ -105,18 +107,26 @@ def test_export_replaces_and_orders_many_parts(spark, saved, tmp_path):
         assert done.rows == 5_000
 
 
-def test_big_export_stays_in_parts(spark, saved, tmp_path):
+def test_export_in_parts(spark, saved, tmp_path):
     rows = [(i, f"t{i}") for i in range(1_000)]
     view = View.of(open_table(spark, saved(rows, "k int, t string"))).sort_by("k", False)
-    done = export_csv(view, str(tmp_path / "big.csv"), single_file_bytes=10)
+    done = export_csv(view, str(tmp_path / "big.csv"), single_file=False)
     assert not done.single_file and done.rows == 1_000
     folder = tmp_path / "big.csv.parts"
-    names = sorted(p.name for p in folder.iterdir() if p.name[0] not in "._")
+    names = (folder / "_order").read_text().split()
+    assert sorted(names) == sorted(p.name for p in folder.iterdir() if p.name[0] not in "._")
     joined = b"".join((folder / name).read_bytes() for name in names)
     assert joined == python_csv(["k", "t"], rows[::-1])
     assert not (tmp_path / "big.csv").exists()
 
 
+def test_parts_beyond_99999_stay_in_order():
+    names = [f"part-{n:05d}-x-c000.txt" for n in (100_000, 99_999, 9, 10_001)]
+    assert [name[5:-11] for name in sorted(names, key=natural_order)] == [
+        "00009", "10001", "99999", "100000",
+    ]
+
+
 def test_failed_export_keeps_the_old_file(spark, saved, tmp_path):
     table = open_table(
         spark,
@@ -125,7 +135,7 @@ def test_failed_export_keeps_the_old_file(spark, saved, tmp_path):
     )
     (tmp_path / "out.csv").write_text("old")
     with pytest.raises(Exception, match="unreadable"):
-        export_csv(View.of(table), str(tmp_path / "out.csv"))
+        export_csv(View.of(table), str(tmp_path / "out.csv"), single_file=True)
     assert [p.name for p in tmp_path.iterdir() if "out" in p.name] == ["out.csv"]
     assert (tmp_path / "out.csv").read_text() == "old"
 
@@ -159,3 +169,16 @@ def test_header():
 def test_nonfinite_numbers_show_as_missing(spark, saved):
     view = View.of(open_table(spark, saved([(math.nan,), (math.inf,), (1.0,)], "x double")))
     assert [r.x for r in view.text_cells(".").orderBy("_source_row").collect()] == [".", ".", "1.0"]
+
+
+def test_number_text_is_the_shortest_over_the_whole_range(spark):
+    import struct
+
+    rng = random.Random(5)
+    values = [struct.unpack("d", rng.randbytes(8))[0] for _ in range(20_000)]
+    values = [v for v in values if v == v and abs(v) != float("inf")]
+    values += [10.0**e * rng.uniform(1, 10) for e in range(14, 25) for _ in range(400)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = frame.select("v", number_text(F.col("v")).alias("t")).collect()
+    wrong = [(row.v, row.t) for row in rows if row.t != repr(row.v)]
+    assert not wrong, wrong[:5]
