@@ -358,6 +358,74 @@ def _cells(pairs: DataFrame) -> DataFrame:
     )
 
 
+_CELLS = {"tokens": np.uint64, "keys": np.int64, "ns": np.uint32, "groups": np.int64}
+
+
+def _counted(cells: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """(key, n, other, shared, least, most): in how many rare tokens of a bucket the class meets
+    the union of another group, and the sizes of the members it meets there."""
+
+    def deal(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(place).to_numpy() for place in range(4)]
+            columns[0] = columns[0].view(np.uint64)
+            order, bounds = _split(columns[0], buckets)
+            parts = list(zip(bounds, bounds[1:]))
+            columns = [column[order].astype(kind) for column, kind in zip(columns, _CELLS.values())]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(buckets), pa.int64()),
+                    *(
+                        pa.array([column[a:b].tobytes() for a, b in parts], pa.binary())
+                        for column in columns
+                    ),
+                ],
+                names=["bucket", *_CELLS],
+            )
+
+    def meet(table: pa.Table) -> pa.Table:
+        tokens, keys, ns, groups = (
+            np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+            for name, kind in _CELLS.items()
+        )
+        order = np.lexsort((groups, tokens))
+        tokens, groups = tokens[order], groups[order]
+        first = np.ones(len(tokens), bool)
+        first[1:] = tokens[1:] != tokens[:-1]
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(tokens))
+        mixed_lists = groups[starts] != groups[ends - 1]
+        keys, ns, groups = keys[order].tolist(), ns[order].tolist(), groups.tolist()
+        met: dict[tuple[int, int, int], list[int]] = {}
+        for begin, end in zip(starts[mixed_lists].tolist(), ends[mixed_lists].tolist()):
+            unions: dict[int, list[int]] = {}
+            for at in range(begin, end):
+                union = unions.setdefault(groups[at], [ns[at], ns[at]])
+                union[0] = min(union[0], ns[at])
+                union[1] = max(union[1], ns[at])
+            for at in range(begin, end):
+                n, own = ns[at], groups[at]
+                for other, (least, most) in unions.items():
+                    if own < other and 100 * n >= percent * least and 100 * most >= percent * n:
+                        seen = met.setdefault((keys[at], n, other), [0, least, most])
+                        seen[0] += 1
+                        seen[1] = min(seen[1], least)
+                        seen[2] = max(seen[2], most)
+        names = ("key", "n", "other", "shared", "least", "most")
+        rows = [(*who, *seen) for who, seen in met.items()]
+        columns = zip(*rows) if rows else [()] * 6
+        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(names, columns)})
+
+    dealt = cells.select("token", "key", "n", "grp").mapInArrow(
+        deal, "bucket long, tokens binary, keys binary, ns binary, groups binary"
+    )
+    return dealt.groupBy("bucket").applyInArrow(
+        meet, "key long, n long, other long, shared long, least long, most long"
+    )
+
+
 def _crowded(cells: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes of different groups that share a frequent prefix token and
     enough prefix tokens in all.
@@ -435,22 +503,18 @@ def links(
     groups = written(components(first), "groups")
 
     own = groups.select(F.col("id").alias("key"), F.col("component").alias("grp"))
+    own = F.broadcast(own) if own.count() <= MOST_SENT else own
     cells = listed.select("token", "key", "n", "frequent").join(own, "key", "left")
     cells = cells.withColumn("grp", F.coalesce("grp", "key"))
     crowded = _crowded(cells, listed, percent)
-    cells = cells.where("NOT frequent")
-    matrix = cells.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    several = matrix.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("z"))
-    several = several.where("a < z").select("token")
-    matrix = matrix.join(several, "token").withColumnRenamed("grp", "other")
+    rare = cells.where("NOT frequent")
     low = F.greatest("least", F.ceil(percent * n / 100))
     high = F.least("most", F.floor(100 * n / percent))
     opened = (
-        cells.join(matrix, "token")
-        .where((F.col("grp") < F.col("other")) & (low <= high))
+        _counted(rare, buckets, percent)
         .groupBy("key", "n", "other")
         .agg(
-            F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most")
+            F.sum("shared").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most")
         )
         .where(
             F.col("shared")
@@ -458,6 +522,7 @@ def links(
         )
         .select("key", "n", "other")
     )
+    opened = written(opened, "opened")
     inside = cells.groupBy("grp", "key").agg(F.min("n").alias("m"))
     inside = inside.select(F.col("grp").alias("other"), F.col("key").alias("b"), "m")
     pairs = opened.join(inside, "other").where(_fits(percent, n, F.col("m")))
