@@ -8,7 +8,8 @@ repeated string covers goes. Texts are UTF-8 bytes; strings never cross texts.
    with one anchor are a segment; only segments whose anchor occurs again can hold repeats.
 2. *Copies.* Equal segments are one. A segment that occurs twice is repeated throughout.
 3. *Suffix arrays.* The different segments of an anchor meet in one bucket of about `BUCKET` bytes,
-   of which a task builds a suffix array. Suffixes smaller than their successors are sorted
+   of which a task builds a suffix array; segments that share no half of a string with any other
+   are left out first. Suffixes smaller than their successors are sorted
    directly; the others are induced by one scan over the buckets of first bytes. The common prefixes
    of neighbours then tell which strings are repeated.
 4. An anchor with more than `CROWD` different segments, such as the edge of a passage that very many
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableview.llm.tables import written
+from tableview.llm.tables import received, sent, written
 from tableview.llm.texts import Hashes, chunks, mixed
 
 LENGTH = 200
 GRAM = 32
 BUCKET = 1 << 20
-CROWD = 512
+CROWD = 8_192
 #: Rows sent to all tasks rather than joined by a shuffle.
 MOST_SENT = 500_000
 
@@ -138,21 +139,37 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Bytes that each suffix shares with the next one in the order, up to `most`."""
-    padded = np.concatenate([text, np.zeros(most + 8, np.uint8)])
+    """Bytes that each suffix shares with the next one in the order, up to `most`, found eight
+    bytes at a time."""
+    padded = np.concatenate([text, np.zeros(most + 16, np.uint8)])
+    words = np.zeros(len(text) + most + 8, np.uint64)
+    for place in range(8):
+        words = words << np.uint64(8) | padded[place : place + len(words)]
     shared = np.zeros(max(0, len(order) - 1), np.int64)
     alive = np.arange(len(shared))
-    for place in range(most):
-        same = padded[order[alive] + place] == padded[order[alive + 1] + place]
-        alive = alive[same]
+    for place in range(0, most, 8):
+        differ = words[order[alive] + place] ^ words[order[alive + 1] + place]
+        other = differ != 0
+        ended, differ = alive[other], differ[other]
+        same = np.zeros(len(ended), np.int64)
+        for byte in range(1, 8):
+            same += differ >> np.uint64(64 - 8 * byte) == 0
+        shared[ended] = place + same
+        alive = alive[~other]
         if not len(alive):
             break
-        shared[alive] = place + 1
-    return shared
+    shared[alive] = most
+    return np.minimum(shared, most)
 
 
 def _repeated(segments: list[bytes], counts: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
     """For each segment the runs [from, to) of string starts that another segment holds too."""
+    chosen = _sharing(segments, counts, length // 2)
+    if not chosen.all():
+        runs = iter(_repeated([s for s, c in zip(segments, chosen) if c], counts[chosen], length))
+        return [next(runs) if own else [] for own in chosen]
+    if not segments:
+        return []
     # UTF-8 has no byte 255: one more leaves 0 for the ends of segments.
     text = np.frombuffer(b"\xff".join(segments) + b"\xff", np.uint8) + np.uint8(1)
     order = suffix_array(text, length)
@@ -169,6 +186,22 @@ def _repeated(segments: list[bytes], counts: np.ndarray, length: int) -> list[li
     return found
 
 
+def _sharing(segments: list[bytes], counts: np.ndarray, half: int) -> np.ndarray:
+    """Which segments start a string with the same `half` bytes as another start in the bucket:
+    the others cannot hold a repeated string and need no sorting."""
+    sizes = np.array([len(segment) for segment in segments], np.int64)
+    hashes = Hashes(np.frombuffer(b"".join(segments), np.uint8))
+    of = np.repeat(np.arange(len(segments)), counts)
+    first = np.cumsum(counts) - counts
+    starts = np.arange(len(of)) - np.repeat(first - (np.cumsum(sizes) - sizes), counts)
+    _, place, times = np.unique(
+        hashes.of(starts, starts + half), return_inverse=True, return_counts=True
+    )
+    chosen = np.zeros(len(segments), bool)
+    chosen[of[times[place] > 1]] = True
+    return chosen
+
+
 _RUNS = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 _VERDICT = "anchor long, key long, n long, runs array<struct<low: long, high: long>>"
 
@@ -220,7 +253,6 @@ def _sorted(different: DataFrame, docs: DataFrame, length: int) -> DataFrame:
 
 def _counted(docs: DataFrame, crowds: DataFrame, length: int, gram: int) -> DataFrame:
     """(row, low, high): the strings of crowded anchors that occur twice, counted by hash."""
-    anchors = crowds.select("anchor")
 
     def expand(batches):
         for batch, data, offsets in chunks(batches, "text"):
@@ -238,14 +270,42 @@ def _counted(docs: DataFrame, crowds: DataFrame, length: int, gram: int) -> Data
     rows = docs.select("row", "text").mapInArrow(
         expand, "row long, start long, anchor long, strings array<long>"
     )
-    rows = rows.join(anchors, "anchor").select(
-        "row", "start", "anchor", F.posexplode("strings").alias("at", "string")
-    )
-    rows = written(rows, "strings")
-    twice = rows.groupBy("anchor", "string").agg(F.count("*").alias("times")).where("times > 1")
-    rows = rows.join(twice, ["anchor", "string"])
-    low = F.col("start") + F.col("at")
-    return rows.select("row", low.alias("low"), (low + 1).alias("high"))
+    few = crowds.count() <= MOST_SENT
+    anchors = crowds.select("anchor")
+    rows = written(rows.join(F.broadcast(anchors) if few else anchors, "anchor"), "strings")
+    strings = rows.select("anchor", F.explode("strings").alias("string"))
+    twice = strings.groupBy("anchor", "string").agg(F.count("*").alias("times"))
+    twice = written(twice.where("times > 1").select("anchor", "string"), "twice")
+    if twice.count() > MOST_SENT:
+        rows = rows.select("row", "start", "anchor", F.posexplode("strings").alias("at", "string"))
+        rows = rows.join(twice, ["anchor", "string"])
+        low = F.col("start") + F.col("at")
+        return rows.select("row", low.alias("low"), (low + 1).alias("high"))
+    # At most MOST_SENT repeated strings go to the tasks, which give their runs.
+    known = {}
+    for row in twice.toLocalIterator():
+        known.setdefault(row.anchor, []).append(row.string)
+    known = sent(docs.sparkSession, {a: np.array(strings) for a, strings in known.items()})
+
+    def mark(batches):
+        repeated = received(known)
+        for batch in batches:
+            found = []
+            for row, start, anchor, strings in zip(*batch.columns):
+                own = repeated.get(anchor.as_py())
+                if own is None:
+                    continue
+                held = np.isin(strings.values.to_numpy(), own).view(np.int8)
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], held, [0]])))
+                edges = (edges + start.as_py()).tolist()
+                found += [(row.as_py(), a, b) for a, b in zip(edges[::2], edges[1::2])]
+            columns = zip(*found) if found else [()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, pa.int64()) for column in columns], names=["row", "low", "high"]
+            )
+
+    rows = rows.select("row", "start", "anchor", "strings")
+    return rows.mapInArrow(mark, "row long, low long, high long")
 
 
 def _string_hashes(own: Segments, length: int) -> list[np.ndarray]:

@@ -61,7 +61,9 @@ def test_against_brute_force(spark, monkeypatch):
     wanted = brute(docs, 24)
     assert sum(row[2] > 0 for row in wanted) > 20
     assert found_in(suffixes.summary(frame, length=24, gram=8)) == wanted
-    # Anchors with more than one kind of segment count as crowded; places travel by a shuffle.
+    # Anchors with more than two kinds of segments count as crowded.
+    assert found_in(suffixes.summary(frame, length=24, gram=8, crowd=2)) == wanted
+    # Places and repeated strings travel by a shuffle.
     monkeypatch.setattr(suffixes, "MOST_SENT", 0)
     monkeypatch.setattr(suffixes, "BUCKET", 500)
     assert found_in(suffixes.summary(frame, length=24, gram=8, crowd=2)) == wanted
