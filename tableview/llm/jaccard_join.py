@@ -395,7 +395,7 @@ def _counted(cells: DataFrame, buckets: int, percent: int) -> DataFrame:
         first = np.ones(len(tokens), bool)
         first[1:] = tokens[1:] != tokens[:-1]
         starts = np.flatnonzero(first)
-        ends = np.append(starts[1:], len(tokens))
+        ends = np.append(starts, len(tokens))[1:]
         mixed_lists = groups[starts] != groups[ends - 1]
         keys, ns, groups = keys[order].tolist(), ns[order].tolist(), groups.tolist()
         met: dict[tuple[int, int, int], list[int]] = {}
