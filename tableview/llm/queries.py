@@ -18,8 +18,11 @@ from tableview.llm import (
     suffixes,
     toxicity,
 )
+from tableview.llm.sql import SQL
 from tableview.llm.tables import read
 
+__all__ = ["QUERIES", "SQL"]
+
 
 def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.summary(read(spark, folder, "documents"))
@@ -73,5 +76,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
 }
-
-SQL: dict[str, str] = {}
