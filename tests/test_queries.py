@@ -8,12 +8,15 @@ import pytest
 
 import __spark_entry__ as registered
 from oracle import connect, differences
+from tableview.plans import ALL
 
 FOLDER = os.environ.get("TABLEVIEW_TEST_DATA", "/root/testdata/sf0.001")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
-RUNS, SQLS = registered.queries(), registered.oracle_sql()
+# Queries of subpackages that nothing here needs are tested with those.
+RUNS = {name: run for name, run in registered.queries().items() if name in ALL}
+SQLS = {name: sql for name, sql in registered.oracle_sql().items() if name in ALL}
 
 
 @pytest.fixture(scope="module")
