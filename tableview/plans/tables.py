@@ -11,7 +11,7 @@ from tableview import storage
 from tableview.catalog import SOURCE_ROW
 from tableview.functions.conditions import var
 from tableview.functions.text import number_text
-from tableview.operators.export import export_csv
+from tableview.operators.export import ORDER, export_csv
 from tableview.operators.rebind import rebind
 from tableview.operators.view import View
 from tableview.plans.registry import Query, opened, view
@@ -158,10 +158,8 @@ def exported_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Export a sorted view and read its parts back, each line with its place in the export."""
     shown = _sorted_customers(spark, folder).select("c_custkey", "c_name")
     path = export_csv(shown, storage.new_path(spark, "export") + ".csv").path
-    names = spark.read.text(f"{path}/_order").coalesce(1)
-    names = names.select(
-        F.col("value").alias("name"), F.monotonically_increasing_id().alias("part")
-    )
+    listed = storage.read_text(spark, f"{path}/{ORDER}").split()
+    names = spark.createDataFrame(list(enumerate(listed)), "part long, name string")
     texts = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("name"), F.split("value", "\n").alias("lines")
     )

@@ -100,3 +100,13 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.write(bytearray(data))
     finally:
         out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file of the library's own, hidden ones included."""
+    jpath, fs = _path_and_fs(spark, path)
+    stream = fs.open(jpath)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
