@@ -5,8 +5,7 @@ one shingle). Texts with equal sets are one class; classes link when 100 * inter
 percent * union.
 
 1. *Order.* Sets are read in one total order: shingles that fewer than `HOT` texts hold first, by
-   hash, then the others. Only the lower two fifths of all hashes are counted, as prefixes hardly
-   ever reach further; the rest counts as frequent. Two sets that link share a shingle within their prefixes of
+   hash, then the others. Two sets that link share a shingle within their prefixes of
    n - ceil(percent * n / 100) + 1 shingles, and at least
    ceil(percent * (n + m) / (100 + percent)) - max(rest of n, rest of m) of them.
 2. *Groups.* Of the classes that share a prefix shingle each is compared with the first one only:
@@ -41,8 +40,6 @@ SHINGLE = 5
 PERCENT = 75
 HOT = 50
 MOST_HOT = 1 << 21
-#: Hashes below this one are counted; the others come last in the order, as frequent ones do.
-COUNTED = np.uint64(2 * (1 << 64) // 5)
 #: Classes in a block of comparisons.
 CELL = 1_024
 #: Ids sent to all tasks rather than joined by a shuffle.
@@ -117,14 +114,13 @@ def _short(tokens: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _frequent(docs: DataFrame, buckets: int, hot: int, most_hot: int) -> np.ndarray:
-    """Short names of the tokens below COUNTED that `hot` texts or more hold."""
+    """Short names of the tokens that `hot` texts or more hold."""
 
     def count(batches):
         for _, data, offsets in chunks(batches, "text"):
             sets = Sets(data, offsets)
-            low = sets.values[sets.values < COUNTED]
-            order, bounds = _split(low, buckets)
-            low = (low & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
+            order, bounds = _split(sets.values, buckets)
+            low = (sets.values & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(buckets), pa.int64()),
@@ -169,10 +165,10 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, buckets: int, percent: int)
 
         def compute(batch, data, offsets):
             sets = Sets(data, offsets)
-            hot = sets.values >= COUNTED
+            hot = np.zeros(len(sets.values), bool)
             if len(known):
                 short = _short(sets.values, buckets)
-                hot |= known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
+                hot = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
             upto = np.concatenate([[0], np.cumsum(hot)])
             before = upto[:-1] - upto[sets.bounds[:-1]][sets.rows]
             place = sets.places()
