@@ -16,9 +16,9 @@ percent * union.
    Classes that share a frequent prefix shingle are counted by matrix products of blocks instead.
 
 So no comparison is made inside a group, where everything is connected already, and none between
-texts that share only frequent passages. The order is free for the result: counting fewer
-shingles or a higher `HOT` only changes how many comparisons are made. The frequent shingles that
-tasks must know are at most `MOST_HOT`; the count that makes a shingle frequent rises until they are.
+texts that share only frequent passages. The order is free for the result: another `HOT` only
+changes how many comparisons are made. The frequent shingles that tasks must know are at most
+`MOST_HOT`; the count that makes a shingle frequent rises until they are.
 
 Null and empty texts, and texts without words, have empty sets and link with nothing. Rows without
 doc_id link with nothing and have no component. Repeated rows come back as often as they are given.

@@ -6,10 +6,11 @@ knowing both; the bytes that the toxic one saves are the window's distance. A te
 the mean of its three largest, its mean saving and its number of windows go into a logistic
 calibration, whose 0.5 is the threshold.
 
-Passages are runs of `GRAM`-byte strings that toxic documents hold `TELLING` times as often as
-ordinary ones. Strings, dictionaries and calibration are learned from about `SAMPLE` labelled
-documents of each label at most, chosen by a hash of the id, half for the dictionaries and half for
-the calibration: that is the only bounded part. Every text is scored over all its windows.
+Passages are runs of `GRAM`-byte strings that at least a share `SUPPORT` of the toxic documents
+hold, `TELLING` times as often as ordinary ones. Strings, dictionaries and calibration are learned
+from about `SAMPLE` labelled documents of each label at most, chosen by a hash of the id, three
+quarters for the dictionaries and one for the calibration: that is the only bounded part. Every text
+is scored over all its windows.
 
 Null and empty texts have one empty window. Labels that are null, or without doc_id or document, are
 not learned from. Without documents of both labels every score is the share of toxic ones, 0 if there
@@ -35,6 +36,7 @@ WINDOW = 64
 STEP = 32
 GRAM = 5
 TELLING = 20
+SUPPORT = 0.004
 TOXIC_BYTES = 8 << 10
 ORDINARY_BYTES = 16 << 10
 LEVEL = 12
@@ -201,13 +203,13 @@ def fitted(
     share = F.when(F.col("toxic") == 1, sample / toxic).otherwise(sample / ordinary)
     chosen = known.where(draw / 1_000_003 < share)
     docs = documents.where("text IS NOT NULL").select("doc_id", "text")
-    chosen = docs.join(F.broadcast(chosen), "doc_id").withColumn("half", draw % 2)
-    chosen = written(chosen.select("text", "toxic", "half"), "sample")
-    learned = chosen.where("half = 0")
+    chosen = docs.join(F.broadcast(chosen), "doc_id").withColumn("part", draw % 4)
+    chosen = written(chosen.select("text", "toxic", "part"), "sample")
+    learned = chosen.where("part > 0")
     sizes = {row.toxic: row["count"] for row in learned.groupBy("toxic").count().collect()}
     ratio = sizes.get(0, 0) / max(1, sizes.get(1, 0))
     telling = _gram_counts(learned).where(
-        (F.col("toxic") >= max(3, 0.004 * sizes.get(1, 0)))
+        (F.col("toxic") >= max(3, SUPPORT * sizes.get(1, 0)))
         & (F.col("toxic") * ratio >= TELLING * (F.col("ordinary") + 1))
     )
     telling = telling.select("gram").toArrow().column(0).to_numpy()
@@ -218,7 +220,7 @@ def fitted(
         _dictionary(repeated, TOXIC_BYTES),
         _dictionary(ordinary_windows, ORDINARY_BYTES),
     )
-    rows = _with_features(chosen.where("half = 1"), dictionaries, "features").collect()
+    rows = _with_features(chosen.where("part = 0"), dictionaries, "features").collect()
     if len({row.toxic for row in rows}) < 2:
         base = np.log(toxic / ordinary)
         return dictionaries, np.array([0, 0, 0, 0, base])
