@@ -1,14 +1,15 @@
 """Fuzzy line deduplication over the whole corpus, in DataFrame operations only.
 
-Lines end at a line feed. A line is normalised: lower case, white space as one blank, none outside.
-Lines of fewer than `MIN_CHARS` normalised characters are left alone. Lines that are
+Lines end at a line feed. A line is normalised: lower case, digits as 0, white space as one blank,
+none outside. Lines of fewer than `MIN_CHARS` normalised characters are left alone. Lines that are
 equal so are one kind of line, known by a hash.
 
-1. Each kind gets a 64-bit SimHash of its different words.
-2. Two kinds whose SimHashes differ in at most `DISTANCE` = 3 bits agree in two of five blocks of
-   bits at least: ten keys per kind join all of them.
-3. A pair with near SimHashes is verified: the edit distance must be at most
-   (1 - `SIMILARITY`) of the longer line.
+1. Each kind gets `MINS` = 64 minima over its strings of `GRAM` = 4 characters, one for each of as
+   many orders of their hashes. Two kinds agree in one with the Jaccard similarity of their strings.
+2. Kinds that agree in the four minima of any of `BANDS` = 16 bands meet under a key. Of them the
+   pairs are taken up whose lengths allow `SIMILARITY` and whose minima differ in at most
+   `DISTANCE` = 24 last bits (two unrelated lines: 32 on average).
+3. A pair is verified: the edit distance must be at most (1 - `SIMILARITY`) of the longer line.
 4. Connected kinds are a group. Of all its occurrences the first one stays, by doc_id and place.
 
 Under each key every kind is compared with one leader first. Then only kinds that are not yet
@@ -21,7 +22,7 @@ order. Rows with the same doc_id and text are one document and are treated alike
 
 from __future__ import annotations
 
-from itertools import combinations
+from random import Random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +32,13 @@ from tableview.llm.tables import written
 
 MIN_CHARS = 12
 SIMILARITY = 0.8
-DISTANCE = 3
-#: (first bit, bits) of the blocks.
-BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+GRAM = 4
+MINS = 64
+BANDS = 16
+DISTANCE = 24
+#: An order of hashes is that of their distance from one of these by exclusive or. The first six
+#: bits spread them, so that they find different strings.
+CENTRES = [at << 58 | Random(at).getrandbits(58) for at in range(MINS)]
 #: Bytes of a line that may have 2 ** 15 different words.
 LONG_LINE = 1 << 16
 #: Kinds sent to all tasks rather than joined by a shuffle.
@@ -41,7 +46,8 @@ MOST_SENT = 500_000
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[^\S ]", " "))
+    plain = F.translate(F.lower(line), "123456789", "0" * 9)
+    return F.trim(F.regexp_replace(plain, r"\s{2,}|[^\S ]", " "))
 
 
 def _simhashes(words: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -72,6 +78,29 @@ def with_simhash(lines: DataFrame, keys: list[str]) -> DataFrame:
     return usual.union(_simhashes(words(lines.where(size >= LONG_LINE)), keys, 32))
 
 
+def _grams(line: str) -> Column:
+    """The strings of GRAM characters of a column, one pass for each place modulo GRAM."""
+    parts = [
+        F.regexp_extract_all(F.expr(f"substring({line}, {at + 1})"), F.lit(f"(?s).{{{GRAM}}}"), F.lit(0))
+        for at in range(GRAM)
+    ]
+    return F.when(F.char_length(line) < GRAM, F.array(line)).otherwise(F.concat(*parts))
+
+
+def with_bands(lines: DataFrame) -> DataFrame:
+    """kind, size, keys (one for each band) and bits (the last ones of the minima) of the kinds."""
+    grams = lines.select("kind", F.char_length("line").alias("size"), F.explode(_grams("line")).alias("gram"))
+    hashed = grams.select("kind", "size", F.xxhash64("gram").alias("h"))
+    signed = [centre - (1 << 64) if centre >= 1 << 63 else centre for centre in CENTRES]
+    mins = [F.expr(f"min(h ^ ({centre}L))").alias(f"m{at}") for at, centre in enumerate(signed)]
+    found = hashed.groupBy("kind").agg(F.min("size").alias("size"), *mins)
+    keys = [
+        F.hash(F.lit(band), *(f"m{at}" for at in range(band, MINS, BANDS))) for band in range(BANDS)
+    ]
+    bits = " | ".join(f"shiftleft(m{at} & 1L, {at})" for at in range(MINS))
+    return found.select("kind", "size", F.array(*keys).alias("keys"), F.expr(bits).alias("bits"))
+
+
 def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
     """doc, row, pos, line (normalised) and its kind, of the lines long enough."""
     docs = documents.select(F.col("doc_id").alias("doc"), "text")
@@ -102,8 +131,12 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     return both.where(f"if({near}, true, levenshtein(one, other, {most}) >= 0)").select("a", "b")
 
 
-def _near(one: str, other: str, distance: int) -> Column:
-    return F.bit_count(F.col(one).bitwiseXOR(F.col(other))) <= distance
+def _near(similarity: float, distance: int) -> Column:
+    """Whether (size, bits) and (other_size, other_bits) may belong to lines that are alike."""
+    longest = F.greatest("size", "other_size")
+    allowed = F.floor(longest * F.lit(1 - similarity))
+    fits = longest - F.least("size", "other_size") <= allowed
+    return fits & (F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= distance)
 
 
 def repeats(
@@ -113,49 +146,36 @@ def repeats(
     distance: int = DISTANCE,
 ) -> DataFrame:
     """(doc, row, removed): the places of the lines that go, of the documents that lose any."""
-    if not 0 <= distance <= 3:
-        raise ValueError("two of five blocks agree only up to a distance of 3")
     lines = _lines(documents, min_chars)
-    placed = written(with_simhash(lines, ["doc", "row", "pos", "kind"]), "lines")
-    kinds = placed.groupBy("kind").agg(
-        F.min("sim").alias("sim"), F.min(F.struct("doc", "row", "pos")).alias("first")
-    )
-    kinds = written(kinds, "kinds")
+    placed = written(lines.select("doc", "row", "pos", "kind"), "lines")
+    firsts = placed.groupBy("kind").agg(F.min(F.struct("doc", "row", "pos")).alias("first"))
+    sketched = written(with_bands(lines), "kinds")
 
-    keys = []
-    for turn, pair in enumerate(combinations(BLOCKS, 2)):
-        key = F.lit(turn)
-        for begin, bits in pair:
-            part = F.shiftrightunsigned("sim", begin).bitwiseAND(F.lit((1 << bits) - 1))
-            key = F.shiftleft(key.cast("long"), bits).bitwiseOR(part)
-        keys.append(key.cast("int"))
-    keyed = kinds.select(F.explode(F.array(*keys)).alias("key"), "kind")
+    keyed = sketched.select(F.explode("keys").alias("key"), "kind")
     lead = keyed.groupBy("key").agg(F.min("kind").alias("lead"), F.max("kind").alias("last"))
     lead = lead.where("lead < last").select("key", "lead")
-    sims = kinds.select("kind", "sim")
+    sims = sketched.select("kind", "size", "bits")
     shared = keyed.join(lead, "key").join(sims, "kind")
-    shared = written(shared.join(sims.toDF("lead", "lead_sim"), "lead"), "shared")
+    shared = written(shared, "shared")
 
-    stars = shared.where((F.col("kind") != F.col("lead")) & _near("sim", "lead_sim", distance))
-    stars = written(
-        stars.select(F.col("kind").alias("a"), F.col("lead").alias("b")).distinct(), "stars"
-    )
+    near = _near(similarity, distance)
+    stars = shared.where("kind <> lead").select("kind", "lead", "size", "bits").distinct()
+    stars = stars.join(sims.toDF("lead", "other_size", "other_bits"), "lead").where(near)
+    stars = written(stars.select(F.col("kind").alias("a"), F.col("lead").alias("b")), "stars")
     first = written(_verified(stars, lines, similarity), "links")
     own = components(first).toDF("kind", "grp")
-    cells = shared.select("key", "kind", "sim").join(own, "kind", "left")
+    cells = shared.select("key", "kind", "size", "bits").join(own, "kind", "left")
     cells = written(cells.withColumn("grp", F.coalesce("grp", "kind")), "cells")
     mixed = cells.groupBy("key").agg(F.min("grp").alias("least"), F.max("grp").alias("most"))
     cells = cells.join(mixed.where("least < most").select("key"), "key")
-    one = cells.select("key", F.col("kind").alias("a"), F.col("sim").alias("a_sim"), "grp")
-    other = cells.select(
-        "key", F.col("kind").alias("b"), F.col("sim").alias("b_sim"), F.col("grp").alias("far")
-    )
-    crossed = one.join(other, "key").where("grp < far").where(_near("a_sim", "b_sim", distance))
+    one = cells.select("key", F.col("kind").alias("a"), "size", "bits", "grp")
+    other = cells.toDF("key", "b", "other_size", "other_bits", "far")
+    crossed = one.join(other, (one["key"] == other["key"]) & (F.col("grp") < F.col("far")) & near)
     crossed = written(crossed.select("a", "b").distinct(), "crossed")
     links = first.union(written(_verified(crossed, lines, similarity), "links"))
 
     groups = components(links).toDF("kind", "grp")
-    grouped = kinds.select("kind", "first").join(groups, "kind", "left")
+    grouped = firsts.join(groups, "kind", "left")
     grouped = grouped.withColumn("grp", F.coalesce("grp", "kind"))
     winners = grouped.groupBy("grp").agg(F.min("first").alias("winner"))
     winners = written(grouped.join(winners, "grp").select("kind", "winner"), "winners")
