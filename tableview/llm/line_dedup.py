@@ -211,15 +211,12 @@ def summary(documents: DataFrame, **options) -> DataFrame:
     )
 
 
-def deduplicated(documents: DataFrame, min_chars: int = MIN_CHARS, **options) -> DataFrame:
+def deduplicated(documents: DataFrame, **options) -> DataFrame:
     """The documents without the removed lines, with their own columns (`n_chars` follows). A
-    document that lost lines and keeps none of `min_chars` or more goes."""
-    found = _marked(documents, {"min_chars": min_chars, **options})
-    found = found.withColumn("left", _left())
-    long = F.exists(
-        F.split("left", "\n"), lambda line: F.char_length(normalised(line)) >= min_chars
-    )
-    found = found.where(F.col("removed").isNull() | long)
+    document that lost lines and keeps none but blank ones goes."""
+    found = _marked(documents, options).withColumn("left", _left())
+    filled = F.exists(F.split("left", "\n"), lambda line: normalised(line) != "")
+    found = found.where(F.col("removed").isNull() | filled)
     columns = []
     for field in documents.schema.fields:
         column = F.col(f"given.`{field.name}`")

@@ -37,3 +37,11 @@ def test_lines_that_differ_in_digits_are_one_kind(spark):
     docs = [(i, f"Posted on 2024-01-{i:02} at {i}{i}:15 by the editors") for i in range(10, 30)]
     rows = line_dedup.summary(spark.createDataFrame(docs, DOCS)).collect()
     assert [row.doc_id for row in rows if not row.removed] == [10]
+
+
+def test_documents_with_short_lines_left_stay(spark):
+    licence = "Licensed under the terms of the common licence"
+    verse = "\n".join(f"line {chr(97 + i)}" for i in range(20))
+    docs = [(0, licence), (1, f"{licence}\n{verse}"), (2, f"{licence}\n \n"), (3, f"{licence}\n  x")]
+    kept = line_dedup.deduplicated(spark.createDataFrame(docs, DOCS)).collect()
+    assert sorted(map(tuple, kept)) == [(0, licence), (1, verse), (3, "  x")]
