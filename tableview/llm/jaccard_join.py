@@ -283,6 +283,13 @@ def _least_shared(percent: int, n, m):
     )
 
 
+def _least_opening(percent: int, n: Column, low: Column, high: Column) -> Column:
+    """The least a set shares with a group whose sizes lie between `low` and `high`. The ceilings
+    let a size between them ask for one less than both ends."""
+    ends = F.least(_least_shared(percent, n, low), _least_shared(percent, n, high))
+    return F.greatest(F.lit(1), ends - 1)
+
+
 def _fits(percent: int, n, m):
     """The sizes allow a link."""
     return (100 * n >= percent * m) & (100 * m >= percent * n)
@@ -512,10 +519,7 @@ def links(
         .agg(
             F.sum("shared").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most")
         )
-        .where(
-            F.col("shared")
-            >= F.least(_least_shared(percent, n, low), _least_shared(percent, n, high))
-        )
+        .where(F.col("shared") >= _least_opening(percent, n, low, high))
         .select("key", "n", "other")
     )
     opened = written(opened, "opened")
