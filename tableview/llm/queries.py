@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tableview.llm import (
     archives,
     decontaminate,
+    divergence,
     jaccard_join,
     language,
+    licenses,
     line_dedup,
     neighbours,
     packing,
@@ -64,6 +66,14 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.summary(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(read(spark, folder, "documents"))
+
+
+def op13_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.summary(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_archives": op2_archives,
@@ -75,4 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
+    "op11_divergence": op11_divergence,
+    "op13_licenses": op13_licenses,
 }

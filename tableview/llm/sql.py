@@ -68,4 +68,53 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.b) AS component_id
 FROM docs AS d LEFT JOIN sizes AS s ON d.doc_id = s.doc_id JOIN reached AS r ON r.a = d.doc_id
 GROUP BY d.doc_id, s.n"""
 
-SQL = {"op3_jaccard_join": OP3, "op10_decontaminate": OP10}
+_TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+_P = "1 + (1000000000::HUGEINT * ({n} + 5)) // ({total} + 5 * {v})"
+
+OP11 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         {_TERMS} AS w
+  FROM documents
+), places AS (
+  SELECT d, lang, source, unnest(w) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM places GROUP BY lang, term HAVING count(DISTINCT d) >= 30
+), langs AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), cells AS (
+  SELECT lang, source, term, count(*) AS n
+  FROM places SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) AS g LEFT JOIN cells USING (lang, source)
+  GROUP BY lang, source
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         {_P.format(n="coalesce(c.n, 0)", total="g.total", v="l.v")} AS p,
+         {_P.format(n="k.n", total="l.total", v="l.v")} AS q
+  FROM groups AS g JOIN langs AS l ON g.lang = l.lang JOIN kept AS k ON g.lang = k.lang
+  LEFT JOIN cells AS c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT g.lang, g.source, h.source AS item, 'pair' AS part,
+         coalesce(sum(abs(one.p - other.p)), 0) AS value
+  FROM groups AS g JOIN groups AS h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN shares AS one ON one.lang = g.lang AND one.source = g.source
+  LEFT JOIN shares AS other
+    ON other.lang = h.lang AND other.source = h.source AND other.term = one.term
+  GROUP BY g.lang, g.source, h.source
+), found AS (
+  SELECT lang, source, part, item, value FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r
+  FROM found
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR r <= 50"""
+
+SQL = {"op3_jaccard_join": OP3, "op10_decontaminate": OP10, "op11_divergence": OP11}

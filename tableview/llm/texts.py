@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableview.catalog import quoted
+
 CHUNK_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -169,12 +170,15 @@ def annotate(
     columns of the result (default: all).
     """
     keep = frame.columns if keep is None else keep
-    given = frame.select(*keep, F.col(column).alias("__text"))
-    schema = T.StructType([*frame.select(*keep).schema.fields, *fields])
+    kept = frame.select(*map(quoted, keep))
+    # Under names of their own: `mapInArrow` takes none with a dot.
+    given = [quoted(name).alias(f"given_{at}") for at, name in enumerate(keep)]
+    given = frame.select(*given, quoted(column).alias("text"))
+    schema = T.StructType([*kept.schema.fields, *fields])
 
     def run(batches):
         compute = prepare()
-        for batch, data, offsets in chunks(batches, "__text"):
+        for batch, data, offsets in chunks(batches, "text"):
             columns = [batch.column(place) for place in range(len(keep))]
             columns += compute(batch, data, offsets)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
