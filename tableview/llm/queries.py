@@ -17,6 +17,7 @@ from tableview.llm import (
     neighbours,
     packing,
     pii,
+    prefix_trie,
     suffixes,
     toxicity,
 )
@@ -70,6 +71,10 @@ def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(read(spark, folder, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.grafted_trie(read(spark, folder, "conversations"))
+
+
 def op13_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.summary(read(spark, folder, "documents"))
 
@@ -86,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_decontaminate": op10_decontaminate,
     "op11_divergence": op11_divergence,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_licenses": op13_licenses,
 }

@@ -117,4 +117,68 @@ WITH docs AS (
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank
 FROM ranked WHERE part = 'pair' OR r <= 50"""
 
-SQL = {"op3_jaccard_join": OP3, "op10_decontaminate": OP10, "op11_divergence": OP11}
+# DuckDB has no crc32: the remainders by 4 come from the polynomial, bit by bit over the digits.
+OP12 = r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(concat(CAST(strlen(coalesce(role, '')) AS VARCHAR), ':', coalesce(role, ''),
+                         coalesce(text, '')))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM given
+), crc AS (
+  SELECT c, s, 0 AS step, 4294967295::BIGINT AS r FROM ids
+  UNION ALL
+  SELECT c, s, step + 1,
+         CASE WHEN step % 9 = 0 THEN xor(r, ascii(substr(s, step // 9 + 1, 1))::BIGINT)
+              WHEN (r & 1) = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END
+  FROM crc WHERE step < 9 * length(s)
+), heads AS (
+  SELECT c, xor(r, 4294967295::BIGINT) % 4 AS h FROM crc WHERE step = 9 * length(s)
+), made AS (
+  SELECT h.c, g.place, g.role, g.text FROM heads AS h JOIN given AS g
+    ON g.c = h.c - h.c % 20 AND g.place <= h.h
+  UNION ALL
+  SELECT h.c, g.place + 1000000 AS place, g.role, g.text FROM heads AS h JOIN given AS g
+    ON g.c = h.c AND g.place > h.h
+), placed AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY place) AS place, role, text FROM made
+), whole AS (
+  SELECT i.c, coalesce(list(struct_pack(role, text) ORDER BY place)
+                       FILTER (WHERE place IS NOT NULL), []) AS turns
+  FROM ids AS i LEFT JOIN placed AS p ON i.c = p.c GROUP BY i.c
+), members AS (
+  SELECT c, d, turns[1:d] AS node, len(turns) AS size
+  FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM whole) AS w
+), nodes AS (
+  SELECT node, d, min(c) AS conv_id, count(*) AS n,
+         CASE WHEN d = 0 THEN 0
+              ELSE len(regexp_extract_all(node[d].text, '[^\x20\x09-\x0D]+')) END AS words,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE size = d), ''))
+           AS ends
+  FROM members GROUP BY node, d
+), children AS (
+  SELECT node[1:d - 1] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
+), shaped AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children, (n.n - 1) * n.words AS gain
+  FROM nodes AS n LEFT JOIN children AS c ON n.node = c.node
+), below AS (
+  SELECT top, sum(gain) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+  FROM (SELECT s.gain, s.n_children, s.node[1:k] AS top
+        FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM shaped) AS s) AS t
+  GROUP BY top
+)
+SELECT s.conv_id, CAST(s.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id,
+       CAST(s.n AS BIGINT) AS n_convs, CAST(s.n_children AS BIGINT) AS n_children,
+       CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens,
+       s.ends AS ends_sha256
+FROM shaped AS s JOIN below AS b ON b.top = s.node
+LEFT JOIN shaped AS p ON s.d > 0 AND p.node = s.node[1:s.d - 1] AND p.d = s.d - 1"""
+
+SQL = {
+    "op3_jaccard_join": OP3,
+    "op10_decontaminate": OP10,
+    "op11_divergence": OP11,
+    "op12_prefix_trie": OP12,
+}

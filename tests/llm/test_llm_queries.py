@@ -16,5 +16,5 @@ def test_query_against_its_sql(spark, name):
 
 def test_one_query_for_each_operator():
     names = [name.split("_")[0] for name in QUERIES]
-    assert sorted(names) == sorted(f"op{number}" for number in range(1, 11))
+    assert sorted(names) == sorted(f"op{number}" for number in range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(registered.queries())
