@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import os
 import sys
 
@@ -44,19 +45,26 @@ def saved(spark, tmp_path):
     return save
 
 
-ADAE_SCHEMA = (
-    "USUBJID string, AESER string, AGE double, AESTDTC string, AEENDTC string, ARMCD string"
-)
-ADAE = [
-    ("K4-071", "Y", 44.0, "2023-03-05", "2023-03-09", "RVX1"),
-    ("K4-075", "N", 58.0, "2023-04-11", "2023-04-10", "rvx"),
-    ("K4-082", "Y", 33.0, "2023-05-20", "2023-05-20", "RV2"),
-    ("K4-090", "Y", 67.0, "2023-06-02", "2023-06-30", "QQ"),
+PARCELS_SCHEMA = "parcel string, weight double, hub string, pieces int, left_on date, due_on date, note string"
+
+
+def _may(day):
+    return dt.date(2021, 5, day)
+
+
+PARCELS = [
+    ("north/17", 12.5, "Oslo", 3, _may(3), _may(9), "fragile"),
+    ("north/18", 0.75, "Bergen", 1, _may(4), _may(4), None),
+    ("south/02", 140.0, "Oslo", 8, _may(2), _may(1), "FRAGILE, wet"),
+    ("south/03", None, "oslo harbour", 2, None, _may(6), ""),
+    ("east/90", 33.25, None, 1, _may(7), _may(20), "left at door"),
+    ("east/91", 33.25, "Turku", 5, _may(8), None, "100% recycled"),
+    ("west/40", 61.0, "Oslo", 2, _may(5), _may(5), 'say "hi"'),
 ]
 
 
 @pytest.fixture
-def adae(spark, saved):
+def parcels(spark, saved):
     from tableview import View, open_table
 
-    return View.of(open_table(spark, saved(ADAE, ADAE_SCHEMA, "adae")))
+    return View.of(open_table(spark, saved(PARCELS, PARCELS_SCHEMA, "parcels")))

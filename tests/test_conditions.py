@@ -161,44 +161,45 @@ def test_escape_patterns():
     assert _like_pattern("a\\b", None) == "a\\b"
 
 
-def test_golden_columns_and_case(adae):
-    late = adae.where((var("AESTDTC") > var("AEENDTC")) & var("armcd").contains("rvx"))
-    assert [row.USUBJID for row in late.page().collect()] == ["K4-075"]
-    upper = adae.where(var("ARMCD").like("RV%"))
-    assert [row.USUBJID for row in upper.page().collect()] == ["K4-071", "K4-082"]
+def test_names_in_any_case_and_values_in_their_own(parcels):
+    late = parcels.where((var("LEFT_ON") > var("due_on")) & var("Hub").contains("Oslo"))
+    assert [row.parcel for row in late.page().collect()] == ["south/02"]
+    capital = parcels.where(var("hub").like("Oslo%"))
+    assert [row.pieces for row in capital.page().collect()] == [3, 8, 2]
+    assert parcels.where(var("note").not_like("%fragile%")).count() == 5
 
 
 @pytest.mark.parametrize(
     "build, message",
     [
-        (lambda: var("AGE") == "18", "AGE is numeric"),
-        (lambda: var("AGE") == True, "AGE is numeric"),  # noqa: E712
-        (lambda: var("AGE").is_in(1, "2"), "AGE is numeric"),
-        (lambda: var("AGE") > NAN, "finite"),
-        (lambda: var("AGE") > INF, "finite"),
-        (lambda: var("AGE") > 2**63, "64 bits"),
-        (lambda: var("AGE") > 10**400, "64 bits"),
+        (lambda: var("weight") == "18", "weight is numeric"),
+        (lambda: var("weight") == True, "weight is numeric"),  # noqa: E712
+        (lambda: var("weight").is_in(1, "2"), "weight is numeric"),
+        (lambda: var("weight") > NAN, "finite"),
+        (lambda: var("weight") > INF, "finite"),
+        (lambda: var("weight") > 2**63, "64 bits"),
+        (lambda: var("weight") > 10**400, "64 bits"),
         (lambda: var("UNKNOWN") == 1, "has no variable"),
-        (lambda: var("AGE") == var("UNKNOWN"), "has no variable"),
+        (lambda: var("weight") == var("UNKNOWN"), "has no variable"),
         (lambda: missing("UNKNOWN"), "has no variable"),
-        (lambda: var("AESER") == 1, "AESER is character"),
-        (lambda: var("AGE") == var("USUBJID"), "AGE is numeric and USUBJID"),
-        (lambda: var("AGE").between(1, var("USUBJID")), "do not go together"),
-        (lambda: var("AGE").contains("1"), "CONTAINS"),
-        (lambda: var("AGE").like("1%"), "LIKE"),
-        (lambda: var("AESER").like(1), "AESER is character"),
-        (lambda: var("AESER").like("a", "##"), "one character"),
-        (lambda: var("AGE").starts_with("1"), "prefix"),
-        (lambda: var("AESER").starts_with(""), "prefix"),
-        (lambda: var("AESER").starts_with(3), "AESER is character"),
-        (lambda: var("AESER").is_in(), "empty"),
-        (lambda: (var("AESER") == "Y") & (var("AGE") == "x"), "AGE is numeric"),
-        (lambda: ~(var("AGE") == "x"), "AGE is numeric"),
+        (lambda: var("hub") == 1, "hub is character"),
+        (lambda: var("weight") == var("parcel"), "weight is numeric and parcel"),
+        (lambda: var("weight").between(1, var("parcel")), "do not go together"),
+        (lambda: var("weight").contains("1"), "CONTAINS"),
+        (lambda: var("weight").like("1%"), "LIKE"),
+        (lambda: var("hub").like(1), "hub is character"),
+        (lambda: var("hub").like("a", "##"), "one character"),
+        (lambda: var("weight").starts_with("1"), "prefix"),
+        (lambda: var("hub").starts_with(""), "prefix"),
+        (lambda: var("hub").starts_with(3), "hub is character"),
+        (lambda: var("hub").is_in(), "empty"),
+        (lambda: (var("hub") == "Y") & (var("weight") == "x"), "weight is numeric"),
+        (lambda: ~(var("weight") == "x"), "weight is numeric"),
     ],
 )
-def test_validation_before_any_job(adae, build, message):
+def test_validation_before_any_job(parcels, build, message):
     with pytest.raises(ConditionError, match=message):
-        adae.where(build())
+        parcels.where(build())
 
 
 def test_conditions_do_not_turn_into_booleans():
@@ -225,16 +226,18 @@ def test_temporal_and_boolean(spark, saved):
         view.where(var("d") > var("f"))
 
 
-def test_any_column_match_ignores_case_and_reads_numbers_as_text(adae):
-    assert adae.where(any_contains(["USUBJID", "ARMCD"], "PkO")).count() == 2
-    assert adae.where(any_contains(["AGE"], "4.0")).count() == 1
-    assert adae.where(~any_contains(["AGE"], "4.0")).count() == 3
-    assert [r.ARMCD for r in adae.select("ARMCD").matching("x").collect()] == ["QQ"]
+def test_any_column_match_ignores_case_and_reads_numbers_as_text(parcels):
+    assert parcels.where(any_contains(["hub", "note"], "oSLO")).count() == 4
+    assert parcels.where(any_contains(["weight"], "3.25")).count() == 2
+    assert parcels.where(~any_contains(["weight"], "3.25")).count() == 5
+    assert parcels.where(any_contains(["weight", "pieces"], "61.0")).count() == 1
+    found = parcels.select("note", "due_on").matching("-05-0")
+    assert sorted(row.due_on.day for row in found.collect()) == [1, 4, 5, 6, 9]
 
 
 def test_text_of_conditions():
-    condition = (var("AESER") == 'a"b') & ~(var("AGE").is_in(18, 65))
-    assert condition.text == '(AESER = "a""b") AND (NOT (AGE IN (18, 65)))'
+    condition = (var("hub") == 'a"b') & ~(var("weight").is_in(18, 65))
+    assert condition.text == '(hub = "a""b") AND (NOT (weight IN (18, 65)))'
     assert var("A").between(1, var("B")).text == "A BETWEEN 1 AND B"
     assert var("A").like("x#%", "#").text == 'A LIKE "x#%" ESCAPE "#"'
 

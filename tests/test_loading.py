@@ -22,8 +22,8 @@ from tableview import (
 from tableview.sources.table import table_of
 
 ROWS = [(f"101-{i:03d}", float(20 + i % 50)) for i in range(1, 101)]
-SCHEMA = "USUBJID string, AGE double"
-DESCRIBED = {"AGE": {"label": "Age", "length": 8, "format": "8."}}
+SCHEMA = "station string, reading double"
+DESCRIBED = {"reading": {"label": "Age", "length": 8, "format": "8."}}
 
 
 @pytest.fixture(params=["source files", "snapshot"])
@@ -42,12 +42,12 @@ def test_loads_in_batches(source):
     assert (status.cached_rows, status.total_rows, status.complete) == (100, 100, True)
     assert tuple(load.status_frame().first()) == (100, 100, True)
     rows = table.with_source_row.orderBy("_source_row").collect()
-    assert [(row.USUBJID, row.AGE) for row in rows] == ROWS
+    assert [(row.station, row.reading) for row in rows] == ROWS
     assert [row._source_row for row in rows] == list(range(1, 101))
-    assert table.catalog.exact("AGE").label == "Age"
-    view = View.of(table).where(var("AGE") >= 60).sort_by("AGE", ascending=False)
+    assert table.catalog.exact("reading").label == "Age"
+    view = View.of(table).where(var("reading") >= 60).sort_by("reading", ascending=False)
     assert view.count() == sum(age >= 60 for _, age in ROWS)
-    assert view.page(0, 1).first().USUBJID == "101-049"
+    assert view.page(0, 1).first().station == "101-049"
 
 
 def test_bytes_bound_batches(spark, saved):
@@ -88,11 +88,11 @@ def test_only_browsing_while_loading(spark, saved, tmp_path):
     view = View.of(table)
     status = table.status()
     assert (status.cached_rows, status.total_rows, status.complete) == (30, 100, False)
-    assert view.select("AGE").page(20, 50).count() == 10
+    assert view.select("reading").page(20, 50).count() == 10
     for action in (
-        lambda: view.where(var("AGE") > 1),
+        lambda: view.where(var("reading") > 1),
         lambda: view.where(None),
-        lambda: view.sort_by("AGE"),
+        lambda: view.sort_by("reading"),
         lambda: find(view, "101"),
         lambda: view.row(5),
         lambda: export_csv(view, str(tmp_path / "x.csv")),
@@ -106,7 +106,7 @@ def test_failed_load_is_not_complete(spark, saved):
     from pyspark.sql import functions as F
 
     path = saved(ROWS, SCHEMA)
-    broken = {"AGE": F.raise_error(F.lit("unreadable")).cast("double")}
+    broken = {"reading": F.raise_error(F.lit("unreadable")).cast("double")}
     load = ingest(open_table(spark, path, derive=broken))
     with pytest.raises(Exception, match="unreadable"):
         load.wait()
@@ -150,7 +150,7 @@ def test_rebind_drops_what_no_longer_fits(spark, saved):
 
 def test_rebind_while_loading_waits_with_the_condition(spark, saved):
     whole = open_table(spark, saved(ROWS, SCHEMA))
-    old = View.of(whole).where(var("AGE") > 60).sort_by("AGE")
+    old = View.of(whole).where(var("reading") > 60).sort_by("reading")
     done = rebind(old, partial(whole))
     assert done.view.sort is None and done.view.condition is None
     assert done.pending is old.condition
@@ -189,7 +189,7 @@ def test_a_stopped_load_is_not_complete_and_shows_what_it_has(spark, saved):
     view = View.of(stopped.table())
     pages = [view.page(at, 50).collect() for at in (0, 50)]
     assert [row._view_row for page in pages for row in page] == list(range(100))
-    assert {row.USUBJID for page in pages for row in page} == {name for name, _ in ROWS}
+    assert {row.station for page in pages for row in page} == {name for name, _ in ROWS}
     load.release()
     assert not storage.exists(spark, load.folder)
 

@@ -20,11 +20,11 @@ def log(spark, tmp_path):
 
 
 def test_consecutive_repeat_is_skipped(log):
-    assert log.add("/data/adae", 'AESER = "Y"', WHEN) == 1
-    assert log.add("/data/adae", '  AESER = "Y"\n') is None
-    assert log.add("/data/adae", " \t ") is None
+    assert log.add("/data/rivers", 'gauge = "up"', WHEN) == 1
+    assert log.add("/data/rivers", '  gauge = "up"\n') is None
+    assert log.add("/data/rivers", " \t ") is None
     rows = [tuple(row) for row in log.list().collect()]
-    assert rows == [(1, "/data/adae", "adae", 'AESER = "Y"', "2024-05-01T12:30:45+00:00")]
+    assert rows == [(1, "/data/rivers", "rivers", 'gauge = "up"', "2024-05-01T12:30:45+00:00")]
 
 
 def test_repeat_is_judged_by_the_newest_entry_of_all(log):

@@ -12,10 +12,11 @@ from tableview.sources import ordered_files
 from tableview.sources.ordered_files import OrderedFiles, natural_order
 from tableview.sources.table import table_of
 
-ADSL = [("K4-071", 45.0), ("K4-075", 52.0), ("K4-082", 30.0)]
+SHELVES = [("A/1", 80.5), ("A/2", 12.0), ("B/1", 99.0), ("B/2", 45.0)]
+SHELF_SCHEMA = "shelf string, depth double"
 DESCRIBED = {
-    "USUBJID": {"label": "Subject", "length": 20, "format": "$20."},
-    "AGE": {"label": "Age", "length": 8, "format": "8."},
+    "shelf": {"label": "Shelf mark", "length": 6, "format": "$6."},
+    "depth": {"label": "Depth in cm", "length": 8, "format": "6.1"},
 }
 
 
@@ -24,20 +25,20 @@ def numbers(frame, column="k"):
 
 
 def test_open_and_describe(spark, saved):
-    table = open_table(spark, saved(ADSL, "USUBJID string, AGE double"), described=DESCRIBED)
+    table = open_table(spark, saved(SHELVES, SHELF_SCHEMA), described=DESCRIBED)
     assert [tuple(row) for row in table.contents().orderBy("position").collect()] == [
-        (1, "USUBJID", "Subject", "character", 20, "$20."),
-        (2, "AGE", "Age", "numeric", 8, "8."),
+        (1, "shelf", "Shelf mark", "character", 6, "$6."),
+        (2, "depth", "Depth in cm", "numeric", 8, "6.1"),
     ]
-    assert [row.name for row in table.contents(" subJECT").collect()] == ["USUBJID"]
-    assert [row.name for row in table.contents("numeric 8").collect()] == ["AGE"]
-    assert table.contents("$20. x").count() == 0
+    assert [row.name for row in table.contents(" MARK char").collect()] == ["shelf"]
+    assert [row.name for row in table.contents("numeric 8").collect()] == ["depth"]
+    assert table.contents("$6. x").count() == 0
     assert table.contents("  ").count() == 2
-    assert table.status().cached_rows == 3
+    assert table.status().cached_rows == 4
     # The description is stored with a snapshot.
     frozen = snapshot(table)
-    assert frozen.rows.schema["AGE"].metadata == DESCRIBED["AGE"]
-    assert open_table(spark, frozen.path).catalog.exact("USUBJID").label == "Subject"
+    assert frozen.rows.schema["depth"].metadata == DESCRIBED["depth"]
+    assert open_table(spark, frozen.path).catalog.exact("shelf").label == "Shelf mark"
 
 
 def test_lengths_are_measured_when_not_declared(spark, saved):
@@ -158,19 +159,19 @@ def test_csv_is_split_and_still_in_order(spark, tmp_path):
 
 
 def test_snapshot_outlives_its_source(spark, saved):
-    path = saved(ADSL, "USUBJID string, AGE double")
+    path = saved(SHELVES, SHELF_SCHEMA)
     table = open_table(spark, path, described=DESCRIBED)
     frozen = snapshot(table)
     storage.delete(spark, path)
-    view = View.of(frozen).where(var("AGE") >= 40)
-    assert view.count() == 2
-    assert [row.USUBJID for row in view.page().collect()] == ["K4-071", "K4-075"]
-    assert [row._source_row for row in frozen.source_range(1, 3).collect()] == [2, 3]
+    view = View.of(frozen).where(var("depth") < 90)
+    assert view.count() == 3
+    assert [row.shelf for row in view.page().collect()] == ["A/1", "A/2", "B/2"]
+    assert [row._source_row for row in frozen.source_range(1, 4).collect()] == [2, 3, 4]
 
 
 def test_failed_snapshot_leaves_nothing(spark, saved):
-    path = saved(ADSL, "USUBJID string, AGE double")
-    broken = {"AGE": F.raise_error(F.lit("broken source")).cast("double")}
+    path = saved(SHELVES, SHELF_SCHEMA)
+    broken = {"depth": F.raise_error(F.lit("broken source")).cast("double")}
     table = open_table(spark, path, derive=broken)
     before = len(storage.list_files(spark, storage.work_dir(spark)))
     with pytest.raises(Exception, match="broken source"):
@@ -188,9 +189,9 @@ def test_empty_table(spark, saved):
 
 
 def test_many_tables_at_once(spark, saved):
-    first = View.of(open_table(spark, saved(ADSL, "s string, a double", "one")))
+    first = View.of(open_table(spark, saved(SHELVES, SHELF_SCHEMA, "one")))
     second = View.of(open_table(spark, saved([(1,)], "b int", "two")))
-    assert (first.count(), second.count(), first.table.name, second.table.name) == (3, 1, "one", "two")
+    assert (first.count(), second.count(), first.table.name, second.table.name) == (4, 1, "one", "two")
 
 
 def test_work_dir_comes_from_the_session(spark):

@@ -84,14 +84,19 @@ def test_export_single_column_keeps_empty_rows(spark, saved, tmp_path):
     assert data == python_csv(["c"], [("a",), (None,), ("",), ("b",)])
 
 
-def test_export_golden(adae, tmp_path):
-    condition = (var("AESER") == "Y") & (var("AGE") >= 40)
-    view = adae.where(condition).select("USUBJID", "AGE").sort_by("AGE", ascending=False)
+def test_export_of_a_filtered_sorted_view(parcels, tmp_path):
+    view = parcels.where(var("pieces") <= 2).select("note", "weight", "due_on").sort_by("parcel")
     # The suffix is added.
-    done = export_csv(view, str(tmp_path / "current"), single_file=True)
-    assert done.rows == 2 and done.path.endswith("current.csv")
-    data = (tmp_path / "current.csv").read_bytes()
-    assert data == b"\xef\xbb\xbfUSUBJID,AGE\nK4-090,67.0\nK4-071,44.0\n"
+    done = export_csv(view, str(tmp_path / "small parcels"), single_file=True)
+    assert done.rows == 4 and done.path.endswith("small parcels.csv")
+    lines = (tmp_path / "small parcels.csv").read_bytes().decode("utf-8-sig").splitlines()
+    assert lines == [
+        "note,weight,due_on",
+        "left at door,33.25,2021-05-20",
+        ",0.75,2021-05-04",
+        ",,2021-05-06",
+        '"say ""hi""",61.0,2021-05-05',
+    ]
 
 
 def test_export_replaces_and_orders_many_parts(spark, saved, tmp_path):

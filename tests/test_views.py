@@ -26,60 +26,69 @@ def rows_of(frame, *names):
 
 
 @pytest.fixture
-def serious(adae):
-    condition = (var("AESER") == "Y") & (var("AGE") >= 40)
-    return adae.where(condition).select("USUBJID", "AGE").sort_by("AGE", ascending=False)
+def heavy(parcels):
+    """The parcels of the big hubs and of some weight, the lightest first."""
+    wanted = var("hub").is_in("Oslo", "Turku") & (var("weight") > 12)
+    return parcels.where(wanted).select("pieces", "parcel", "weight").sort_by("weight")
 
 
-def test_golden_page(serious):
-    assert serious.count() == 2
-    page = serious.page(0, 500)
-    assert page.columns == ["_view_row", "USUBJID", "AGE"]
-    assert rows_of(page, *page.columns) == [(0, "K4-090", 67.0), (1, "K4-071", 44.0)]
+def test_page_of_a_filtered_sorted_view(heavy):
+    assert heavy.count() == 4
+    page = heavy.page(1, 2)
+    assert page.columns == ["_view_row", "pieces", "parcel", "weight"]
+    assert rows_of(page, *page.columns) == [(1, 5, "east/91", 33.25), (2, 2, "west/40", 61.0)]
 
 
-def test_summary(serious):
-    assert rows_of(serious.summary(), "filtered_rows", "total_rows", "visible_columns", "filtered") == [
-        (2, 4, 2, True)
+def test_equal_keys_keep_their_order(parcels):
+    down = parcels.sort_by("weight", ascending=False)
+    assert [row.parcel for row in down.page().collect()] == [
+        "south/02", "west/40", "east/90", "east/91", "north/17", "north/18", "south/03",
     ]
-    assert serious.where(None).summary().first().filtered is False
 
 
-def test_golden_find(serious):
-    assert find(serious, "K4-071", -1) == Found(1, "USUBJID")
-    assert find(serious, "K4-071") == Found(1, "USUBJID")
-    assert find(serious, "45.0") == Found(1, "AGE")
-    assert find(serious, "K4-075") is None
-    assert find(serious, "") is None
-    assert find_frame(serious, "").count() == 0
-    assert find_frame(serious, "no such").count() == 0
+def test_summary(heavy):
+    assert rows_of(heavy.summary(), "filtered_rows", "total_rows", "visible_columns", "filtered") == [
+        (4, 7, 3, True)
+    ]
+    assert heavy.where(None).summary().first().filtered is False
+
+
+def test_find_in_a_view(heavy):
+    assert find(heavy, "EAST") == Found(1, "parcel")
+    assert find(heavy, "1", 1) == Found(2, "weight")
+    assert find(heavy, "12.5") == Found(0, "weight")
+    assert find(heavy, "north", 0) == Found(0, "parcel")
+    assert find(heavy, "door") is None
+    assert find(heavy, "") is None
+    assert find_frame(heavy, "").count() == 0
+    assert find_frame(heavy, "no such").count() == 0
 
 
-def test_column_order(adae):
-    view = adae.select("USUBJID", "AESER")
-    assert view.hide("USUBJID").columns == ("AESER",)
-    assert view.hide("USUBJID").show("USUBJID").columns == ("AESER", "USUBJID")
-    assert view.show("AESER").columns == ("USUBJID", "AESER")
-    everything = adae.toggle_all()
-    assert everything.columns == ()
-    assert everything.toggle_all().columns == adae.columns
-    assert view.toggle_all().columns == adae.columns
+def test_column_order(parcels):
+    view = parcels.select("note", "hub", "pieces")
+    assert view.hide("hub").columns == ("note", "pieces")
+    assert view.hide("note").show("weight", "note").columns == ("hub", "pieces", "weight", "note")
+    assert view.show("pieces").columns == ("note", "hub", "pieces")
+    nothing = parcels.toggle_all()
+    assert nothing.columns == ()
+    assert nothing.toggle_all().columns == parcels.columns
+    assert view.toggle_all().columns == parcels.columns
 
 
-def test_column_errors(adae):
+def test_column_errors(parcels):
     with pytest.raises(ColumnSelectionError):
-        adae.select()
+        parcels.select()
     with pytest.raises(ColumnSelectionError):
-        adae.select("usubjid")
+        parcels.select("HUB")
     with pytest.raises(ColumnSelectionError):
-        adae.sort_by("age")
-    hidden = adae.hide(*adae.columns)
+        parcels.sort_by("Weight")
+    hidden = parcels.hide(*parcels.columns)
     for action in (hidden.page, hidden.rows, hidden.index, hidden.csv_lines):
         with pytest.raises(ColumnSelectionError):
             action()
     with pytest.raises(ColumnSelectionError):
         find(hidden, "x")
-    assert hidden.count() == 4
+    assert hidden.count() == 7
 
 
 def test_page_arithmetic():
@@ -88,11 +97,11 @@ def test_page_arithmetic():
     assert (page_rows(), page_rows(1), page_rows(10**6)) == (500, 50, 5_000)
 
 
-def test_views_do_not_change(adae):
-    filtered = adae.where(var("AGE") > 50)
-    assert adae.count() == 4 and filtered.count() == 2
-    assert filtered.where(None).count() == 4
-    assert filtered.sort_by("AGE").in_source_order().sort is None
+def test_views_do_not_change(parcels):
+    filtered = parcels.where(var("pieces") >= 3)
+    assert parcels.count() == 7 and filtered.count() == 3
+    assert filtered.where(None).count() == 7
+    assert filtered.sort_by("hub").in_source_order().sort is None
 
 
 def test_odd_column_names(spark, saved):
