@@ -246,22 +246,57 @@ def _comparison(left: Var, comparison: str, other) -> Condition:
 
 
 def _prefix(left: Var, comparison: str, other) -> Condition:
-    compare = COMPARISONS[comparison][0]
-
-    def built(catalog: Catalog) -> Column:
+    def built(catalog: Catalog, comparison: str) -> Column:
         variable = _character(catalog, left.name, "a prefix comparison")
         value, _ = _operand(variable, other, catalog)
         if isinstance(other, Var):
             first, second = _or_empty(variable.operand), _or_empty(value)
             shared = F.least(F.length(first), F.length(second))
+            compare = COMPARISONS[comparison][0]
             return compare(F.left(first, shared), F.left(second, shared))
         if other == "":
             raise ConditionError("a prefix comparison needs a non-empty prefix")
-        if comparison == "=":
-            return variable.operand.isNotNull() & variable.operand.startswith(other)
-        return compare(F.left(_or_empty(variable.operand), F.lit(len(other))), value)
+        return _leading(variable.operand, comparison, other)
+
+    # A missing value is empty text here, so that each comparison or its opposite holds.
+    opposite = COMPARISONS[comparison][1]
+    return Condition(
+        lambda c: built(c, comparison),
+        lambda c: built(c, opposite),
+        f"{left.name} {comparison}: {_shown(other)}",
+    )
+
 
-    return Condition(built, lambda c: ~built(c), f"{left.name} {comparison}: {_shown(other)}")
+def _leading(column: Column, comparison: str, prefix: str) -> Column:
+    """The comparison of the leading characters as ranges of the whole text, which reach the scan.
+
+    All texts with the prefix lie from the prefix itself up to, but without, its successor.
+    """
+    after = successor(prefix)
+    absent, below = column.isNull(), column < F.lit(prefix)
+    beyond = F.lit(False) if after is None else column.isNotNull() & (column >= F.lit(after))
+    if comparison == "=":
+        return column.isNotNull() & column.startswith(prefix)
+    if comparison == ">=":
+        return column.isNotNull() & (column >= F.lit(prefix))
+    if comparison == "<":
+        return absent | below
+    if comparison == ">":
+        return beyond
+    if comparison == "!=":
+        return absent | below | beyond
+    return F.lit(True) if after is None else absent | (column < F.lit(after))
+
+
+def successor(prefix: str) -> str | None:
+    """The smallest text after all texts with the prefix, by code points; None if there is none."""
+    kept = prefix.rstrip("\U0010ffff")
+    if not kept:
+        return None
+    last = ord(kept[-1])
+    # Surrogates are no characters.
+    following = 0xE000 if last == 0xD7FF else last + 1
+    return kept[:-1] + chr(following)
 
 
 def _membership(left: Var, values: tuple) -> Condition:

@@ -22,11 +22,21 @@ def number_text(column: Column) -> Column:
 
     Plain decimals from 1e-4 up to below 1e16, an exponent of at least two digits elsewhere.
     Spark's own text is already that from 1e-3 up to below 1e7, which is where most values
-    lie. The rest is kept to few expressions: a generated method beyond 8,000 bytes of code is
-    never compiled by the JVM.
+    lie. The rest is one body over an array of one value: it stands in the plan once, however long
+    the column's own expression is, and adds nothing to the generated code.
     """
     column = column.cast("double")
-    size, own = F.abs(column), column.cast("string")
+    size = F.abs(column)
+    given = F.struct(column.alias("value"), column.cast("string").alias("own"))
+    other = F.element_at(F.transform(F.array(given), _unusual_text), 1)
+    usual = size.between(1e-3, 9999999.999999998) | (size == 0)
+    return F.when(usual, column.cast("string")).when(column.isNotNull(), other)
+
+
+def _unusual_text(given: Column) -> Column:
+    """The text of a number outside the range that Spark prints plainly."""
+    column, own = given["value"], given["own"]
+    size = F.abs(column)
     # 17 digits before and 21 after the point hold the text of every double of this range.
     digits = F.rtrim(own.cast("decimal(38,21)").cast("string"), F.lit("0"))
     plain = F.regexp_replace(digits, r"\.$", ".0")
@@ -43,11 +53,7 @@ def number_text(column: Column) -> Column:
     bare = F.regexp_replace(shortest, r"\.?0*[eE]\+?", "e")
     signed = F.regexp_replace(bare, r"e(\d)", "e+$1")
     scientific = F.regexp_replace(signed, r"([+-])(\d)$", "$10$2")
-    return (
-        F.when(size.between(1e-3, 9999999.999999998) | (size == 0), own)
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(scientific)
-    )
+    return F.when((size >= 1e-4) & (size < 1e16), plain).otherwise(scientific)
 
 
 def _whole_digits(column: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Observation
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tableview import storage
@@ -12,7 +13,7 @@ from tableview.functions.text import BOM, csv_header, csv_line
 from tableview.operators.view import View
 from tableview.sources.ordered_files import natural_order
 
-# Names every part of an export in order, the header first.
+# Names every part of an export in order, the header first, by its path in the folder.
 ORDER = "_order"
 
 
@@ -27,9 +28,11 @@ def export_csv(view: View, destination: str, *, single_file: bool = False) -> Ex
     """Write the view as UTF-8 CSV with a byte-order mark and a header.
 
     Executors format and write the lines of the sorted partitions in parallel. The result is the
-    folder `<destination>.parts`: a header, the parts, and the file `_order`, which names them in
-    order, one a line; joined so they are one CSV file. With `single_file` they are joined here,
-    as a stream inside the JVM, into one file that appears under its name only when complete.
+    folder `<destination>.parts`: the file `_order` names the header and the parts in order, one a
+    line; joined so they are one CSV file. Each export is a new generation in a folder of its own.
+    `_order` is renamed into place when the generation is whole and only then the one before goes,
+    so a failed export leaves the earlier one as it was. With `single_file` the parts are joined
+    here, as a stream inside the JVM, into one file that appears under its name only when complete.
     """
     view.table.require_complete("exporting")
     columns = view._visible()
@@ -37,27 +40,47 @@ def export_csv(view: View, destination: str, *, single_file: bool = False) -> Ex
     if not destination.lower().endswith(".csv"):
         destination += ".csv"
     folder = destination + ".parts"
-    variables = [view.table.catalog.exact(name) for name in columns]
-    observed = Observation("export")
-    lines = view.ordered().select(csv_line(variables).alias("line"))
+    label = f"generation-{uuid.uuid4().hex}"
+    work = storage.new_path(spark, "export") if single_file else f"{folder}/{label}"
     header = BOM + csv_header(list(columns)).encode() + b"\n"
     try:
-        lines.observe(observed, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").text(folder)
-        rows = observed.get["rows"]
-        parts = [path for path, _ in storage.list_files(spark, folder) if _is_data(path)]
-        parts.sort(key=natural_order)
+        rows, parts = _written_parts(view, work)
         if single_file:
             storage.concatenate(spark, header, parts, destination)
-        else:
-            names = ["header.csv", *(path.rsplit("/", 1)[-1] for path in parts)]
-            storage.write_bytes(spark, f"{folder}/header.csv", header)
-            storage.write_bytes(spark, f"{folder}/{ORDER}", "".join(f"{n}\n" for n in names).encode())
+            storage.delete(spark, work)
+            return Exported(rows, destination, True)
+        storage.write_bytes(spark, f"{work}/header.csv", header)
+        names = [f"{label}/header.csv", *(label + path.rsplit(label, 1)[1] for path in parts)]
+        listed = "".join(f"{name}\n" for name in names).encode()
+        storage.replace_bytes(spark, f"{folder}/{ORDER}", listed)
     except BaseException:
-        storage.delete(spark, folder)
+        storage.delete(spark, work)
         raise
-    if single_file:
-        storage.delete(spark, folder)
-    return Exported(rows, destination if single_file else folder, single_file)
+    for path, _ in storage.list_files(spark, folder):
+        if path.rsplit("/", 1)[-1] not in (label, ORDER):
+            storage.delete(spark, path)
+    return Exported(rows, folder, False)
+
+
+def exported_parts(spark: SparkSession, path: str) -> list[str]:
+    """The files of an export in parts, in order."""
+    return [f"{path}/{name}" for name in storage.read_text(spark, f"{path}/{ORDER}").split("\n")[:-1]]
+
+
+def _written_parts(view: View, folder: str) -> tuple[int, list[str]]:
+    """Write the lines of the view and return their number and the files in order."""
+    spark = view.table.spark
+    variables = [view.table.catalog.exact(name) for name in view.columns]
+    rows, parts = 0, []
+    for number, ordered in enumerate(view.ordered_parts()):
+        observed = Observation(f"export-{number}")
+        lines = ordered.select(csv_line(variables).alias("line"))
+        counted = lines.observe(observed, F.count(F.lit(1)).alias("rows"))
+        counted.write.text(f"{folder}/range-{number}")
+        rows += observed.get["rows"]
+        listed = storage.list_files(spark, f"{folder}/range-{number}")
+        parts += sorted((path for path, _ in listed if _is_data(path)), key=natural_order)
+    return rows, parts
 
 
 def _is_data(path: str) -> bool:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tableview import storage
 from tableview.errors import TableViewError
-from tableview.sources.ordered_files import natural_order, top_tasks
+from tableview.sources.ordered_files import natural_order, scan_tasks, thinned
 
 SCHEMA = (
     "id bigint, dataset_path string, dataset_name string, where_text string, executed_at string"
@@ -37,6 +37,10 @@ BLANKS = (
 IDS_PER_GROUP = 1_000_000
 
 
+# Spark's guess of a frame's size is taken up to here: beyond, it is the product of a join.
+MOST_BYTES = 1 << 50
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
@@ -151,9 +155,12 @@ def cleaned(log: DataFrame, text: str = "where_text") -> DataFrame:
 
 
 def keep_latest(log: DataFrame, order: str = "id", entries: int = KEPT_ENTRIES) -> DataFrame:
-    """Only the newest entries: a top-k, no full sort."""
+    """Only the newest entries: a top-k in levels, no full sort."""
     kept = kept_entries(entries)
-    return log.coalesce(top_tasks(kept)).orderBy(F.col(order).desc()).limit(kept)
+    newest = [F.col(order).desc()]
+    size = int(str(log._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = scan_tasks(log.sparkSession, min(size, MOST_BYTES))
+    return thinned(log, newest, kept, tasks).orderBy(*newest).limit(kept)
 
 
 def listed(

@@ -8,7 +8,7 @@ the files were committed, not when a range partitioning happened to be sampled.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tableview import storage
 from tableview.catalog import SOURCE_ROW, VIEW_ROW, quoted
+from tableview.operators.text_index import TextIndex
 from tableview.sources.ordered_files import OrderedFiles
 from tableview.sources.table import ORIGIN_BLOCK, ORIGIN_FILE, ROWS_PER_FILE, Table, publish
 
@@ -24,9 +25,14 @@ from tableview.sources.table import ORIGIN_BLOCK, ORIGIN_FILE, ROWS_PER_FILE, Ta
 class RowIndex:
     columns: tuple[str, ...]
     all_rows: Callable[[], DataFrame]
-    rows_between: Callable[[int, int], DataFrame]
+    # Rows between two numbers, of all files or of the named ones.
+    rows_between: Callable[[int, int, set[str] | None], DataFrame]
     total: Callable[[], int]
     drop: Callable[[], None]
+    # The rows as they are stored, and whether some files have any between two numbers.
+    stored: DataFrame
+    holds: Callable[[int, int, set[str]], bool]
+    text: TextIndex | None = None
 
     def showing(self, columns: tuple[str, ...]) -> RowIndex:
         return replace(self, columns=columns)
@@ -37,29 +43,47 @@ class RowIndex:
     def numbered(self) -> DataFrame:
         return self._shown(self.all_rows())
 
-    def between(self, start: int, stop: int) -> DataFrame:
-        return self._shown(self.rows_between(max(start, 0), max(stop, 0)))
+    def between(self, start: int, stop: int, only: set[str] | None = None) -> DataFrame:
+        return self._shown(self.rows_between(max(start, 0), max(stop, 0), only))
 
+    def files_with(self, text: str) -> set[str] | None:
+        """The files that may show the text; None where only reading them can tell."""
+        if self.text is None or not set(self.columns) <= set(self.text.names):
+            return None
+        return self.text.files(text)
 
-def source_index(table: Table, columns: tuple[str, ...]) -> RowIndex:
+
+def source_index(
+    table: Table, columns: tuple[str, ...], text: TextIndex | None = None
+) -> RowIndex:
     """An unfiltered view in source order: the row number is the source row."""
 
     def numbered(frame: DataFrame) -> DataFrame:
         rows = table.clean(frame, table.catalog.names)
         return rows.withColumn(VIEW_ROW, F.col(SOURCE_ROW) - 1)
 
+    def holds(start: int, stop: int, only: set[str]) -> bool:
+        if table.files is None or table.files.single_file:
+            return bool(only)
+        return table.files.holds(start, stop, only)
+
     return RowIndex(
         columns,
         lambda: numbered(table.numbered),
-        lambda start, stop: numbered(table.source_range(start, stop)),
+        lambda start, stop, only=None: numbered(table.source_range(start, stop, only)),
         lambda: table.status().cached_rows,
         lambda: None,
+        table.rows,
+        holds,
+        text,
     )
 
 
-def sorted_index(spark: SparkSession, ordered: DataFrame, columns: tuple[str, ...]) -> RowIndex:
-    """Write an ordered frame and number its rows by where they lie."""
-    return _written_index(spark, ordered, columns, None)
+def sorted_index(
+    spark: SparkSession, parts: Iterable[DataFrame], columns: tuple[str, ...]
+) -> RowIndex:
+    """Write frames that follow each other in order and number their rows by where they lie."""
+    return _written_index(spark, parts, columns, None)
 
 
 def filtered_index(spark: SparkSession, kept: DataFrame, columns: tuple[str, ...]) -> RowIndex:
@@ -68,22 +92,30 @@ def filtered_index(spark: SparkSession, kept: DataFrame, columns: tuple[str, ...
     Each task writes the rows of the blocks it reads as it finds them, marked with file and
     block; the order of the blocks is that of the source.
     """
-    return _written_index(spark, kept, columns, (ORIGIN_FILE, ORIGIN_BLOCK))
+    return _written_index(spark, [kept], columns, (ORIGIN_FILE, ORIGIN_BLOCK))
 
 
 def _written_index(
     spark: SparkSession,
-    frame: DataFrame,
+    parts: Iterable[DataFrame],
     columns: tuple[str, ...],
     origin: tuple[str, str] | None,
 ) -> RowIndex:
     path = storage.new_path(spark, "index")
-    publish(frame, path, ROWS_PER_FILE)
-    files = OrderedFiles(spark, spark.read.schema(frame.schema).parquet(path), origin)
+    try:
+        for number, part in enumerate(parts):
+            publish(part, f"{path}/range-{number}", ROWS_PER_FILE)
+    except BaseException:
+        storage.delete(spark, path)
+        raise
+    reader = spark.read.schema(part.schema).option("recursiveFileLookup", "true")
+    files = OrderedFiles(spark, reader.parquet(path), origin)
     return RowIndex(
         columns,
         lambda: files.numbered(VIEW_ROW),
-        lambda start, stop: files.between(start, stop, VIEW_ROW),
+        lambda start, stop, only=None: files.between(start, stop, VIEW_ROW, 0, only),
         lambda: files.total,
         lambda: storage.delete(spark, path),
+        files.frame,
+        files.holds,
     )

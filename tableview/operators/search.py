@@ -67,7 +67,8 @@ def find(
 
     From an end of a view without an index nothing is sorted: the first match is a top-1 and
     its number is the count of rows before it. Otherwise the index is searched outwards from
-    the start in growing ranges, each reading just its own files.
+    the start in growing ranges, each reading just its own files, and of these only the ones that
+    may show the text if the view has a skip index (`View.index_text`).
     """
     view.table.require_complete("finding")
     view._visible()
@@ -75,6 +76,9 @@ def find(
         return None
     from_end = start is None or (start < 0 if forward else start >= view.count())
     plain = view.condition is None and view.sort is None
+    only = view._indexed_files(text)
+    if only is not None and not only:
+        return None
     if from_end and not plain and view.sort not in view._known:
         return _find_from_end(view, text, forward)
     start = _default_start(view, start, forward)
@@ -88,7 +92,9 @@ def find(
         spans = [(0, start), (max(start, 0), total)]
     for low, high in spans:
         for begin, end in _growing(low, high, forward):
-            hits = _matches(view, index.between(begin, end), text)
+            if only is not None and not index.holds(begin, end, only):
+                continue
+            hits = _matches(view, index.between(begin, end, only), text)
             order = F.col(VIEW_ROW).asc() if forward else F.col(VIEW_ROW).desc()
             hit = hits.orderBy(order).limit(1).select(VIEW_ROW, _matched_column(view, text)).first()
             if hit is not None:

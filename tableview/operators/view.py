@@ -6,6 +6,7 @@ happens to a later one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -14,9 +15,16 @@ from pyspark.sql import functions as F
 from tableview.catalog import SOURCE_ROW, VIEW_ROW, quoted
 from tableview.errors import ColumnSelectionError
 from tableview.functions.conditions import Condition, any_contains
-from tableview.functions.text import csv_line, display_text
+from tableview.functions.text import any_text_contains, csv_line, display_text
 from tableview.operators.row_index import RowIndex, filtered_index, sorted_index, source_index
-from tableview.sources.ordered_files import partition_count, sorted_rows, top_tasks
+from tableview.operators.text_index import build_text_index
+from tableview.sources.ordered_files import (
+    partition_count,
+    scan_tasks,
+    sorted_parts,
+    sorted_rows,
+    thinned,
+)
 from tableview.sources.table import Table
 
 # Rows per page, the usual number and the bounds it is kept within.
@@ -34,6 +42,9 @@ LEADING_ROWS = 4_000_000
 LEADING_GROWTH = 16
 SCANNED_AT_ONCE = 1024**3
 
+# Under which the skip index of the table itself is remembered; those of other indexes go with them.
+TEXT = "text"
+
 
 def page_rows(wanted: int = PAGE_ROWS) -> int:
     return min(max(wanted, LEAST_PAGE_ROWS), MOST_PAGE_ROWS)
@@ -147,6 +158,12 @@ class View:
         ranged = sorted_rows(self._sortable(), self.order(), self._sorted_bytes())
         return ranged.select(SOURCE_ROW, *map(quoted, self.columns))
 
+    def ordered_parts(self) -> Iterator[DataFrame]:
+        """The whole view in order, as frames that follow each other: one, or several for a table
+        too big to be sorted by one shuffle. Each has to be used before the next is asked for."""
+        for part in sorted_parts(self._sortable(), self.order(), self._sorted_bytes()):
+            yield part.select(SOURCE_ROW, *map(quoted, self.columns))
+
     def _sorted_bytes(self) -> int:
         """About the size of what a sort moves: the share of the table that the rows kept and the
         columns shown have. The rows are only counted for a table that is big as a whole."""
@@ -171,7 +188,20 @@ class View:
 
     def matching(self, text: str) -> DataFrame:
         """Rows of the view where any visible cell shows the text."""
-        return self.where(self._and(any_contains(list(self._visible()), text))).rows()
+        only = self._indexed_files(text)
+        if only is None:
+            return self.where(self._and(any_contains(list(self._visible()), text))).rows()
+        index = self.index()
+        variables = [self.table.catalog.exact(name) for name in self._visible()]
+        rows = index.between(0, index.total(), only)
+        return rows.filter(any_text_contains(variables, text)).drop(VIEW_ROW)
+
+    def _indexed_files(self, text: str) -> set[str] | None:
+        """The files that may show the text, if a skip index tells."""
+        plain = self.condition is None and self.sort is None
+        if not text or (TEXT not in self._known if plain else self.sort not in self._known):
+            return None
+        return self.index().files_with(text)
 
     def _and(self, condition: Condition) -> Condition:
         return condition if self.condition is None else self.condition & condition
@@ -214,12 +244,12 @@ class View:
         """
         columns = self._visible()
         if self.condition is None and self.sort is None:
-            return source_index(self.table, columns)
+            return source_index(self.table, columns, self._known.get(TEXT))
         known = self._known.get(self.sort)
         if known is None or not set(columns) <= set(known.columns):
             located = self.table.located if self.sort is None else None
             if located is None:
-                known = sorted_index(self.table.spark, self.ordered(), columns)
+                known = sorted_index(self.table.spark, self.ordered_parts(), columns)
             else:
                 kept = self.table.clean(self._kept(located), columns)
                 known = filtered_index(self.table.spark, kept, columns)
@@ -229,12 +259,36 @@ class View:
             self._known[self.sort] = known
         return known.showing(columns)
 
+    def index_text(self) -> View:
+        """Write a skip index beside the row index: find and `matching` then read only the files
+        that may show the text. It covers the columns visible now and goes with `release()`."""
+        index = self.index()
+        variables = [self.table.catalog.exact(name) for name in self._visible()]
+        if index.text is not None and set(self.columns) <= set(index.text.names):
+            return self
+        stored = index.stored
+        if self.condition is None and self.sort is None:
+            shown = {v.name: v.value for v in variables if v.name not in self.table.derive}
+            shown |= {name: column for name, column in self.table.derive.items()}
+            text = build_text_index(stored, variables, shown)
+            replaced = self._known.pop(TEXT, None)
+            self._known[TEXT] = text
+        else:
+            text = build_text_index(stored, variables)
+            replaced = self._known[self.sort].text
+            self._known[self.sort] = replace(self._known[self.sort], text=text)
+        if replaced is not None:
+            replaced.drop()
+        return self
+
     def release(self) -> None:
         """Delete the indexes this view has written."""
-        for known in self._known.pop("replaced", []):
+        every = self._known.pop("replaced", [])
+        every += [self._known.pop(key) for key in [key for key in self._known if key != "count"]]
+        for known in every:
+            if getattr(known, "text", None) is not None:
+                known.text.drop()
             known.drop()
-        for key in [key for key in self._known if key != "count"]:
-            self._known.pop(key).drop()
 
     def view_rows(self) -> DataFrame:
         """Every row with `_view_row`, its 0-based position in the view."""
@@ -248,7 +302,8 @@ class View:
         if plain or self.sort in self._known or offset + limit > TOP_ROWS:
             return self.slice(offset, offset + limit).orderBy(VIEW_ROW).limit(limit)
         rows = self._leading_rows(offset + limit) if self.sort is None else self._sortable()
-        ranked = rows.coalesce(top_tasks(offset + limit)).orderBy(*self.order())
+        tasks = scan_tasks(self.table.spark, self.table.source_bytes, self.table.file_count)
+        ranked = thinned(rows, self.order(), offset + limit, tasks).orderBy(*self.order())
         # A global limit leaves one sorted partition, so the ids on it count 0, 1, 2, ...
         position = F.lit(offset).cast("bigint") + F.monotonically_increasing_id()
         page = ranked.offset(offset).limit(limit).withColumn(VIEW_ROW, position)

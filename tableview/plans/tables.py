@@ -11,7 +11,7 @@ from tableview import storage
 from tableview.catalog import SOURCE_ROW
 from tableview.functions.conditions import var
 from tableview.functions.text import number_text
-from tableview.operators.export import ORDER, export_csv
+from tableview.operators.export import export_csv, exported_parts
 from tableview.operators.rebind import rebind
 from tableview.operators.view import View
 from tableview.plans.registry import Query, opened, view
@@ -110,6 +110,12 @@ def stopped_load(spark: SparkSession, folder: str):
     return replace(load, total_hint=total)
 
 
+def first_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The first rows of a load with no settings of its own, as soon as they are there."""
+    load = ingest(snapshot(opened(spark, folder, "events"), 2_500))
+    return View.of(load.table()).select("event_id", "event_type").page(0, 500)
+
+
 def reload_view(spark: SparkSession, folder: str) -> DataFrame:
     """A view on customers carried over to a version without one of its columns."""
     old = (
@@ -154,13 +160,14 @@ def exported_file(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def exported_parts(spark: SparkSession, folder: str) -> DataFrame:
+def exported_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Export a sorted view and read its parts back, each line with its place in the export."""
     shown = _sorted_customers(spark, folder).select("c_custkey", "c_name")
     path = export_csv(shown, storage.new_path(spark, "export") + ".csv").path
-    listed = storage.read_text(spark, f"{path}/{ORDER}").split()
-    names = spark.createDataFrame(list(enumerate(listed)), "part long, name string")
-    texts = spark.read.text(path, wholetext=True).select(
+    listed = exported_parts(spark, path)
+    names = [(part, name.rsplit("/", 1)[-1]) for part, name in enumerate(listed)]
+    names = spark.createDataFrame(names, "part long, name string")
+    texts = spark.read.text(listed, wholetext=True).select(
         F.col("_metadata.file_name").alias("name"), F.split("value", "\n").alias("lines")
     )
     texts = texts.select("name", F.slice("lines", 1, F.size("lines") - 1).alias("lines"))
@@ -229,6 +236,10 @@ SELECT count(*) // 2 AS cached_rows, count(*) AS total_rows, false AS complete F
         .page(0, 500),
         "SELECT event_id AS _view_row, event_id, event_type FROM events WHERE event_id < 500",
     ),
+    "ingest_first_page": Query(
+        first_page,
+        "SELECT event_id AS _view_row, event_id, event_type FROM events WHERE event_id < 500",
+    ),
     "reload_view": Query(
         reload_view,
         """
@@ -273,7 +284,7 @@ FROM documents""",
         "SELECT *, (SELECT count(*) FROM customer) AS exported_rows FROM customer",
     ),
     "export_csv_parts": Query(
-        exported_parts,
+        exported_lines,
         """
 SELECT 0 AS place, 'c_custkey,c_name' AS line
 UNION ALL

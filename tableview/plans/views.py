@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tableview.catalog import SOURCE_ROW
 from tableview.functions.conditions import var
-from tableview.operators.search import find_frame
+from tableview.operators.search import RESULT, find, find_frame
 from tableview.operators.view import PAGE_ROWS, View, page_start
 from tableview.plans.conditions import EVENT_GAPS_SQL, event_gaps
 from tableview.plans.registry import Query, view
@@ -85,6 +85,17 @@ WHERE _view_row = coalesce((SELECT {first}(_view_row) FROM hits WHERE _view_row
     )
 
 
+def _found_by_index(text: str, start: int) -> Query:
+    """The same search through a skip index, one call of `find`."""
+
+    def run(spark, folder):
+        shown = expensive(spark, folder).index_text()
+        hit = find(shown, text, start)
+        return spark.createDataFrame([] if hit is None else [(hit.row_index, hit.column_name)], RESULT)
+
+    return Query(run, _found(start, text=text).sql)
+
+
 def _expensive_rows(low: int, high: int) -> str:
     return f"SELECT {_SHOWN} FROM {EXPENSIVE_SQL} WHERE _view_row >= {low} AND _view_row < {high}"
 
@@ -235,6 +246,15 @@ FROM orders""",
     "find_wrap": _found(10**9),
     "find_wrap_back": _found(0, forward=False),
     "find_column": _found(500, text="99"),
+    "find_indexed": _found_by_index("3-med", 700),
+    "match_indexed": Query(
+        lambda spark, folder: view(spark, folder, "documents")
+        .select("doc_id", "lang", "source")
+        .index_text()
+        .matching("SRC1")
+        .drop(SOURCE_ROW),
+        "SELECT doc_id, lang, source FROM documents WHERE contains(lower(source), 'src1')",
+    ),
     "find_none": Query(
         lambda spark, folder: find_frame(expensive(spark, folder), "no such text"),
         """

@@ -11,8 +11,11 @@ never a row of data.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -20,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableview import storage
+
 # Up to this many runs the table of first rows is broadcast with the paths of the files (about
 # 200 bytes a run), up to MOST_RUNS with 64-bit hashes of them (about 40 bytes) instead.
 BROADCAST_RUNS = 200_000
@@ -35,6 +40,9 @@ NAMED_FILES = 1_000
 # The candidates of all tasks of a top-k that may reach the task that picks the result.
 TOP_CANDIDATES = 5_000_000
 
+# The most range partitions of one shuffle; a sort that needs more goes in two passes.
+SORTED_AT_ONCE = 4_000
+
 # Hidden columns of a Parquet scan: the file a row lies in and its position there.
 FILE = "_metadata.file_path"
 POSITION = "_metadata.row_index"
@@ -162,12 +170,15 @@ class OrderedFiles:
             return frame.withColumn(name, F.col(POSITION) + F.lit(base))
         return self.placed(frame, self.runs, name, base)
 
-    def between(self, start: int, stop: int, name: str, base: int = 0) -> DataFrame:
-        """Rows start <= row < stop (counted from 0); only the files that hold them are read."""
-        if self.single_file:
+    def between(
+        self, start: int, stop: int, name: str, base: int = 0, only: set[str] | None = None
+    ) -> DataFrame:
+        """Rows start <= row < stop (counted from 0); only the files that hold them are read, and
+        of these just `only`, if given."""
+        if self.single_file and (only is None or set(self.frame.inputFiles()) <= only):
             frame = self.frame.filter((F.col(POSITION) >= start) & (F.col(POSITION) < stop))
             return frame.withColumn(name, F.col(POSITION) + F.lit(base))
-        runs = [run.clipped(start, stop) for run in self._covering(start, stop)]
+        runs = [run.clipped(start, stop) for run in self._covering(start, stop, only)]
         if not runs:
             return self.frame.filter(F.lit(False)).withColumn(name, F.lit(0).cast("bigint"))
         frame = self.frame
@@ -176,10 +187,15 @@ class OrderedFiles:
             frame = frame.filter(F.col(FILE).isin(*files))
         return self.placed(frame, runs, name, base, clipped=True)
 
-    def _covering(self, start: int, stop: int) -> list[Run]:
+    def holds(self, start: int, stop: int, only: set[str]) -> bool:
+        """Whether any of these files has rows there."""
+        return bool(self._covering(start, stop, only))
+
+    def _covering(self, start: int, stop: int, only: set[str] | None = None) -> list[Run]:
         low = max(bisect_right(self._firsts, start) - 1, 0)
         high = bisect_right(self._firsts, stop - 1)
-        return [run for run in self.runs[low:high] if run.end > start]
+        found = [run for run in self.runs[low:high] if run.end > start]
+        return found if only is None else [run for run in found if run.file in only]
 
     def placed(
         self, frame: DataFrame, runs: list[Run], name: str, base: int, clipped: bool = False
@@ -249,10 +265,31 @@ def _sliced_join(located: DataFrame, shifts: DataFrame, keys: list[str]) -> Data
     )
 
 
-def top_tasks(rows: int) -> int:
-    """Tasks for a top-k of so many rows: as many as may hand their own top-k to the single
-    task that picks the result. The cores of the moment do not matter."""
-    return max(1, TOP_CANDIDATES // max(rows, 1))
+def scan_tasks(spark: SparkSession, size: int, files: int = 1) -> int:
+    """About as many tasks as Spark scans so many bytes in so many files with."""
+    split = _bytes(spark, "spark.sql.files.maxPartitionBytes")
+    opening = _bytes(spark, "spark.sql.files.openCostInBytes")
+    return max(1, -(-(size + files * opening) // split))
+
+
+def _bytes(spark: SparkSession, name: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+
+
+def thinned(frame: DataFrame, order: list[Column], rows: int, tasks: int) -> DataFrame:
+    """What may be among the first `rows` rows, few enough for one task to pick them.
+
+    Every task keeps its own first rows, so the scan stays as wide as it is. While there are too
+    many tasks for one to take over from all, they hand their rows to fewer, evenly, and those keep
+    their first ones again: no task is given more than TOP_CANDIDATES rows (or two tasks' rows).
+    """
+    fan_in = max(2, TOP_CANDIDATES // max(rows, 1))
+    # Rows in a sorted partition are numbered 0, 1, 2, ... below the number of the partition.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    while tasks > fan_in:
+        tasks = -(-tasks // fan_in)
+        frame = frame.sortWithinPartitions(*order).filter(place < rows).repartition(tasks)
+    return frame
 
 
 def partition_count(spark: SparkSession, source_bytes: int) -> int:
@@ -267,10 +304,45 @@ def sorted_rows(frame: DataFrame, order: list[Column], source_bytes: int) -> Dat
 
     While the session's partition number is enough this is a plain ORDER BY, which adaptive
     execution may merge into fewer partitions; beyond it the range partitions are sized to the
-    data. The order must end in a unique column, so that one sort value never fills a partition.
+    data, up to SORTED_AT_ONCE. The order must end in a unique column, so that one sort value never
+    fills a partition.
     """
     spark = frame.sparkSession
-    wanted = partition_count(spark, source_bytes)
+    wanted = min(partition_count(spark, source_bytes), SORTED_AT_ONCE)
     if wanted <= int(spark.conf.get("spark.sql.shuffle.partitions")):
         return frame.orderBy(*order)
     return frame.repartitionByRange(wanted, *order).sortWithinPartitions(*order)
+
+
+def sorted_parts(
+    frame: DataFrame, order: list[Column], source_bytes: int
+) -> Iterator[DataFrame]:
+    """The rows in order, as frames that follow each other, each in a total order of its own.
+
+    Usually that is one frame. A table that takes more than SORTED_AT_ONCE partitions is sorted in
+    two passes: it is dealt to coarse ranges, about the square root of the partitions, by splitters
+    that Spark samples, and written once; each range is then sorted by itself. The blocks that tasks
+    exchange so grow with n ** 1.5 instead of n ** 2. A range is deleted once the next is asked for.
+    """
+    spark = frame.sparkSession
+    wanted = partition_count(spark, source_bytes)
+    if wanted <= SORTED_AT_ONCE:
+        yield sorted_rows(frame, order, source_bytes)
+        return
+    folder = storage.new_path(spark, "dealt")
+    try:
+        dealt = frame.repartitionByRange(math.isqrt(wanted - 1) + 1, *order)
+        # Only passed on, not sorted: a task writes its range as it arrives, in files of their own.
+        dealt.write.option("maxRecordsPerFile", SLICE_ROWS).parquet(folder)
+        ranges: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        for path, size in storage.list_files(spark, folder):
+            if (name := re.match(r"part-\d+", path.rsplit("/", 1)[-1])) is not None:
+                ranges[name[0]].append((path, size))
+        for name in sorted(ranges, key=natural_order):
+            paths = [path for path, _ in ranges[name]]
+            part = spark.read.schema(frame.schema).parquet(*paths)
+            yield sorted_rows(part, order, sum(size for _, size in ranges[name]))
+            for path in paths:
+                storage.delete(spark, path)
+    finally:
+        storage.delete(spark, folder)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tableview import storage
 from tableview.catalog import SOURCE_ROW, VIEW_ROW, Catalog, contents, quoted
 from tableview.errors import IncompleteTableError, TableViewError
-from tableview.sources.ordered_files import OrderedFiles
+from tableview.sources.ordered_files import FILE, NAMED_FILES, OrderedFiles
 
 ORIGIN_FILE = "_origin_file"
 ORIGIN_BLOCK = "_origin_block"
@@ -93,13 +93,16 @@ class Table:
         frame = self.files.numbered(SOURCE_ROW, 1, with_origin(self.files.frame))
         return self._shaped(frame, numbered=True, extra=(ORIGIN_FILE, ORIGIN_BLOCK))
 
-    def source_range(self, start: int, stop: int) -> DataFrame:
-        """Stored rows at positions start <= p < stop of the source order (from 0)."""
+    def source_range(self, start: int, stop: int, only: set[str] | None = None) -> DataFrame:
+        """Stored rows at positions start <= p < stop of the source order (from 0), of some files
+        only if they are named."""
         if self.files is None:
             row = F.col(SOURCE_ROW)
             frame = self.rows.filter((row > start) & (row <= stop))
+            if only is not None and len(only) <= NAMED_FILES:
+                frame = frame.filter(F.col(FILE).isin(*only) if only else F.lit(False))
         else:
-            frame = self.files.between(start, stop, SOURCE_ROW, base=1)
+            frame = self.files.between(start, stop, SOURCE_ROW, 1, only)
         return self._shaped(frame, numbered=True)
 
     @property
@@ -125,6 +128,12 @@ class Table:
         listed = storage.list_files(self.spark, self.path)
         return sum(size for _, size in listed)
 
+    @property
+    def file_count(self) -> int:
+        if self.files is None:
+            return len(storage.list_files(self.spark, self.path))
+        return 1 if self.files.single_file else len({run.file for run in self.files.runs})
+
     def contents(self, search: str = "") -> DataFrame:
         return contents(self.spark, self.unnumbered, self.catalog, search)
 

@@ -79,13 +79,7 @@ def concatenate(spark: SparkSession, header: bytes, parts: list[str], destinatio
                 stream.close()
         finally:
             out.close()
-        overwrite = spark.sparkContext._gateway.new_array(
-            jvm.org.apache.hadoop.fs.Options.Rename, 1
-        )
-        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(
-            fs.makeQualified(partial), fs.makeQualified(target), overwrite
-        )
+        _rename_over(spark, fs, partial, target)
     except BaseException:
         fs.delete(partial, False)
         raise
@@ -93,6 +87,23 @@ def concatenate(spark: SparkSession, header: bytes, parts: list[str], destinatio
         fs.close()
 
 
+def _rename_over(spark: SparkSession, fs, source, target) -> None:
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    overwrite = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        target.toUri(), spark._jsc.hadoopConfiguration()
+    )
+    files.rename(fs.makeQualified(source), fs.makeQualified(target), overwrite)
+
+
+def replace_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file that appears, or takes the place of an older one, when it is whole."""
+    write_bytes(spark, path + ".part", data)
+    target, fs = _path_and_fs(spark, path)
+    _rename_over(spark, fs, spark._jvm.org.apache.hadoop.fs.Path(path + ".part"), target)
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     jpath, fs = _path_and_fs(spark, path)
     out = fs.create(jpath, True)

@@ -115,36 +115,58 @@ def ingest(
     folder: str | None = None,
     options: Mapping[str, str] | None = None,
 ) -> Ingest:
-    """Start loading a Parquet table file by file and return at once.
+    """Start loading a Parquet table file by file.
 
-    A batch is bounded by a number of files or by bytes, by `BATCH_BYTES` if neither is given.
+    A batch is bounded by a number of files or by bytes if either is given; the load then returns at
+    once. Otherwise it has two speeds: the first file arrives in a batch of its own, so that there
+    are rows to look at when this returns, and the same load goes on with batches of `BATCH_BYTES`.
     Pass the folder of an interrupted load to go on with it.
     """
     spark = source.spark
     folder = folder or storage.new_path(spark, "ingest")
-    reader = spark.readStream.schema(source.rows.schema).options(**dict(options or {}))
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    else:
-        reader = reader.option("maxBytesPerTrigger", bytes_per_batch or BATCH_BYTES)
-    if storage.is_file(spark, source.path):
-        parent, name = source.path.rsplit("/", 1)
-        arriving = reader.option("pathGlobFilter", name).parquet(parent)
-    else:
-        arriving = reader.parquet(source.path)
     if source.files is None:
-        numbered = arriving
         total = source.rows.count()
     else:
-        counted = source.files
-        numbered = counted.placed(arriving, counted.runs, SOURCE_ROW, 1)
-        total = counted.total
-    query = (
-        source.clean(source._shaped(numbered, numbered=True), source.catalog.names)
-        .writeStream.format("parquet")
-        .option("path", f"{folder}/rows")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    return Ingest(spark, source, folder, total, query)
+        total = source.files.total
+
+    def started(**trigger) -> StreamingQuery:
+        reader = spark.readStream.schema(source.rows.schema).options(**dict(options or {}))
+        reader = reader.options(**limit)
+        if storage.is_file(spark, source.path):
+            parent, name = source.path.rsplit("/", 1)
+            numbered = reader.option("pathGlobFilter", name).parquet(parent)
+        else:
+            numbered = reader.parquet(source.path)
+        if source.files is not None:
+            numbered = source.files.placed(numbered, source.files.runs, SOURCE_ROW, 1)
+        return (
+            source.clean(source._shaped(numbered, numbered=True), source.catalog.names)
+            .writeStream.format("parquet")
+            .option("path", f"{folder}/rows")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(**trigger)
+            .start()
+        )
+
+    if files_per_batch is not None:
+        limit = {"maxFilesPerTrigger": files_per_batch}
+    elif bytes_per_batch is not None:
+        limit = {"maxBytesPerTrigger": bytes_per_batch}
+    else:
+        if total and not storage.exists(spark, f"{folder}/rows/_spark_metadata/0"):
+            limit = {"maxFilesPerTrigger": 1}
+            _first_batch(spark, started(availableNow=True), folder)
+        limit = {"maxBytesPerTrigger": BATCH_BYTES}
+    return Ingest(spark, source, folder, total, started(availableNow=True))
+
+
+def _first_batch(spark: SparkSession, query: StreamingQuery, folder: str) -> None:
+    """Stop the query once its first batch is committed. What it was doing beyond that is not: the
+    next query with the same checkpoint does it again."""
+    try:
+        while query.isActive and not storage.exists(spark, f"{folder}/checkpoint/commits/0"):
+            query.awaitTermination(0.05)
+    finally:
+        query.stop()
+    if query.exception() is not None:
+        raise query.exception()
