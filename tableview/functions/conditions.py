@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+import json
 import math
 import operator
 from collections.abc import Callable
@@ -51,6 +52,8 @@ class Condition:
     passes: ColumnBuilder
     fails: ColumnBuilder
     text: str
+    # What it was built from: an operation and its arguments, to be written down and built again.
+    tree: tuple = ("everything",)
 
     def column(self, catalog: Catalog) -> Column:
         """The filter column; raises ConditionError if the condition does not fit."""
@@ -61,6 +64,7 @@ class Condition:
             lambda c: self.passes(c) & other.passes(c),
             lambda c: self.fails(c) | other.fails(c),
             f"({self.text}) AND ({other.text})",
+            ("and", self, other),
         )
 
     def __or__(self, other: Condition) -> Condition:
@@ -68,10 +72,11 @@ class Condition:
             lambda c: self.passes(c) | other.passes(c),
             lambda c: self.fails(c) & other.fails(c),
             f"({self.text}) OR ({other.text})",
+            ("or", self, other),
         )
 
     def __invert__(self) -> Condition:
-        return Condition(self.fails, self.passes, f"NOT ({self.text})")
+        return Condition(self.fails, self.passes, f"NOT ({self.text})", ("not", self))
 
     def __bool__(self) -> bool:
         raise TypeError("join conditions with & | ~, each in its own parentheses")
@@ -92,7 +97,8 @@ def any_contains(names: list[str], text: str) -> Condition:
     def found(catalog: Catalog) -> Column:
         return any_text_contains([catalog.find(name) for name in names], text)
 
-    return Condition(found, lambda c: ~found(c), f"ANY({', '.join(names)}) ? {_shown(text)}")
+    shown = f"ANY({', '.join(names)}) ? {_shown(text)}"
+    return Condition(found, lambda c: ~found(c), shown, ("any", list(names), text))
 
 
 class Var:
@@ -242,6 +248,7 @@ def _comparison(left: Var, comparison: str, other) -> Condition:
         lambda c: built(c, compare),
         lambda c: built(c, COMPARISONS[opposite][0]),
         f"{left.name} {comparison} {_shown(other)}",
+        ("compare", left, comparison, other),
     )
 
 
@@ -264,6 +271,7 @@ def _prefix(left: Var, comparison: str, other) -> Condition:
         lambda c: built(c, comparison),
         lambda c: built(c, opposite),
         f"{left.name} {comparison}: {_shown(other)}",
+        ("prefix", left, comparison, other),
     )
 
 
@@ -310,14 +318,17 @@ def _membership(left: Var, values: tuple) -> Condition:
 
     listed = ", ".join(_shown(value) for value in values)
     return Condition(
-        lambda c: built(c, False), lambda c: built(c, True), f"{left.name} IN ({listed})"
+        lambda c: built(c, False),
+        lambda c: built(c, True),
+        f"{left.name} IN ({listed})",
+        ("in", left, list(values)),
     )
 
 
 def _between(left: Var, low, high) -> Condition:
     inside = _comparison(left, ">=", low) & _comparison(left, "<=", high)
     text = f"{left.name} BETWEEN {_shown(low)} AND {_shown(high)}"
-    return Condition(inside.passes, inside.fails, text)
+    return Condition(inside.passes, inside.fails, text, ("between", left, low, high))
 
 
 def _contains(left: Var, other) -> Condition:
@@ -330,7 +341,8 @@ def _contains(left: Var, other) -> Condition:
             return F.lit(True)
         return variable.operand.isNotNull() & F.contains(variable.operand, needle)
 
-    return Condition(built, lambda c: ~built(c), f"{left.name} CONTAINS {_shown(other)}")
+    shown = f"{left.name} CONTAINS {_shown(other)}"
+    return Condition(built, lambda c: ~built(c), shown, ("contains", left, other))
 
 
 def _like(left: Var, pattern: str, escape: str | None) -> Condition:
@@ -347,7 +359,10 @@ def _like(left: Var, pattern: str, escape: str | None) -> Condition:
 
     shown_escape = "" if escape is None else f" ESCAPE {_shown(escape)}"
     return Condition(
-        built, lambda c: ~built(c), f"{left.name} LIKE {_shown(pattern)}{shown_escape}"
+        built,
+        lambda c: ~built(c),
+        f"{left.name} LIKE {_shown(pattern)}{shown_escape}",
+        ("like", left, pattern, escape),
     )
 
 
@@ -388,7 +403,79 @@ def _missing(left: Var) -> Condition:
             return filled & (variable.operand != "")
         return _guarded(filled, variable.valid)
 
-    return Condition(absent, present, f"MISSING({left.name})")
+    return Condition(absent, present, f"MISSING({left.name})", ("missing", left))
+
+
+# ---- conditions written down and built again ----------------------------------------------
+
+# Fixed value: how conditions are written; other versions are refused.
+VERSION = 1
+
+# How values are written that JSON has no exact form for.
+WRITTEN = {
+    "number": (float, repr, float),
+    "decimal": (decimal.Decimal, str, decimal.Decimal),
+    "time": (dt.datetime, dt.datetime.isoformat, dt.datetime.fromisoformat),
+    "date": (dt.date, dt.date.isoformat, dt.date.fromisoformat),
+}
+
+BUILDERS = {
+    "everything": everything,
+    "and": operator.and_,
+    "or": operator.or_,
+    "not": operator.invert,
+    "any": any_contains,
+    "compare": _comparison,
+    "prefix": _prefix,
+    "in": lambda left, values: _membership(left, tuple(values)),
+    "between": _between,
+    "contains": _contains,
+    "like": _like,
+    "missing": _missing,
+}
+
+
+def to_json(condition: Condition) -> str:
+    """The condition as text from which `from_json` builds it again, on any table."""
+    return json.dumps({"version": VERSION, "condition": _written(condition)}, ensure_ascii=False)
+
+
+def from_json(text: str) -> Condition:
+    try:
+        known = json.loads(text)
+        if known["version"] != VERSION:
+            raise ConditionError(f"a condition of version {known['version']} cannot be read")
+        return _built(known["condition"])
+    except (KeyError, TypeError, ValueError, RecursionError) as error:
+        raise ConditionError(f"this is no written condition: {error}") from None
+
+
+def _written(value):
+    if isinstance(value, Condition):
+        return {"is": value.tree[0], "of": [_written(part) for part in value.tree[1:]]}
+    if isinstance(value, Var):
+        return {"var": value.name}
+    if isinstance(value, list):
+        return [_written(part) for part in value]
+    if value is None or isinstance(value, (str, bool, int)):
+        return value
+    for name, (kind, write, _) in WRITTEN.items():
+        if isinstance(value, kind):
+            return {name: write(value)}
+    raise ConditionError(f"{value!r} cannot be written down")
+
+
+def _built(value):
+    if isinstance(value, list):
+        return [_built(part) for part in value]
+    if not isinstance(value, dict):
+        return value
+    if "is" in value:
+        return BUILDERS[value["is"]](*[_built(part) for part in value["of"]])
+    if "var" in value:
+        return var(value["var"])
+    ((name, text),) = value.items()
+    return WRITTEN[name][2](text)
 
 
 # ---- the condition as text, for the log -------------------------------------------------

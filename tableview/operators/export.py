@@ -13,7 +13,7 @@ from tableview.functions.text import BOM, csv_header, csv_line
 from tableview.operators.view import View
 from tableview.sources.ordered_files import natural_order
 
-# Names every part of an export in order, the header first, by its path in the folder.
+# Names every file of an export in order, the header first.
 ORDER = "_order"
 
 
@@ -28,10 +28,10 @@ def export_csv(view: View, destination: str, *, single_file: bool = False) -> Ex
     """Write the view as UTF-8 CSV with a byte-order mark and a header.
 
     Executors format and write the lines of the sorted partitions in parallel. The result is the
-    folder `<destination>.parts`: the file `_order` names the header and the parts in order, one a
-    line; joined so they are one CSV file. Each export is a new generation in a folder of its own.
-    `_order` is renamed into place when the generation is whole and only then the one before goes,
-    so a failed export leaves the earlier one as it was. With `single_file` the parts are joined
+    folder `<destination>.parts`: the file `_order` names a header and the parts in order, one a
+    line; joined so they are one CSV file. A new export writes its files beside those of the one
+    before. `_order` is renamed into place when they are whole, and only then the earlier ones go,
+    so a failed export leaves the one before as it was. With `single_file` the parts are joined
     here, as a stream inside the JVM, into one file that appears under its name only when complete.
     """
     view.table.require_complete("exporting")
@@ -39,26 +39,28 @@ def export_csv(view: View, destination: str, *, single_file: bool = False) -> Ex
     spark = view.table.spark
     if not destination.lower().endswith(".csv"):
         destination += ".csv"
-    folder = destination + ".parts"
-    label = f"generation-{uuid.uuid4().hex}"
-    work = storage.new_path(spark, "export") if single_file else f"{folder}/{label}"
+    folder = storage.new_path(spark, "export") if single_file else destination + ".parts"
     header = BOM + csv_header(list(columns)).encode() + b"\n"
+    before = _names(spark, folder)
     try:
-        rows, parts = _written_parts(view, work)
+        rows, parts = _written_parts(view, folder)
         if single_file:
-            storage.concatenate(spark, header, parts, destination)
-            storage.delete(spark, work)
+            files = [f"{folder}/{name}" for name in parts]
+            storage.concatenate(spark, header, files, destination)
+            storage.delete(spark, folder)
             return Exported(rows, destination, True)
-        storage.write_bytes(spark, f"{work}/header.csv", header)
-        names = [f"{label}/header.csv", *(label + path.rsplit(label, 1)[1] for path in parts)]
-        listed = "".join(f"{name}\n" for name in names).encode()
+        first = f"header-{uuid.uuid4().hex}.csv"
+        storage.write_bytes(spark, f"{folder}/{first}", header)
+        listed = "".join(f"{name}\n" for name in (first, *parts)).encode()
         storage.replace_bytes(spark, f"{folder}/{ORDER}", listed)
     except BaseException:
-        storage.delete(spark, work)
+        for name in _names(spark, folder) - before:
+            storage.delete(spark, f"{folder}/{name}")
+        if not before:
+            storage.delete(spark, folder)
         raise
-    for path, _ in storage.list_files(spark, folder):
-        if path.rsplit("/", 1)[-1] not in (label, ORDER):
-            storage.delete(spark, path)
+    for name in before - {ORDER}:
+        storage.delete(spark, f"{folder}/{name}")
     return Exported(rows, folder, False)
 
 
@@ -67,21 +69,22 @@ def exported_parts(spark: SparkSession, path: str) -> list[str]:
     return [f"{path}/{name}" for name in storage.read_text(spark, f"{path}/{ORDER}").split("\n")[:-1]]
 
 
+def _names(spark: SparkSession, folder: str) -> set[str]:
+    return {path.rsplit("/", 1)[-1] for path, _ in storage.list_files(spark, folder)}
+
+
 def _written_parts(view: View, folder: str) -> tuple[int, list[str]]:
-    """Write the lines of the view and return their number and the files in order."""
+    """Add the lines of the view to the folder; their number, and the new files in order."""
     spark = view.table.spark
     variables = [view.table.catalog.exact(name) for name in view.columns]
-    rows, parts = 0, []
+    rows, parts, there = 0, [], _names(spark, folder)
     for number, ordered in enumerate(view.ordered_parts()):
         observed = Observation(f"export-{number}")
         lines = ordered.select(csv_line(variables).alias("line"))
         counted = lines.observe(observed, F.count(F.lit(1)).alias("rows"))
-        counted.write.text(f"{folder}/range-{number}")
+        counted.write.mode("append").text(folder)
         rows += observed.get["rows"]
-        listed = storage.list_files(spark, f"{folder}/range-{number}")
-        parts += sorted((path for path, _ in listed if _is_data(path)), key=natural_order)
+        new = {name for name in _names(spark, folder) - there if name.startswith("part-")}
+        parts += sorted(new, key=natural_order)
+        there |= new
     return rows, parts
-
-
-def _is_data(path: str) -> bool:
-    return path.rsplit("/", 1)[-1].startswith("part-")

@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 
 from tableview import storage
 from tableview.errors import TableViewError
+from tableview.functions.conditions import Condition, from_json, to_json
+from tableview.operators.view import View
 from tableview.sources.ordered_files import natural_order, scan_tasks, thinned
 
 SCHEMA = (
     "id bigint, dataset_path string, dataset_name string, where_text string, executed_at string"
 )
 
+# An entry as it is stored: with its condition, if it was logged as one, to be applied again.
+STORED = SCHEMA + ", condition string"
+
 # How many entries are kept, and the bounds that number is kept within.
 KEPT_ENTRIES = 500
 LEAST_ENTRIES = 10
@@ -189,6 +194,8 @@ class ConditionLog:
     A version is current once its write is committed, so a failed change leaves the log as it
     was. Its name holds the highest id ever given: no id is used again, whatever is deleted.
     One writer at a time; the retention keeps every version small.
+
+    An entry logged as a condition, not as its text alone, can be applied again to any table.
     """
 
     def __init__(self, spark: SparkSession, root: str, entries: int = KEPT_ENTRIES) -> None:
@@ -205,10 +212,13 @@ class ConditionLog:
         return sorted(committed, key=natural_order)
 
     def read(self) -> DataFrame:
+        return self._stored().drop("condition")
+
+    def _stored(self) -> DataFrame:
         versions = self._versions()
         if not versions:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(versions[-1])
+            return self.spark.createDataFrame([], STORED)
+        return self.spark.read.schema(STORED).parquet(versions[-1])
 
     def highest(self) -> int:
         """The highest id ever given, 0 for a new log."""
@@ -224,26 +234,31 @@ class ConditionLog:
         for old in versions[:-1]:
             storage.delete(self.spark, old)
 
-    def add(self, path: str, text: str, when: dt.datetime | None = None) -> int | None:
-        """Log one condition; None if it is blank or repeats the newest entry."""
+    def add(
+        self, path: str, applied: str | Condition, when: dt.datetime | None = None
+    ) -> int | None:
+        """Log one condition, or its text; None if it is blank or repeats the newest entry."""
+        written = to_json(applied) if isinstance(applied, Condition) else None
+        text = applied.text if isinstance(applied, Condition) else applied
         stripped = text.strip(BLANKS)
         if not stripped:
             return None
-        log = self.read()
+        log = self._stored()
         newest = log.orderBy(F.col("id").desc()).limit(1).first()
         if newest is not None and (newest.dataset_path, newest.where_text) == (path, stripped):
             return None
         number = self.highest() + 1
         stamp = (when or dt.datetime.now(dt.UTC)).isoformat(timespec="seconds")
         name = path.rstrip("/").rsplit("/", 1)[-1]
-        entry = self.spark.createDataFrame([(number, path, name, stripped, stamp)], SCHEMA)
+        entry = (number, path, name, stripped, stamp, written)
+        entry = self.spark.createDataFrame([entry], STORED)
         self._write(keep_latest(log.unionByName(entry), entries=self.entries), number)
         return number
 
     def add_all(self, batch: DataFrame) -> None:
         """Log many conditions at once. Their ids must be unique and above every id ever given;
         two aggregations check that first."""
-        log, highest = self.read(), self.highest()
+        log, highest = self._stored(), self.highest()
         low, high, rows, ids = batch.agg(
             F.min("id"), F.max("id"), F.count(F.lit(1)), F.countDistinct("id")
         ).first()
@@ -256,14 +271,26 @@ class ConditionLog:
         fresh = drop_consecutive(
             cleaned(batch), "id", ["dataset_path", "where_text"], latest=latest
         )
-        self._write(keep_latest(log.unionByName(fresh), entries=self.entries), high)
+        both = log.unionByName(fresh, allowMissingColumns=True)
+        self._write(keep_latest(both, entries=self.entries), high)
 
     def list(self, path: str | None = None) -> DataFrame:
         return listed(self.read(), path=path)
 
+    def condition(self, entry: int) -> Condition:
+        """The condition of an entry, as it was built."""
+        row = self._stored().filter(F.col("id") == entry).select("condition").first()
+        if row is None or row.condition is None:
+            raise TableViewError(f"entry {entry} of the log holds no condition")
+        return from_json(row.condition)
+
+    def reapply(self, entry: int, view: View) -> View:
+        """The view with the condition of an entry, checked against the view's own table."""
+        return view.where(self.condition(entry))
+
     def delete(self, entry: int) -> None:
-        self._write(self.read().filter(F.col("id") != entry))
+        self._write(self._stored().filter(F.col("id") != entry))
 
     def clear(self, path: str | None = None) -> None:
-        log = self.read()
+        log = self._stored()
         self._write(log.filter(F.lit(False)) if path is None else without_path(log, path))

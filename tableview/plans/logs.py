@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tableview import storage
+from tableview.catalog import SOURCE_ROW
+from tableview.functions.conditions import var
 from tableview.operators import log
-from tableview.plans.registry import Query, opened
+from tableview.plans.registry import Query, opened, view
 
 _ENTRY = "event_id AS id, user_id AS dataset_path, event_type AS where_text"
 
@@ -47,7 +50,24 @@ WHERE before IS NULL OR text_before IS DISTINCT FROM where_text
    OR path_before IS DISTINCT FROM dataset_path"""
 
 
+def reapplied(spark, folder):
+    """A condition is logged with another table, read from the log and applied to the orders."""
+    kept = log.ConditionLog(spark, storage.new_path(spark, "log"))
+    cheap = var("O_TOTALPRICE").between(1000, 150000.5) & ~var("o_orderstatus").is_in("F", "P")
+    number = kept.add("/old/orders", cheap | var("o_orderpriority").prefix(">=", "5"))
+    kept.add("/old/orders", "typed by hand")
+    shown = kept.reapply(number, view(spark, folder, "orders"))
+    return shown.select("o_orderkey", "o_totalprice").rows().drop(SOURCE_ROW)
+
+
 QUERIES = {
+    "log_reapply": Query(
+        reapplied,
+        """
+SELECT o_orderkey, o_totalprice FROM orders
+WHERE (o_totalprice BETWEEN 1000 AND 150000.5 AND o_orderstatus NOT IN ('F', 'P'))
+   OR substr(o_orderpriority, 1, 1) >= '5'""",
+    ),
     "log_dedupe": Query(
         lambda spark, folder: log.drop_consecutive(
             entries(spark, folder), "id", ["where_text"], within=["dataset_path"]

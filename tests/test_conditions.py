@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import math
 import sqlite3
 
 import pytest
 
 from tableview import ConditionError, View, any_contains, everything, missing, open_table, var
-from tableview.functions.conditions import _like_pattern
+from tableview.functions.conditions import (
+    COMPARISONS,
+    _like_pattern,
+    from_json,
+    successor,
+    to_json,
+)
 
 SCHEMA = "id int, a string, b string, n double, m double"
 NAN, INF = math.nan, math.inf
@@ -258,3 +265,68 @@ def test_conditions_work_on_streams(spark, saved):
     )
     query.awaitTermination()
     assert spark.table("filtered_stream").count() == sum(r[1] is not None and r[1] >= "a" for r in ROWS)
+
+
+PREFIXED = [None, "", "a", "ab", "abc", "ab\U0010ffff", "ac", "b", "\ud7ff", "\ud7ffz", "\ue000", "\U0010ffff", "\U0010ffffz"]
+
+
+@pytest.mark.parametrize("prefix", ["a", "ab", "\ud7ff", "a\ud7ff", "\U0010ffff", "ab\U0010ffff", "\ue000"])
+def test_prefix_ranges_are_comparisons_of_the_leading_characters(spark, saved, prefix):
+    view = View.of(open_table(spark, saved([(v,) for v in PREFIXED], "t string")))
+    for sign, (compare, _) in COMPARISONS.items():
+        # Code points sort like UTF-8 bytes.
+        wanted = [v for v in PREFIXED if compare((v or "")[: len(prefix)], prefix)]
+        test = var("t").prefix(sign, prefix)
+        assert [row.t for row in view.where(test).page().collect()] == wanted, sign
+        rest = [v for v in PREFIXED if v not in wanted]
+        assert [row.t for row in view.where(~test).page().collect()] == rest, sign
+
+
+def test_successors():
+    assert [successor(p) for p in ("a", "az", "a\U0010ffff", "\U0010ffff", "\ud7ff")] == [
+        "b", "a{", "b", None, "\ue000",
+    ]
+
+
+WRITTEN_CONDITIONS = [
+    everything(),
+    var("pieces") == 3,
+    var("weight") != 33.25,
+    var("weight") > 1e-300,
+    var("weight") <= var("PIECES"),
+    var("left_on") >= dt.date(2021, 5, 4),
+    var("due_on") < dt.datetime(2021, 5, 9),
+    var("pieces") < decimal.Decimal("3.5"),
+    *[var("note").prefix(sign, "f") for sign in COMPARISONS],
+    var("note").prefix("<=", var("hub")),
+    var("hub").starts_with("Os"),
+    var("hub").is_in("Oslo", 'say "x"', "ü"),
+    var("pieces").not_in(1, 2),
+    var("weight").between(1, 40.5),
+    var("weight").not_between(1, var("pieces")),
+    var("hub").contains("o"),
+    var("note").not_contains(var("hub")),
+    var("note").like("%100#%%", "#"),
+    var("note").not_like("_r%"),
+    missing("note"),
+    var("hub").is_not_missing(),
+    any_contains(["hub", "weight"], "3.2"),
+    (var("pieces") > 1) & ~((var("hub") == "Oslo") | missing("due_on")),
+]
+
+
+@pytest.mark.parametrize("condition", WRITTEN_CONDITIONS, ids=lambda c: c.text or "everything")
+def test_a_written_condition_is_the_same_condition(parcels, condition):
+    again = from_json(to_json(condition))
+    assert again.text == condition.text and to_json(again) == to_json(condition)
+    keys = [[row.parcel for row in parcels.where(c).page().collect()] for c in (condition, again)]
+    assert keys[0] == keys[1]
+
+
+@pytest.mark.parametrize(
+    "text", ["", "{}", "[]", '{"version": 2, "condition": {}}', '{"version": 1, "condition": {"is": "drop", "of": []}}',
+             '{"version": 1, "condition": {"number": "x"}}'],
+)
+def test_other_text_is_no_condition(text):
+    with pytest.raises(ConditionError):
+        from_json(text)

@@ -8,8 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tableview import ConditionLog, TableViewError
-from tableview.operators.log import cleaned, drop_consecutive, kept_entries, with_previous
+from tableview import ConditionError, ConditionLog, TableViewError, var
+from tableview.operators.log import SCHEMA, cleaned, drop_consecutive, kept_entries, with_previous
 
 WHEN = dt.datetime(2024, 5, 1, 12, 30, 45, 999, tzinfo=dt.UTC)
 
@@ -152,3 +152,20 @@ def test_a_batch_with_used_or_repeated_ids_is_refused(spark, log):
             log.add_all(spark.createDataFrame(rows, schema))
     log.add_all(spark.createDataFrame([(9, "/a", "a", "X = 9", "")], schema))
     assert log.add("/a", "10") == 10
+
+
+def test_a_logged_condition_is_applied_again(log, parcels):
+    light = (var("weight") < 40) & ~var("HUB").prefix("=", "O")
+    number = log.add("/data/parcels", light, WHEN)
+    assert log.add("/data/parcels", light.text) is None
+    assert log.list().columns == SCHEMA.replace(" bigint", "").replace(" string", "").split(", ")
+    typed = log.add("/data/parcels", "weight < 40")
+    again = log.reapply(number, parcels)
+    assert [row.parcel for row in again.page().collect()] == ["north/18", "east/90", "east/91"]
+    with pytest.raises(TableViewError, match="no condition"):
+        log.condition(typed)
+    with pytest.raises(ConditionError):
+        log.reapply(log.add("/data/other", var("nowhere") == 1), parcels)
+    # What is kept of the log keeps its conditions.
+    log.delete(typed)
+    assert log.condition(number).text == light.text

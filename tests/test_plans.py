@@ -43,6 +43,13 @@ def read_columns(frame):
         (lambda: var("s").like("na%"), "StringStartsWith(s,na)"),
         (lambda: ~missing("s"), "Not(EqualTo(s,))"),
         (lambda: ~((var("k") < 5) | (var("x") > 7)), "GreaterThanOrEqual(k,5)"),
+        (lambda: var("s").prefix("=", "na"), "StringStartsWith(s,na)"),
+        (lambda: var("s").prefix(">=", "na"), "GreaterThanOrEqual(s,na)"),
+        (lambda: var("s").prefix(">", "na"), "GreaterThanOrEqual(s,nb)"),
+        (lambda: var("s").prefix("<", "na"), "Or(IsNull(s),LessThan(s,na))"),
+        (lambda: var("s").prefix("<=", "na"), "Or(IsNull(s),LessThan(s,nb))"),
+        (lambda: var("s").prefix("!=", "na"), "LessThan(s,na)),And(IsNotNull(s),GreaterThanOrEqual(s,nb)))"),
+        (lambda: ~var("s").prefix("<=", "na"), "GreaterThanOrEqual(s,nb)"),
     ],
 )
 def test_conditions_reach_the_scan(view, build, wanted):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tableview import View, export_csv, open_table, var
 from tableview.sources.ordered_files import natural_order
 from tableview.functions.text import csv_header, number_text
+from tableview.operators.export import exported_parts
 
 FIXED = [
     0.0, -0.0, 1.0, -45.0, 0.3, 0.1 + 0.2, 1e-3, 1e-4, 0.000123, 9.99e-5, 1e-5, -2.5e-7, 1e7,
@@ -145,6 +146,39 @@ def test_failed_export_keeps_the_old_file(spark, saved, tmp_path):
     assert (tmp_path / "out.csv").read_text() == "old"
 
 
+def test_failed_export_in_parts_keeps_the_one_before(spark, saved, tmp_path):
+    rows = [(i, "x" if i else "bad") for i in range(100)]
+    path = saved(rows, "k int, t string")
+    good = View.of(open_table(spark, path)).sort_by("k")
+    folder = export_csv(good, str(tmp_path / "out.csv")).path
+    first = [name.rsplit("/", 1)[-1] for name in exported_parts(spark, folder)]
+    broken = {"t": F.when(F.col("t") == "bad", F.raise_error(F.lit("unreadable"))).otherwise("y")}
+    with pytest.raises(Exception, match="unreadable"):
+        export_csv(View.of(open_table(spark, path, derive=broken)).sort_by("k"), str(tmp_path / "out.csv"))
+    assert [name.rsplit("/", 1)[-1] for name in exported_parts(spark, folder)] == first
+    joined = b"".join((tmp_path / "out.csv.parts" / name).read_bytes() for name in first)
+    assert joined == python_csv(["k", "t"], rows)
+    # The next one takes its place and leaves nothing of it.
+    export_csv(good.where(var("k") < 5).select("k"), str(tmp_path / "out.csv"))
+    second = [name.rsplit("/", 1)[-1] for name in exported_parts(spark, folder)]
+    assert not set(first) & {p.name for p in (tmp_path / "out.csv.parts").iterdir()}
+    joined = b"".join((tmp_path / "out.csv.parts" / name).read_bytes() for name in second)
+    assert joined == python_csv(["k"], [(i,) for i in range(5)])
+
+
+def test_number_text_does_not_grow_with_its_column(spark):
+    column = F.col("x")
+    for at in range(6):
+        column = F.when(column > at, column * 2).otherwise(column + at)
+    frame = spark.createDataFrame([(float(at),) for at in range(3)], "x double")
+    shown = frame.select(number_text(column).alias("t"))
+    # The text of the rare numbers stands in the plan once.
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 4
+    assert [row.t for row in shown.collect()] == [
+        repr(row[0]) for row in frame.select(column).collect()
+    ]
+
+
 @settings(max_examples=5, deadline=None)
 @given(
     st.lists(
