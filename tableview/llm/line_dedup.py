@@ -4,17 +4,21 @@ Lines end at a line feed. A line is normalised: lower case, digits as 0, white s
 none outside. Lines of fewer than `MIN_CHARS` normalised characters are left alone. Lines that are
 equal so are one kind of line, known by a hash.
 
-1. Each kind gets `MINS` = 64 minima over its strings of `GRAM` = 4 characters, one for each of as
-   many orders of their hashes. Two kinds agree in one with the Jaccard similarity of their strings.
-2. Kinds that agree in the four minima of any of `BANDS` = 16 bands meet under a key. Of them the
-   pairs are taken up whose lengths allow `SIMILARITY` and whose minima differ in at most
-   `DISTANCE` = 24 last bits (two unrelated lines: 32 on average).
+1. The words of a kind are dealt to blocks by their hashes. Every block has a SimHash of 64 bits of
+   its own words, the kind one of all words. A changed word touches the bits of two blocks at the
+   most, so by the pigeonhole principle two kinds of k blocks that differ in fewer than k / 2 words
+   agree in all bits of some block.
+2. `BLOCKS` gives more blocks to longer lines, by classes of their length. A kind has the blocks of
+   its own class and of the class of the longest line that can be similar to it, so that any two
+   similar lines share a class. Kinds that agree in a block of a class meet under it. Pairs of them
+   are taken up if their lengths allow `SIMILARITY` and the SimHashes of all their words differ in
+   at most `DISTANCE` of 64 bits (two unrelated lines: 32 on average).
 3. A pair is verified: the edit distance must be at most (1 - `SIMILARITY`) of the longer line.
 4. Connected kinds are a group. Of all its occurrences the first one stays, by doc_id and place.
 
-Under each key every kind is compared with one leader first. Then only kinds that are not yet
+Under each block every kind is compared with one leader first. Then only kinds that are not yet
 connected are compared with each other, so a group of many variants costs as many comparisons as
-it has members. Connection through kinds of other keys counts; no link between groups is left out.
+it has members. Connection through kinds of other blocks counts; no link between groups is left out.
 
 Null texts stay null. Empty texts have no line to remove. Rows without doc_id come first in the
 order. Rows with the same doc_id and text are one document and are treated alike.
@@ -22,83 +26,94 @@ order. Rows with the same doc_id and text are one document and are treated alike
 
 from __future__ import annotations
 
-from random import Random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableview.catalog import quoted
 from tableview.llm.graph import components
-from tableview.llm.tables import written
+from tableview.llm.tables import discard, written
 
 MIN_CHARS = 12
 SIMILARITY = 0.8
-GRAM = 4
-MINS = 64
-BANDS = 16
 DISTANCE = 24
-#: An order of hashes is that of their distance from one of these by exclusive or. The first six
-#: bits spread them, so that they find different strings.
-CENTRES = [at << 58 | Random(at).getrandbits(58) for at in range(MINS)]
+#: Blocks of a line by the class of its length: below 24 characters, 48, 96, and so on by doubling.
+BLOCKS = (2, 3, 4, 5, 6, 8)
 #: Bytes of a line that may have 2 ** 15 different words.
 LONG_LINE = 1 << 16
 #: Kinds sent to all tasks rather than joined by a shuffle.
 MOST_SENT = 500_000
 
+#: White space other than the blank.
+SPACES = "\t\x0b\x0c\r"
+
 
 def normalised(line: Column) -> Column:
-    plain = F.translate(F.lower(line), "123456789", "0" * 9)
-    return F.trim(F.regexp_replace(plain, r"\s{2,}|[^\S ]", " "))
+    plain = F.translate(F.lower(line), "123456789" + SPACES, "0" * 9 + " " * len(SPACES))
+    single = F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " "))
+    return F.trim(single.otherwise(plain))
 
 
-def _simhashes(words: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """The keys with the SimHash `sim` of their words' hashes `h`. The counts of the 64 bits are
-    kept in fields of `width` bits, 64 / width of them in a long, and summed by Spark; a key has
-    fewer than 2 ** (width - 1) words."""
+def _counts(words: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """The number of words under the keys, and for each of 64 bits how many hashes `h` have it. The
+    counts are kept in fields of `width` bits, 64 / width of them in a long, and summed by Spark; a
+    key has fewer than 2 ** (width - 1) words."""
     ones = sum(1 << place for place in range(0, 64, width))
-    most = (1 << width) - 1
     sums = [F.expr(f"sum(shiftright(h, {k}) & {ones}L)").alias(f"c{k}") for k in range(width)]
+    return words.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+
+
+def _sim(width: int) -> Column:
+    """The SimHash of such counts: the bits that more than half of the words have."""
+    most = (1 << width) - 1
     bits = [
         f"if(2 * (shiftrightunsigned(c{bit % width}, {bit // width * width}) & {most}L) > n, "
         f"{1 << bit if bit < 63 else -(1 << 63) + 1}L{' - 1L' if bit == 63 else ''}, 0L)"
         for bit in range(64)
     ]
-    counted = words.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
-    return counted.select(*keys, F.expr(" | ".join(f"({bit})" for bit in bits)).alias("sim"))
+    return F.expr(" | ".join(f"({bit})" for bit in bits))
 
 
 def with_simhash(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys of the lines with the SimHash of the different blank-separated words of `line`."""
-
-    def words(part: DataFrame) -> DataFrame:
-        word = F.explode(F.array_distinct(F.split("line", " ")))
-        return part.select(*keys, word.alias("word")).select(*keys, F.xxhash64("word").alias("h"))
+    """The keys of the lines with the SimHash of the different blank-separated words of `line`, and
+    `blocks`: (block, sim) of each class in `classes`, if the lines have that column."""
+    blocked = "classes" in lines.columns
+
+    def part(some: DataFrame, width: int) -> DataFrame:
+        shown = ["classes"] if blocked else []
+        word = F.explode(F.array_distinct(F.split("line", " "))).alias("word")
+        words = some.select(*keys, *shown, word).select(*keys, *shown, F.xxhash64("word").alias("h"))
+        if not blocked:
+            return _counts(words, keys, width).select(*keys, _sim(width).alias("sim"))
+        # A key's words stay where they are: grouping by more columns needs no other exchange.
+        words = words.select(*keys, "h", F.posexplode("classes").alias("at", "class"))
+        number = F.element_at(F.array(*map(F.lit, BLOCKS)), F.col("class") + 1)
+        words = words.withColumn("block", F.pmod(F.shiftrightunsigned("h", 7), number))
+        found = _counts(words, [*keys, "at", "class", "block"], width)
+        found = found.withColumn("own", _sim(width))
+        # The words of the first class are all words once.
+        whole = F.col("at") == 0
+        sums = [F.sum(F.when(whole, F.col(c))).alias(c) for c in ("n", *[f"c{k}" for k in range(width)])]
+        block = F.xxhash64("class", "block", "own")
+        found = found.groupBy(*keys).agg(*sums, F.collect_list(block).alias("blocks"))
+        return found.select(*keys, _sim(width).alias("sim"), "blocks")
 
     size = F.octet_length("line")
-    usual = _simhashes(words(lines.where(size < LONG_LINE)), keys, 16)
-    return usual.union(_simhashes(words(lines.where(size >= LONG_LINE)), keys, 32))
+    usual = part(lines.where(size < LONG_LINE), 16)
+    return usual.union(part(lines.where(size >= LONG_LINE), 32))
 
 
-def _grams(line: str) -> Column:
-    """The strings of GRAM characters of a column, one pass for each place modulo GRAM."""
-    parts = [
-        F.regexp_extract_all(F.expr(f"substring({line}, {at + 1})"), F.lit(f"(?s).{{{GRAM}}}"), F.lit(0))
-        for at in range(GRAM)
-    ]
-    return F.when(F.char_length(line) < GRAM, F.array(line)).otherwise(F.concat(*parts))
-
-
-def with_bands(lines: DataFrame) -> DataFrame:
-    """kind, size, keys (one for each band) and bits (the last ones of the minima) of the kinds."""
-    grams = lines.select("kind", F.char_length("line").alias("size"), F.explode(_grams("line")).alias("gram"))
-    hashed = grams.select("kind", "size", F.xxhash64("gram").alias("h"))
-    signed = [centre - (1 << 64) if centre >= 1 << 63 else centre for centre in CENTRES]
-    mins = [F.expr(f"min(h ^ ({centre}L))").alias(f"m{at}") for at, centre in enumerate(signed)]
-    found = hashed.groupBy("kind").agg(F.min("size").alias("size"), *mins)
-    keys = [
-        F.hash(F.lit(band), *(f"m{at}" for at in range(band, MINS, BANDS))) for band in range(BANDS)
-    ]
-    bits = " | ".join(f"shiftleft(m{at} & 1L, {at})" for at in range(MINS))
-    return found.select("kind", "size", F.array(*keys).alias("keys"), F.expr(bits).alias("bits"))
+def _class(size: Column) -> Column:
+    """The class of a line of so many characters."""
+    steps = [F.when(size >= 24 << step, 1).otherwise(0) for step in range(len(BLOCKS) - 1)]
+    return sum(steps[1:], steps[0])
+
+
+def with_classes(lines: DataFrame, similarity: float) -> DataFrame:
+    """The lines with their `size` and the `classes` that their blocks are made for."""
+    size = F.char_length("line")
+    longest = F.floor(size / F.lit(similarity))
+    classes = F.array_distinct(F.array(_class(size), _class(longest)))
+    return lines.withColumns({"size": size, "classes": classes})
 
 
 def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
@@ -117,6 +132,7 @@ def _row(doc: str, text: str) -> Column:
 
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of kinds whose lines are near in edit distance."""
+    pairs = written(pairs, "pairs")
     kinds = pairs.select(F.col("a").alias("kind")).union(pairs.select("b")).distinct()
     kinds = written(kinds, "kinds")
     if kinds.count() <= MOST_SENT:
@@ -128,15 +144,16 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     most = f"cast(floor({longest} * {1 - similarity:.6f}) AS int)"
     # The cost grows with the distance asked for, and most pairs are much nearer than allowed.
     near = f"levenshtein(one, other, cast({most} div 16 AS int)) >= 0"
-    return both.where(f"if({near}, true, levenshtein(one, other, {most}) >= 0)").select("a", "b")
+    links = both.where(f"if({near}, true, levenshtein(one, other, {most}) >= 0)").select("a", "b")
+    return written(links, "links")
 
 
 def _near(similarity: float, distance: int) -> Column:
-    """Whether (size, bits) and (other_size, other_bits) may belong to lines that are alike."""
+    """Whether (size, sim) and (other_size, other_sim) may belong to lines that are alike."""
     longest = F.greatest("size", "other_size")
     allowed = F.floor(longest * F.lit(1 - similarity))
     fits = longest - F.least("size", "other_size") <= allowed
-    return fits & (F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= distance)
+    return fits & (F.bit_count(F.col("sim").bitwiseXOR(F.col("other_sim"))) <= distance)
 
 
 def repeats(
@@ -146,33 +163,46 @@ def repeats(
     distance: int = DISTANCE,
 ) -> DataFrame:
     """(doc, row, removed): the places of the lines that go, of the documents that lose any."""
-    lines = _lines(documents, min_chars)
-    placed = written(lines.select("doc", "row", "pos", "kind"), "lines")
+    # The text goes with the lines: making it again costs more than keeping it for a while.
+    lines = written(_lines(documents, min_chars), "lines", compression="zstd")
+    placed = lines.select("doc", "row", "pos", "kind")
     firsts = placed.groupBy("kind").agg(F.min(F.struct("doc", "row", "pos")).alias("first"))
-    sketched = written(with_bands(lines), "kinds")
-
-    keyed = sketched.select(F.explode("keys").alias("key"), "kind")
-    lead = keyed.groupBy("key").agg(F.min("kind").alias("lead"), F.max("kind").alias("last"))
-    lead = lead.where("lead < last").select("key", "lead")
-    sims = sketched.select("kind", "size", "bits")
-    shared = keyed.join(lead, "key").join(sims, "kind")
-    shared = written(shared, "shared")
+    kinds = lines.groupBy("kind").agg(F.any_value("line").alias("line"))
+    kinds = with_classes(kinds, similarity)
+    sketched = written(with_simhash(kinds, ["kind", "size"]), "kinds")
+
+    # Most blocks occur once; only those that do not are gone through again.
+    keyed = sketched.select(F.explode("blocks").alias("key"), "kind", "size", "sim")
+    again = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = written(keyed.join(again, "key"), "shared")
+    discard(sketched)
+    lead = shared.groupBy("key").agg(F.min(F.struct("kind", "size", "sim")).alias("lead"))
+    lead = lead.select(
+        "key",
+        F.col("lead.kind").alias("lead"),
+        F.col("lead.size").alias("other_size"),
+        F.col("lead.sim").alias("other_sim"),
+    )
 
     near = _near(similarity, distance)
-    stars = shared.where("kind <> lead").select("kind", "lead", "size", "bits").distinct()
-    stars = stars.join(sims.toDF("lead", "other_size", "other_bits"), "lead").where(near)
-    stars = written(stars.select(F.col("kind").alias("a"), F.col("lead").alias("b")), "stars")
-    first = written(_verified(stars, lines, similarity), "links")
+    stars = shared.join(lead, "key").where("kind <> lead").where(near)
+    stars = stars.select(F.col("kind").alias("a"), F.col("lead").alias("b")).distinct()
+    first = _verified(stars, lines, similarity)
     own = components(first).toDF("kind", "grp")
-    cells = shared.select("key", "kind", "size", "bits").join(own, "kind", "left")
-    cells = written(cells.withColumn("grp", F.coalesce("grp", "kind")), "cells")
+    cells = shared.join(own, "kind", "left").withColumn("grp", F.coalesce("grp", "kind"))
+    cells = written(cells, "cells")
     mixed = cells.groupBy("key").agg(F.min("grp").alias("least"), F.max("grp").alias("most"))
     cells = cells.join(mixed.where("least < most").select("key"), "key")
-    one = cells.select("key", F.col("kind").alias("a"), "size", "bits", "grp")
-    other = cells.toDF("key", "b", "other_size", "other_bits", "far")
+    one = cells.select("key", F.col("kind").alias("a"), "size", "sim", "grp")
+    other = cells.select(
+        "key",
+        F.col("kind").alias("b"),
+        F.col("size").alias("other_size"),
+        F.col("sim").alias("other_sim"),
+        F.col("grp").alias("far"),
+    )
     crossed = one.join(other, (one["key"] == other["key"]) & (F.col("grp") < F.col("far")) & near)
-    crossed = written(crossed.select("a", "b").distinct(), "crossed")
-    links = first.union(written(_verified(crossed, lines, similarity), "links"))
+    links = first.union(_verified(crossed.select("a", "b").distinct(), lines, similarity))
 
     groups = components(links).toDF("kind", "grp")
     grouped = firsts.join(groups, "kind", "left")
@@ -189,11 +219,15 @@ def _marked(documents: DataFrame, options: dict) -> DataFrame:
     """Each document as `given` with the places of its lines that go, if any."""
     gone = written(repeats(documents, **options), "repeats").select("row", "removed")
     docs = documents.select(
-        _row("doc_id", "text").alias("row"), F.struct(*documents.columns).alias("given")
+        _row("doc_id", "text").alias("row"), F.struct(*map(quoted, documents.columns)).alias("given")
     )
     return docs.join(gone.hint("shuffle_hash"), "row", "left")
 
 
+def _ticked(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _left(removed: str = "removed") -> Column:
     lines = F.split("given.text", "\n")
     kept = F.filter(lines, lambda line, at: ~F.array_contains(F.col(removed), at))
@@ -219,7 +253,7 @@ def deduplicated(documents: DataFrame, **options) -> DataFrame:
     found = found.where(F.col("removed").isNull() | filled)
     columns = []
     for field in documents.schema.fields:
-        column = F.col(f"given.`{field.name}`")
+        column = F.col("given." + _ticked(field.name))
         if field.name == "text":
             column = F.col("left")
         elif field.name == "n_chars":

@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from tableview.storage import new_path
+from tableview.storage import delete, new_path
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def written(frame: DataFrame, label: str) -> DataFrame:
+def written(frame: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """The frame as a table in the shared folder, read again: lost executors repeat no more
     than what was running."""
     spark = frame.sparkSession
     path = new_path(spark, label)
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=compression)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def discard(frame: DataFrame) -> None:
+    """Delete such a table, once all that reads it has been written in turn."""
+    folders = {path.rsplit("/", 1)[0] for path in frame.inputFiles()}
+    for folder in folders:
+        delete(frame.sparkSession, folder)
+
+
 def sent(spark: SparkSession, value):
     """Something of bounded size for all tasks; `received` brings it back there."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
