@@ -10,7 +10,8 @@ equal so are one kind of line, known by a hash.
    agree in all bits of some block.
 2. `BLOCKS` gives more blocks to longer lines, by classes of their length. A kind has the blocks of
    its own class and of the class of the longest line that can be similar to it, so that any two
-   similar lines share a class. Kinds that agree in a block of a class meet under it. Pairs of them
+   similar lines share a class. Kinds that agree in a block of a class, of `BLOCK_WORDS` words or
+   more, meet under it. Pairs of them
    are taken up if their lengths allow `SIMILARITY` and the SimHashes of all their words differ in
    at most `DISTANCE` of 64 bits (two unrelated lines: 32 on average).
 3. A pair is verified: the edit distance must be at most (1 - `SIMILARITY`) of the longer line.
@@ -38,6 +39,8 @@ SIMILARITY = 0.8
 DISTANCE = 24
 #: Blocks of a line by the class of its length: below 24 characters, 48, 96, and so on by doubling.
 BLOCKS = (2, 3, 4, 5, 6, 8)
+#: Words that a block of each class must have: fewer say too little of a long line.
+BLOCK_WORDS = (1, 1, 1, 2, 3, 3)
 #: Bytes of a line that may have 2 ** 15 different words.
 LONG_LINE = 1 << 16
 #: Kinds sent to all tasks rather than joined by a shuffle.
@@ -74,34 +77,43 @@ def _sim(width: int) -> Column:
 
 
 def with_simhash(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys of the lines with the SimHash of the different blank-separated words of `line`, and
-    `blocks`: (block, sim) of each class in `classes`, if the lines have that column."""
-    blocked = "classes" in lines.columns
+    """The keys of the lines with the SimHash of the different blank-separated words of `line`."""
 
     def part(some: DataFrame, width: int) -> DataFrame:
-        shown = ["classes"] if blocked else []
         word = F.explode(F.array_distinct(F.split("line", " "))).alias("word")
-        words = some.select(*keys, *shown, word).select(*keys, *shown, F.xxhash64("word").alias("h"))
-        if not blocked:
-            return _counts(words, keys, width).select(*keys, _sim(width).alias("sim"))
-        # A key's words stay where they are: grouping by more columns needs no other exchange.
-        words = words.select(*keys, "h", F.posexplode("classes").alias("at", "class"))
-        number = F.element_at(F.array(*map(F.lit, BLOCKS)), F.col("class") + 1)
-        words = words.withColumn("block", F.pmod(F.shiftrightunsigned("h", 7), number))
-        found = _counts(words, [*keys, "at", "class", "block"], width)
-        found = found.withColumn("own", _sim(width))
-        # The words of the first class are all words once.
-        whole = F.col("at") == 0
-        sums = [F.sum(F.when(whole, F.col(c))).alias(c) for c in ("n", *[f"c{k}" for k in range(width)])]
-        block = F.xxhash64("class", "block", "own")
-        found = found.groupBy(*keys).agg(*sums, F.collect_list(block).alias("blocks"))
-        return found.select(*keys, _sim(width).alias("sim"), "blocks")
+        words = some.select(*keys, word).select(*keys, F.xxhash64("word").alias("h"))
+        return _counts(words, keys, width).select(*keys, _sim(width).alias("sim"))
 
     size = F.octet_length("line")
     usual = part(lines.where(size < LONG_LINE), 16)
     return usual.union(part(lines.where(size >= LONG_LINE), 32))
 
 
+def with_blocks(kinds: DataFrame) -> DataFrame:
+    """kind, size, sim (the SimHash of all words) and blocks (a key for each block that has words
+    enough) of kinds with their line and classes; sim is null for lines of too many words.
+
+    The kinds are grouped already, and all words of a kind stay where it is.
+    """
+    keys = ["kind", "size"]
+    word = F.explode(F.array_distinct(F.split("line", " "))).alias("word")
+    words = kinds.select(*keys, "classes", word).select(*keys, "classes", F.xxhash64("word").alias("h"))
+    words = words.select(*keys, "h", F.posexplode("classes").alias("at", "class"))
+    words = words.withColumn("block", F.pmod(F.shiftrightunsigned("h", 7), _of_class(BLOCKS)))
+    found = _counts(words, [*keys, "at", "class", "block"], 16)
+    own = F.when(F.col("n") >= _of_class(BLOCK_WORDS), F.xxhash64("class", "block", _sim(16)))
+    found = found.withColumn("own", own)
+    # The words of the first class are all words once.
+    whole = F.col("at") == 0
+    sums = [F.sum(F.when(whole, F.col(c))).alias(c) for c in ("n", *[f"c{k}" for k in range(16)])]
+    found = found.groupBy(*keys).agg(*sums, F.collect_list("own").alias("blocks"))
+    return found.select(*keys, F.when(F.col("n") < 1 << 15, _sim(16)).alias("sim"), "blocks")
+
+
+def _of_class(values: tuple[int, ...]) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), F.col("class") + 1)
+
+
 def _class(size: Column) -> Column:
     """The class of a line of so many characters."""
     steps = [F.when(size >= 24 << step, 1).otherwise(0) for step in range(len(BLOCKS) - 1)]
@@ -153,7 +165,8 @@ def _near(similarity: float, distance: int) -> Column:
     longest = F.greatest("size", "other_size")
     allowed = F.floor(longest * F.lit(1 - similarity))
     fits = longest - F.least("size", "other_size") <= allowed
-    return fits & (F.bit_count(F.col("sim").bitwiseXOR(F.col("other_sim"))) <= distance)
+    alike = F.coalesce(F.bit_count(F.col("sim").bitwiseXOR(F.col("other_sim"))) <= distance, F.lit(True))
+    return fits & alike
 
 
 def repeats(
@@ -168,13 +181,13 @@ def repeats(
     placed = lines.select("doc", "row", "pos", "kind")
     firsts = placed.groupBy("kind").agg(F.min(F.struct("doc", "row", "pos")).alias("first"))
     kinds = lines.groupBy("kind").agg(F.any_value("line").alias("line"))
-    kinds = with_classes(kinds, similarity)
-    sketched = written(with_simhash(kinds, ["kind", "size"]), "kinds")
+    sketched = written(with_blocks(with_classes(kinds, similarity)), "kinds")
 
-    # Most blocks occur once; only those that do not are gone through again.
+    # Most blocks occur once; 40 bits of a key tell most of them from those that do not.
     keyed = sketched.select(F.explode("blocks").alias("key"), "kind", "size", "sim")
-    again = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = written(keyed.join(again, "key"), "shared")
+    keyed = keyed.withColumn("short", F.shiftrightunsigned("key", 24))
+    again = keyed.groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short")
+    shared = written(keyed.join(again, "short").drop("short"), "shared")
     discard(sketched)
     lead = shared.groupBy("key").agg(F.min(F.struct("kind", "size", "sim")).alias("lead"))
     lead = lead.select(

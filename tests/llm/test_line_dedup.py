@@ -33,7 +33,11 @@ def blocks(line):
         for word in set(line.split(" ")):
             at = (xxhash.xxh64_intdigest(word.encode(), seed=42) >> 7) % line_dedup.BLOCKS[kind]
             dealt.setdefault(at, []).append(word)
-        found |= {(kind, at, simhash(" ".join(words))) for at, words in dealt.items()}
+        found |= {
+            (kind, at, simhash(" ".join(words)))
+            for at, words in dealt.items()
+            if len(words) >= line_dedup.BLOCK_WORDS[kind]
+        }
     return found
 
 
