@@ -10,6 +10,7 @@ arrived is on some page, and later arrivals leave those pages as they are.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -120,6 +121,7 @@ def ingest(
     A batch is bounded by a number of files or by bytes if either is given; the load then returns at
     once. Otherwise it has two speeds: the first file arrives in a batch of its own, so that there
     are rows to look at when this returns, and the same load goes on with batches of `BATCH_BYTES`.
+    A load whose first batch fails is returned with the query that failed.
     Pass the folder of an interrupted load to go on with it.
     """
     spark = source.spark
@@ -155,18 +157,19 @@ def ingest(
     else:
         if total and not storage.exists(spark, f"{folder}/rows/_spark_metadata/0"):
             limit = {"maxFilesPerTrigger": 1}
-            _first_batch(spark, started(availableNow=True), folder)
+            first = started(availableNow=True)
+            _stop_after_first(spark, first, folder)
+            if first.exception() is not None:
+                return Ingest(spark, source, folder, total, first)
         limit = {"maxBytesPerTrigger": BATCH_BYTES}
     return Ingest(spark, source, folder, total, started(availableNow=True))
 
 
-def _first_batch(spark: SparkSession, query: StreamingQuery, folder: str) -> None:
-    """Stop the query once its first batch is committed. What it was doing beyond that is not: the
-    next query with the same checkpoint does it again."""
+def _stop_after_first(spark: SparkSession, query: StreamingQuery, folder: str) -> None:
+    """Stop the query once its first batch is committed, or leave it if it has failed. What it was
+    doing beyond that batch is not committed: the next query with the same checkpoint does it."""
     try:
         while query.isActive and not storage.exists(spark, f"{folder}/checkpoint/commits/0"):
-            query.awaitTermination(0.05)
+            time.sleep(0.05)
     finally:
         query.stop()
-    if query.exception() is not None:
-        raise query.exception()
