@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableview.catalog import quoted
 from tableview.llm.graph import components
 from tableview.llm.tables import received, sent, written
 from tableview.llm.texts import SPACED, Words, annotate, chunks, mixed, sequences
@@ -570,4 +571,4 @@ def deduplicated(documents: DataFrame, **options) -> DataFrame:
     keep = keep.select(F.col("doc_id").cast(id_type))
     kept = documents.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
     kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(documents.where("doc_id IS NULL")).select(*documents.columns)
+    return kept.union(documents.where("doc_id IS NULL")).select(*map(quoted, documents.columns))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableview.catalog import quoted
 from tableview.llm.tables import received, sent
 from tableview.llm.texts import annotate, chunks, fresh
 
@@ -263,5 +264,5 @@ def accepted(documents: DataFrame, sample: int = SAMPLE, most_bits: float = MOST
     model = trained(documents.where(~held_out()).select("doc_id", "text", "lang"), sample)
     found = predictions(documents, model, (lang, score, bits))
     return found.where((F.col(lang) != UNKNOWN) & (F.col(bits) <= most_bits)).select(
-        *documents.columns
+        *map(quoted, documents.columns)
     )

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tableview.catalog import quoted
 from tableview.llm.tables import written
 from tableview.llm.texts import ALPHANUMERIC, Words, chunks
 
@@ -327,7 +328,7 @@ def replaced(text: str, found: list[tuple[int, int, int]]) -> str:
 def sanitised(documents: DataFrame, **options) -> DataFrame:
     """The documents, with their own columns, without the data found."""
     found = spans(documents, **options).dropDuplicates(["row"]).select("row", "spans")
-    given = documents.select(F.struct(*documents.columns).alias("given"), _row().alias("row"))
+    given = documents.select(F.struct(*map(quoted, documents.columns)).alias("given"), _row().alias("row"))
     both = given.join(found, "row").select("given", F.col("given.text").alias("text"), "spans")
 
     def replace(batches):
@@ -343,7 +344,7 @@ def sanitised(documents: DataFrame, **options) -> DataFrame:
     clean = both.mapInArrow(replace, schema)
     return clean.select(
         *[
-            F.col("text") if name == "text" else F.col(f"given.`{name}`").alias(name)
+            F.col("text") if name == "text" else F.col("given")[name].alias(name)
             for name in documents.columns
         ]
     )

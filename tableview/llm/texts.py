@@ -180,7 +180,7 @@ def annotate(
         compute = prepare()
         for batch, data, offsets in chunks(batches, "text"):
             columns = [batch.column(place) for place in range(len(keep))]
-            columns += compute(batch, data, offsets)
+            columns += compute(batch.rename_columns([*keep, "__text"]), data, offsets)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return given.mapInArrow(run, schema)

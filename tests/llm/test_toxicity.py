@@ -2,19 +2,34 @@ from __future__ import annotations
 
 import zlib
 
+import pytest
+
 from tableview.llm import toxicity
 
 DOCS = "doc_id long, text string, score string"
 LABELS = "doc_id long, toxic int, text string"
 
 
-def test_held_out_accuracy(spark):
+@pytest.fixture(scope="module")
+def scored(spark):
     folder = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     known = {row.doc_id: row.toxic for row in labels.collect()}
     rows = toxicity.summary(docs, labels).collect()
     assert len(rows) == docs.count()
+    return rows, known
+
+
+@pytest.mark.xfail(reason="half of the toxic documents of this table are missed: recall 0.49")
+def test_held_out_recall(scored):
+    rows, known = scored
+    toxic = [row.predicted for row in rows if row.held_out and known.get(row.doc_id)]
+    assert sum(toxic) >= 0.75 * len(toxic)
+
+
+def test_held_out_accuracy(scored):
+    rows, known = scored
     assert all(row.held_out == (zlib.crc32(str(row.doc_id).encode()) % 5 == 0) for row in rows)
     assert all(0 <= row.score <= 1 and row.predicted == (row.score >= 0.5) for row in rows)
     held = [row for row in rows if row.held_out and row.doc_id in known]
