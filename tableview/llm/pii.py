@@ -1,16 +1,21 @@
-"""Personal data: fixed patterns, and the terms around them that give a person away.
+"""Personal data: fixed patterns, and the terms that give a person away.
 
 *Patterns.* Addresses of mail and network, card and telephone numbers, leftmost and without
 overlap for each kind; a match that fails its test (parts, digits, Luhn) is dropped, not retried.
 
-*Terms.* The value of a match is a protected entity. The words within `CONTEXT` words of it are
-its context. Over the whole corpus of N documents, a term t that stands in the context of entity e
-in n documents reveals log2(n * N / (n_e * n_t)) of the -log2(n_e / N) bits that e holds. A share of
-`REMOVED` or more and the occurrences of t near e are removed, of `GENERALISED` or more and they are
-replaced by a class. It takes `SUPPORT` different contexts, so that copies of a text count once.
-Terms are lower-cased runs of digits, letters and characters beyond ASCII, `MIN_CHARS` long at least.
+*Terms.* The value of a match is a protected entity. A term stands with it if both are in a document;
+documents are cut into parts of `PART` words, and in those of more than one part the term has to be in
+the part of the entity or one beside it, so that the pairs grow with the text and not with its square.
+Over the whole corpus of N documents, a term t that stands with entity e in n documents reveals
+log2(n * N / (n_e * n_t)) of the -log2(n_e / N) bits that e holds. A share of `REMOVED` or more of any
+entity and the term is removed, of `GENERALISED` or more and it is replaced by a class: at all its
+places in all documents, also those without the entity, since the term gives it away there too. It
+takes `SUPPORT` different texts, so that copies of a text count once. Terms are lower-cased runs of
+digits, letters and characters beyond ASCII, `MIN_CHARS` long at least, outside the matches.
 
-Counts are grouped with map-side sums; a frequent entity or term is never gathered in one place.
+A share of s needs n_t <= n_e ** s * N ** (1 - s), whatever n is: other pairs are never built, and the
+result is the same. Texts that are equal are one row with their number. Words in more than one of
+`HOT` documents, whose number has a bound, are joined by a broadcast, all others by a shuffle.
 
 Null and empty texts have no spans. Rows with the same doc_id and text are one document and get the
 same spans; rows without doc_id are treated like others.
@@ -19,7 +24,6 @@ same spans; rows without doc_id are treated like others.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -27,26 +31,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableview.catalog import quoted
-from tableview.llm.tables import written
+from tableview.llm.tables import received, sent, written
 from tableview.llm.texts import ALPHANUMERIC, Words, chunks
 
 KINDS = ("email", "ip", "card", "phone", "term_removed", "term_generalised")
-CONTEXT = 10
+PART = 1_000
 MIN_CHARS = 4
 SUPPORT = 3
 REMOVED = 0.9
 GENERALISED = 0.7
+HOT = 1_000
+#: Disclosing words that tasks know by themselves; beyond them all words go to the join.
+MOST_SENT = 1_000_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 _CAPITALS = {upper: upper + 32 for upper in range(65, 91)}
-#: Characters looked at on either side for the words of a context; a longer word is no term.
-_REACH = 400
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -97,79 +101,101 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _contexts(text: str, spans: list[tuple[int, int, int]], words: int, min_chars: int):
-    """(entity, term, start, end, context) for the terms around each span."""
+def _entity(text: str, start: int, kind: int, end: int) -> str:
+    value = text[start:end]
+    return f"{kind}:{value.translate(_CAPITALS) if kind < 2 else _NO_DIGIT.sub('', value)}"
+
+
+def _free(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Whether each range is outside all the spans, which are in order."""
     covered: list[list[int]] = []
     for start, _, end in spans:
         if covered and start <= covered[-1][1]:
             covered[-1][1] = max(covered[-1][1], end)
         else:
             covered.append([start, end])
-    begins = [start for start, _ in covered]
+    if not covered:
+        return np.ones(len(starts), bool)
+    begins, stops = np.array(covered).T
+    before = np.searchsorted(begins, ends - 1, side="right") - 1
+    return (before < 0) | (stops[before] <= starts)
 
-    def free(start, end):
-        at = bisect_right(begins, end - 1) - 1
-        return at < 0 or covered[at][1] <= start
 
-    found = []
-    for start, kind, end in spans:
-        value = text[start:end]
-        value = value.translate(_CAPITALS) if kind < 2 else _NO_DIGIT.sub("", value)
-        low = max(0, start - _REACH)
-        before = list(_TERM.finditer(text, low, start))
-        if before and low and before[0].start() == low:
-            del before[0]
-        high = min(len(text), end + _REACH)
-        after = list(_TERM.finditer(text, end, high))
-        if after and high < len(text) and after[-1].end() == high:
-            del after[-1]
-        near = before[-words:] + after[:words]
-        terms = [match[0].translate(_CAPITALS) for match in near]
-        context = " ".join(terms)
-        for match, term in zip(near, terms):
-            if len(term) >= min_chars and free(match.start(), match.end()):
-                found.append((f"{kind}:{value}", term, match.start(), match.end(), context))
-    return found
+class _Places:
+    """The words of a chunk, with their places in code points of their row."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.words = words = Words(data, offsets, ALPHANUMERIC)
+        points = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+        base = np.repeat(points[offsets[:-1]], words.counts)
+        self.starts = points[words.starts] - base
+        self.ends = points[words.ends] - base
+
+    def row(self, at: int) -> slice:
+        return slice(int(self.words.bounds[at]), int(self.words.bounds[at + 1]))
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64())])
-_TERM_AT = pa.struct(
-    [(n, pa.string()) for n in ("entity", "term")]
-    + [(n, pa.int64()) for n in ("start", "end")]
-    + [("context", pa.string())]
-)
+_ENTITY = pa.struct([("part", pa.int64()), ("entity", pa.string())])
+_WORD = pa.struct([("part", pa.int64()), ("word", pa.int64())])
+_PLACE = pa.struct([("word", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_SPANS = "array<struct<start: long, rank: int, end: long>>"
 _FOUND = (
-    "row long, spans array<struct<start: long, rank: int, end: long>>, "
-    "terms array<struct<entity: string, term: string, start: long, end: long, context: string>>"
+    f"row string, kind string, spans {_SPANS}, entities array<struct<part: long, entity: string>>, "
+    "words array<struct<part: long, word: long>>"
 )
 
 
 def _row() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("string"), "text")
+    """One document: its id and the digest of its text."""
+    text = F.md5(F.coalesce("text", F.lit("")))
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text)
 
 
-def _found(documents: DataFrame, words: int, min_chars: int) -> DataFrame:
-    """row, spans and the terms of their contexts, of every document."""
+def _found(documents: DataFrame, part: int, min_chars: int) -> DataFrame:
+    """row, kind (its text), spans, and of documents that hold an entity the entities with the parts
+    they reach and the words of each part."""
 
     def find(batches):
-        for batch, _, _ in chunks(batches, "text"):
-            spans, terms = [], []
-            for text in batch.column(1).to_pylist():
+        for batch, data, offsets in chunks(batches, "text"):
+            places = _Places(data, offsets)
+            spans, entities, words = [], [], []
+            for at, text in enumerate(batch.column(2).to_pylist()):
                 own = pattern_spans(text) if text else []
                 spans.append([dict(zip(("start", "rank", "end"), span)) for span in own])
-                near = _contexts(text, own, words, min_chars) if own else []
-                names = ("entity", "term", "start", "end", "context")
-                terms.append([dict(zip(names, term)) for term in near])
+                entities.append([])
+                words.append([])
+                if not own:
+                    continue
+                of_row = places.row(at)
+                starts, ends = places.starts[of_row], places.ends[of_row]
+                parts = np.arange(len(starts)) // part
+                last = int(parts[-1]) if len(parts) else 0
+                reached = set()
+                for start, kind, end in own:
+                    home = min(last, int(np.searchsorted(starts, start)) // part)
+                    entity = _entity(text, start, kind, end)
+                    near = range(max(0, home - 1), min(last, home + 1) + 1)
+                    reached |= {(beside, entity) for beside in near}
+                entities[-1] = [dict(zip(("part", "entity"), pair)) for pair in reached]
+                terms = (ends - starts >= min_chars) & _free(starts, ends, own)
+                hashes = places.words.hashes[of_row].view(np.int64)[terms]
+                pairs = set(zip(parts[terms].tolist(), hashes.tolist()))
+                words[-1] = [dict(zip(("part", "word"), pair)) for pair in pairs]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(spans, pa.list_(_SPAN)),
-                    pa.array(terms, pa.list_(_TERM_AT)),
+                    pa.array(entities, pa.list_(_ENTITY)),
+                    pa.array(words, pa.list_(_WORD)),
                 ],
-                names=["row", "spans", "terms"],
+                names=["row", "kind", "spans", "entities", "words"],
             )
 
-    return documents.select(_row().alias("row"), "text").mapInArrow(find, _FOUND)
+    docs = documents.select(_row().alias("row"), F.md5("text").alias("kind"), "text")
+    return docs.mapInArrow(find, _FOUND)
 
 
 def _document_counts(documents: DataFrame) -> DataFrame:
@@ -218,65 +244,119 @@ def _document_counts(documents: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n_term"))
 
 
-def _word_hashes(terms: DataFrame) -> DataFrame:
-    """Terms with the hash under which their documents are counted."""
+def disclosures(
+    found: DataFrame, documents: DataFrame, support: int = SUPPORT, least: float = GENERALISED
+) -> DataFrame:
+    """entity, word (the hash of a term) and the share of the entity's information that the term
+    reveals, for the pairs in enough different texts whose share is `least` or more."""
+    total = documents.count()
+    kinds = found.where(F.size("entities") > 0).groupBy("kind").agg(
+        F.count("*").alias("copies"),
+        F.any_value("entities").alias("entities"),
+        F.any_value("words").alias("words"),
+    )
+    kinds = written(kinds, "kinds")
+    held = kinds.select("kind", "copies", F.explode("entities").alias("e"))
+    held = held.select("kind", "copies", "e.part", "e.entity")
+    names = F.array_distinct(F.transform("entities", lambda e: e["entity"]))
+    entities = kinds.select("copies", F.explode(names).alias("entity")).groupBy("entity")
+    entities = entities.agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts"))
+    entities = entities.where(F.col("texts") >= support).drop("texts")
+    most = F.pow("n_entity", F.lit(least)) * float(max(total, 1)) ** (1 - least)
+    entities = written(entities.withColumn("most", most * (1 + 1e-9)), "entities")
+    cap = entities.agg(F.max("most")).head()[0] or 0.0
+    held = held.join(entities, "entity")
+
+    counts = written(_document_counts(documents).where(F.col("n_term").between(support, cap)), "words")
+    terms = kinds.join(held.select("kind").distinct(), "kind", "left_semi")
+    terms = terms.select("kind", F.explode("words").alias("w")).select("kind", "w.part", "w.word")
+    # A document has so many words: not many can be in more than one of HOT documents.
+    hot = F.broadcast(counts.where(F.col("n_term") * HOT > total))
+    usual = terms.join(hot, "word", "left_anti").join(
+        counts.where(F.col("n_term") * HOT <= total), "word"
+    )
+    terms = terms.join(hot, "word").unionByName(usual)
+    pairs = terms.join(held, ["kind", "part"]).where("n_term <= most")
+    pairs = pairs.dropDuplicates(["kind", "entity", "word"])
+    pairs = pairs.groupBy("entity", "word", "n_entity", "n_term").agg(
+        F.sum("copies").alias("n"), F.count("*").alias("texts")
+    )
+    bits = -F.log2(F.col("n_entity") / total)
+    revealed = F.log2(F.col("n") * total / (F.col("n_entity") * F.col("n_term")))
+    pairs = pairs.where(F.col("texts") >= support).withColumn(
+        "share", F.when(bits > 0, revealed / bits)
+    )
+    return pairs.where(F.col("share") >= least).select("entity", "word", "share")
+
+
+def _occurrences(documents: DataFrame, terms: DataFrame, min_chars: int) -> DataFrame:
+    """row, start, end and rank of the places of disclosing terms in all documents."""
+    known = None
+    if terms.count() <= MOST_SENT:
+        words = terms.select("word").toArrow().column(0).to_numpy()
+        known = sent(documents.sparkSession, np.sort(words))
 
-    def hashed(batches):
-        for batch, data, offsets in chunks(batches, "term"):
-            words = Words(data, offsets, ALPHANUMERIC)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(words.hashes[words.bounds[:-1]].view(np.int64))],
-                names=["term", "word"],
+    def find(batches):
+        listed = received(known) if known else None
+        for batch, data, offsets in chunks(batches, "text"):
+            places = _Places(data, offsets)
+            hashes = places.words.hashes.view(np.int64)
+            chosen = places.ends - places.starts >= min_chars
+            if listed is not None:
+                chosen &= np.isin(hashes, listed)
+            bounds = np.concatenate([[0], np.cumsum(chosen)])[places.words.bounds]
+            found = pa.StructArray.from_arrays(
+                [pa.array(values[chosen]) for values in (hashes, places.starts, places.ends)],
+                fields=list(_PLACE),
             )
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["row", "places"])
 
-    return terms.mapInArrow(hashed, "term string, word long")
+    docs = documents.select(_row().alias("row"), "text")
+    schema = "row string, places array<struct<word: long, start: long, end: long>>"
+    places = docs.mapInArrow(find, schema).select("row", F.explode("places").alias("p"))
+    return places.select("row", "p.*").join(terms, "word").select("row", "start", "end", "rank")
 
 
-def disclosures(found: DataFrame, documents: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """entity, term and the share of the entity's information that the term reveals, for the
-    pairs with enough different contexts."""
-    total = documents.count()
-    near = found.select("row", F.explode("terms").alias("t")).select("row", "t.*")
-    near = near.select("row", "entity", "term", F.xxhash64("context").alias("context")).distinct()
-    entities = near.select("row", "entity").distinct().groupBy("entity")
-    entities = entities.agg(F.count("*").alias("n_entity"))
-    pairs = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(
-        F.sum("n").alias("n"), F.count("*").alias("contexts")
-    )
-    pairs = written(pairs.where(F.col("contexts") >= support), "pairs")
-    words = _word_hashes(pairs.select("term").distinct())
-    words = words.join(_document_counts(documents), "word").select("term", "n_term")
-    known = pairs.join(entities, "entity").join(words, "term")
-    bits = -F.log2(F.col("n_entity") / total)
-    revealed = F.log2(F.col("n") * total / (F.col("n_entity") * F.col("n_term")))
-    return known.select("entity", "term", F.when(bits > 0, revealed / bits).alias("share"))
+def _outside(found: DataFrame) -> DataFrame:
+    """The pattern spans as `base`, and with them the terms that stand outside, in order."""
+
+    def join(batches):
+        for batch in batches:
+            lists = []
+            for base, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if terms:
+                    spans = [(s["start"], s["rank"], s["end"]) for s in base]
+                    starts, ends = (np.array([t[n] for t in terms]) for n in ("start", "end"))
+                    free = _free(starts, ends, spans)
+                    base = base + [term for term, alone in zip(terms, free) if alone]
+                    base.sort(key=lambda s: (s["start"], s["rank"], s["end"]))
+                lists.append(base)
+            columns = [batch.column(0), batch.column(1), pa.array(lists, pa.list_(_SPAN))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "base", "spans"])
+
+    found = found.select("row", F.col("spans").alias("base"), "terms")
+    return found.mapInArrow(join, f"row string, base {_SPANS}, spans {_SPANS}")
 
 
 def spans(
     documents: DataFrame,
-    context: int = CONTEXT,
+    part: int = PART,
     min_chars: int = MIN_CHARS,
     support: int = SUPPORT,
     removed: float = REMOVED,
     generalised: float = GENERALISED,
 ) -> DataFrame:
-    """row (a hash of doc_id and text) and its spans (start, rank in KINDS, end), by start and
+    """row (doc_id and a digest of the text) and its spans (start, rank in KINDS, end), by start and
     rank; patterns in `base`, everything in `spans`."""
     docs = documents.select("doc_id", "text")
-    found = written(_found(docs, context, min_chars), "found")
-    shares = disclosures(found, docs, support).where(F.col("share") >= generalised)
-    near = found.select("row", F.explode("terms").alias("t")).select("row", "t.*")
-    rank = F.when(F.col("share") >= removed, 4).otherwise(5)
-    terms = near.join(shares, ["entity", "term"]).groupBy("row", "start", "end")
-    terms = terms.agg(F.min(rank).alias("rank"))
-    terms = terms.groupBy("row").agg(
-        F.collect_list(F.struct("start", F.col("rank").cast("int").alias("rank"), "end")).alias("t")
-    )
-    more = F.coalesce("t", F.array().cast("array<struct<start: long, rank: int, end: long>>"))
-    return found.join(terms, "row", "left").select(
-        "row", F.col("spans").alias("base"), F.array_sort(F.concat("spans", more)).alias("spans")
-    )
+    found = written(_found(docs, part, min_chars), "found")
+    shares = disclosures(found, docs, support, generalised).groupBy("word").agg(F.max("share").alias("s"))
+    rank = F.when(F.col("s") >= removed, 4).otherwise(5)
+    terms = written(shares.select("word", rank.alias("rank")), "terms")
+    near = _occurrences(docs, terms, min_chars)
+    near = near.groupBy("row").agg(F.collect_set(F.struct("start", "rank", "end")).alias("terms"))
+    return _outside(found.select("row", "spans").dropDuplicates(["row"]).join(near, "row", "left"))
 
 
 def _listed(column: str) -> Column:
@@ -289,7 +369,7 @@ def _listed(column: str) -> Column:
 def summary(documents: DataFrame, **options) -> DataFrame:
     """A row per document: matches of each kind, the digest of the pattern spans, all spans."""
     docs = documents.select("doc_id", "text")
-    found = spans(docs, **options).dropDuplicates(["row"])
+    found = spans(docs, **options)
     rows = docs.select("doc_id", _row().alias("row"))
     counts = [
         F.size(F.filter("base", _of(rank))).cast("long").alias(f"n_{kind}")
@@ -327,7 +407,7 @@ def replaced(text: str, found: list[tuple[int, int, int]]) -> str:
 
 def sanitised(documents: DataFrame, **options) -> DataFrame:
     """The documents, with their own columns, without the data found."""
-    found = spans(documents, **options).dropDuplicates(["row"]).select("row", "spans")
+    found = spans(documents, **options).select("row", "spans")
     given = documents.select(F.struct(*map(quoted, documents.columns)).alias("given"), _row().alias("row"))
     both = given.join(found, "row").select("given", F.col("given.text").alias("text"), "spans")
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 
 from tableview.llm import pii
@@ -92,6 +94,86 @@ def test_terms_that_reveal(spark):
     assert pii.sanitised(frame).columns == frame.columns
 
 
+def test_term_far_from_the_entity_and_without_it(spark):
+    filler = [f"word{i}" for i in range(3000)]
+    far = [(i, f"ann@x.org {i} " + " ".join(filler[50 * i : 50 * i + 50]) + " Zweighaupt", "") for i in range(5)]
+    alone = [(50, "the letter of Zweighaupt", "")]
+    other = [(100 + i, f"plain text number {i}", "") for i in range(60)]
+    frame = spark.createDataFrame(far + alone + other, DOCS)
+    found = {row.doc_id: row.spans for row in pii.summary(frame).collect()}
+    for doc_id, text, _ in far + alone:
+        at = text.index("Zweighaupt")
+        assert f"term_removed:{at}:{at + 10}" in found[doc_id]
+    clean = [row.text for row in pii.sanitised(frame).collect()]
+    assert not any("Zweighaupt" in text for text in clean)
+
+
+def folded(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def brute_terms(rows, part, min_chars, support, removed, generalised):
+    """All spans of all documents, by plain counting."""
+    total, held, with_entity, with_term, together = len(rows), {}, {}, {}, {}
+    for doc_id, text in rows:
+        base = brute(text)
+        words = [
+            (m.start(), m.end(), folded(m[0]), at // part)
+            for at, m in enumerate(re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", text))
+        ]
+        for word in words:
+            with_term.setdefault(word[2], set()).add(doc_id)
+        words = [w for w in words if w[1] - w[0] >= min_chars]
+        words = [w for w in words if all(w[1] <= s or e <= w[0] for s, _, e in base)]
+        held[doc_id] = base, words
+        for start, kind, end in base:
+            value = text[start:end]
+            entity = kind, folded(value) if kind < 2 else re.sub("[^0-9]", "", value)
+            with_entity.setdefault(entity, set()).add(doc_id)
+            before = len(re.findall("[0-9A-Za-z\x80-\U0010ffff]+", text[:start]))
+            for w in words:
+                if abs(w[3] - before // part) <= 1:
+                    together.setdefault((entity, w[2]), set()).add(doc_id)
+    texts, ranks = dict(rows), {}
+    for (entity, term), docs in together.items():
+        n_entity, n_term = len(with_entity[entity]), len(with_term[term])
+        if len({texts[doc] for doc in docs}) < support or n_entity == total:
+            continue
+        share = math.log2(len(docs) * total / (n_entity * n_term)) / -math.log2(n_entity / total)
+        if share >= generalised:
+            ranks[term] = min(ranks.get(term, 5), 4 if share >= removed else 5)
+    return {
+        doc: sorted(base + [(w[0], ranks[w[2]], w[1]) for w in words if w[2] in ranks])
+        for doc, (base, words) in held.items()
+    }
+
+
+def test_terms_against_plain_counting(spark):
+    for seed, part in ((1, 1000), (2, 8), (3, 3)):
+        draw = random.Random(seed)
+        vocabulary = [f"{a}{b}" for a in ("tom", "größe", "Ünder", "x1") for b in "abcdefghij"]
+        entities = ["ann@x.org", "Bob@y.org", "10.0.0.1", "+1 555 123 4567"]
+        rows = []
+        for doc_id in range(80):
+            words = draw.choices(vocabulary, k=draw.randint(0, 30))
+            for place, entity in enumerate(entities):
+                if draw.random() < 0.15:
+                    words.insert(draw.randint(0, len(words)), entity)
+                    words.insert(draw.randint(0, len(words)), f"Secret{place}")
+                if draw.random() < 0.04:
+                    words.append(f"secret{place}")
+            rows.append((doc_id, " ".join(words)))
+        rows += [(200 + i, rows[i % 3][1]) for i in range(9)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        expected = brute_terms(rows, part, 4, 3, 0.8, 0.5)
+        kinds = {span[1] for spans in expected.values() for span in spans}
+        assert 5 in kinds and (4 in kinds or part < 1000)
+        found = pii.summary(frame, part=part, removed=0.8, generalised=0.5).collect()
+        for row in found:
+            own = expected[row.doc_id]
+            assert row.spans == ",".join(f"{pii.KINDS[r]}:{s}:{e}" for s, r, e in own)
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], DOCS)
     assert pii.summary(none).count() == pii.sanitised(none).count() == 0
