@@ -6,8 +6,14 @@ Words are lower-cased runs of digits, a-z and characters beyond ASCII. Of the ha
 of the span. A hit is extended to the whole windows around it, which must agree word for word.
 Items of fewer words are one window of their own length, and for those lengths every gram is kept.
 
-Documents are never shuffled. The fingerprints of the benchmark go to the tasks in blocks of at
-most `BLOCK_WORDS` words; a bigger benchmark takes more passes.
+1. The kept hashes of the benchmark and those of the documents, each once a document, are tables that
+   are joined. The benchmark's side is dealt `SALTS` times, so that a hash that a third of the
+   documents share is spread over as many tasks.
+2. Documents with a shared hash give the windows around it, word for word, which are joined with the
+   windows of the benchmark in the same way. What agrees is a hit.
+
+Spark picks the way of each join by size: a small benchmark is sent to all tasks, a big one meets the
+documents in a shuffle. Nothing of either passes through the driver but the lengths of short items.
 
 Null and empty texts have no words. Items without id or without words take no part. Repeated rows
 of documents are judged one by one; an item id given twice counts once.
@@ -16,24 +22,22 @@ of documents are judged one by one; an item id given twice counts once.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableview.llm.tables import received, sent
-from tableview.llm.texts import ALPHANUMERIC, Words, annotate, fresh, sequences
+from tableview.catalog import quoted
+from tableview.llm.tables import written
+from tableview.llm.texts import ALPHANUMERIC, Words, annotate, chunks, fresh, sequences
 
 WINDOW = 10
 GRAM = 5
-BLOCK_WORDS = 1_000_000
+SALTS = 16
 
-_SPANS = T.ArrayType(
-    T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
-)
+_SPANS = "array<struct<begin: long, end: long>>"
 _ARROW_SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
@@ -45,66 +49,121 @@ def kept(grams: np.ndarray, firsts: np.ndarray, width: int) -> np.ndarray:
     return np.unique(firsts + least)
 
 
-class Fingerprints:
-    """What tasks need to know of a block of the benchmark: kept hashes, and the windows by hash."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int, gram: int):
-        self.window, self.gram = window, gram
-        self.windows: dict[int, dict[int, dict[bytes, set[str]]]] = defaultdict(dict)
-        kept_hashes = []
-        for item, text in items:
-            data = np.frombuffer(text.encode(), np.uint8)
-            words = Words(data, np.array([0, len(data)]), ALPHANUMERIC)
-            count = int(words.counts[0])
-            if not count:
-                continue
-            length = min(window, count)
-            for first, value in enumerate(sequences(words.hashes, length).tolist()):
-                found = self.windows[length].setdefault(value, {})
-                found.setdefault(words.text(first, first + length), set()).add(item)
-            if length == window:
-                grams = sequences(words.hashes, gram)
-                kept_hashes.append(grams[kept(grams, words.within(window), window - gram + 1)])
-        self.hashes = np.unique(np.concatenate(kept_hashes or [np.zeros(0, np.uint64)]))
-        self.sorted = {
-            length: np.sort(np.array(list(found), np.uint64))
-            for length, found in self.windows.items()
-        }
-
-    def candidates(self, words: Words) -> list[tuple[int, np.ndarray]]:
-        """(length, first words) of the windows that share a kept hash with an item."""
-        found = []
-        for length in self.sorted:
-            firsts = words.within(length)
-            if length == self.window and len(firsts):
-                grams = sequences(words.hashes, self.gram)
-                reach = self.window - self.gram + 1
-                places = kept(grams, firsts, reach)
-                places = places[_known(grams[places], self.hashes)]
-                around = (places[:, None] - np.arange(reach)).ravel()
-                firsts = firsts[np.isin(firsts, around)] if len(around) else firsts[:0]
-            found.append((length, firsts))
-        return found
-
-    def hits(self, words: Words) -> list[tuple[int, int, set[str]]]:
-        """(first word, length, items) of the windows of the chunk that occur in an item."""
-        found = []
-        for length, firsts in self.candidates(words):
-            if not len(firsts):
-                continue
-            values = sequences(words.hashes, length)[firsts]
-            for place in np.flatnonzero(_known(values, self.sorted[length])):
-                first = int(firsts[place])
-                same = self.windows[length][int(values[place])]
-                if items := same.get(words.text(first, first + length)):
-                    found.append((first, length, items))
-        return found
-
-
-def _known(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+def _prints(words: Words, length: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the kept grams for windows of a length."""
+    firsts = words.within(length)
+    if length < window:
+        return firsts, sequences(words.hashes, length)[firsts]
+    grams = sequences(words.hashes, gram)
+    places = kept(grams, firsts, window - gram + 1)
+    return places, grams[places]
+
+
+def _row() -> Column:
+    """One document: its id and the digest of its text."""
+    text = F.md5(F.coalesce("text", F.lit("")))
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    items = benchmark.select(
+        F.col("item_id").cast("string").alias("item"), F.col("text").alias("text")
+    )
+    return items.where("item IS NOT NULL AND text IS NOT NULL")
+
+
+def _benchmark_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
+    """item, length, words and prints of every window of the benchmark: the words joined by blanks,
+    and the kept hashes of the item, which its first window carries."""
+
+    def cut(batches):
+        for batch, data, offsets in chunks(batches, "text"):
+            found: tuple[list, ...] = ([], [], [], [])
+            ids = batch.column(0).to_pylist()
+            for at, item in enumerate(ids):
+                own = data[offsets[at] : offsets[at + 1]]
+                words = Words(own, np.array([0, len(own)]), ALPHANUMERIC)
+                length = min(window, int(words.counts[0]))
+                if not length:
+                    continue
+                prints = np.unique(_prints(words, length, window, gram)[1]).view(np.int64)
+                for first in range(int(words.counts[0]) - length + 1):
+                    row = item, length, words.text(first, first + length), [] if first else prints
+                    for column, value in zip(found, row):
+                        column.append(value)
+            types = pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(found, types)],
+                names=["item", "length", "words", "prints"],
+            )
+
+    schema = "item string, length int, words binary, prints array<long>"
+    return _items(benchmark).mapInArrow(cut, schema)
+
+
+def _document_prints(docs: DataFrame, lengths: list[int], window: int, gram: int) -> DataFrame:
+    """row, length and hash of the kept hashes of documents, each once a document."""
+
+    def cut(batches):
+        for batch, data, offsets in chunks(batches, "text"):
+            words = Words(data, offsets, ALPHANUMERIC)
+            for length in lengths:
+                places, hashes = _prints(words, length, window, gram)
+                bounds = np.searchsorted(places, words.bounds)
+                hashes = hashes.view(np.int64)
+                lists = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array([length] * len(lists), pa.int32()),
+                        pa.array(lists, pa.list_(pa.int64())),
+                    ],
+                    names=["row", "length", "prints"],
+                )
+
+    prints = docs.mapInArrow(cut, "row string, length int, prints array<long>")
+    return prints.select("row", "length", F.explode("prints").alias("hash"))
+
+
+def _candidates(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """row, first, length and words of the windows around shared hashes."""
+
+    def cut(batches):
+        for batch, data, offsets in chunks(batches, "text"):
+            all_words = Words(data, offsets, ALPHANUMERIC)
+            found: tuple[list, ...] = ([], [], [], [])
+            for at, (row, shared) in enumerate(
+                zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())
+            ):
+                low, high = int(all_words.bounds[at]), int(all_words.bounds[at + 1])
+                own = data[offsets[at] : offsets[at + 1]]
+                words = Words(own, np.array([0, len(own)]), ALPHANUMERIC)
+                for length in sorted({print_["length"] for print_ in shared}):
+                    known = np.array(
+                        [print_["hash"] for print_ in shared if print_["length"] == length]
+                    )
+                    places, hashes = _prints(words, length, window, gram)
+                    places = places[np.isin(hashes.view(np.int64), known)]
+                    reach = window - gram + 1 if length == window else 1
+                    firsts = np.unique((places[:, None] - np.arange(reach)).ravel())
+                    for first in firsts[(firsts >= 0) & (firsts <= high - low - length)].tolist():
+                        value = row, first, length, words.text(first, first + length)
+                        for column, part in zip(found, value):
+                            column.append(part)
+            types = pa.string(), pa.int64(), pa.int32(), pa.binary()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(found, types)],
+                names=["row", "first", "length", "words"],
+            )
+
+    return docs.mapInArrow(cut, "row string, first long, length int, words binary")
+
+
+def _met(many: DataFrame, few: DataFrame, keys: list[str], salts: int) -> DataFrame:
+    """The join of documents' rows with rows of the benchmark, dealt over `salts` tasks a key."""
+    dealt = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = many.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    return salted.join(dealt, [*keys, "salt"]).drop("salt")
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[dict]:
@@ -118,14 +177,35 @@ def _joined(spans: list[tuple[int, int]]) -> list[dict]:
     return [{"begin": begin, "end": end} for begin, end in joined]
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
-    items = benchmark.select(
-        F.col("item_id").cast("string").alias("item"), F.col("text").alias("text")
-    ).where("item IS NOT NULL AND text IS NOT NULL")
-    # No text has more words than half its bytes, rounded up.
-    most = items.agg(F.sum(F.expr("octet_length(text) div 2 + 1"))).head()[0] or 0
-    count = max(1, -(-most // block_words))
-    return [items.where(F.expr(f"pmod(xxhash64(item), {count}) = {block}")) for block in range(count)]
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, salts: int) -> DataFrame:
+    """row, hits and items of the rows (row, text) that share a window with the benchmark."""
+    windows = written(_benchmark_windows(benchmark, window, gram), "windows")
+    lengths = [row.length for row in windows.select("length").distinct().collect()]
+    prints = windows.select("length", F.explode("prints").alias("hash")).distinct()
+    prints = written(prints, "prints")
+    shared = _met(
+        _document_prints(docs, sorted(lengths), window, gram), prints, ["length", "hash"], salts
+    )
+    shared = shared.groupBy("row").agg(F.collect_set(F.struct("length", "hash")).alias("shared"))
+    shared = written(shared, "shared")
+    near = _candidates(docs.join(shared, "row"), window, gram)
+    items = windows.select("words", "item").distinct()
+    span = F.struct(F.col("first").alias("begin"), F.expr("first + length").alias("end"))
+    found = _met(near, items, ["words"], salts).groupBy("row").agg(
+        F.collect_set(span).alias("hits"),
+        F.array_sort(F.collect_set("item")).alias("items"),
+    )
+
+    def merge(batches):
+        for batch in batches:
+            spans = [
+                _joined([(span["begin"], span["end"]) for span in own])
+                for own in batch.column(1).to_pylist()
+            ]
+            columns = [batch.column(0), pa.array(spans, _ARROW_SPANS), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "hits", "items"])
+
+    return written(found.mapInArrow(merge, f"row string, hits {_SPANS}, items array<string>"), "hits")
 
 
 def contamination(
@@ -133,56 +213,26 @@ def contamination(
     benchmark: DataFrame,
     window: int = WINDOW,
     gram: int = GRAM,
-    block_words: int = BLOCK_WORDS,
+    salts: int = SALTS,
     names: tuple[str, str, str] = ("n_words", "hits", "items"),
 ) -> DataFrame:
     """Every column of the documents, their number of words, the word spans [begin, end) that
     occur in the benchmark, and the sorted ids of the items they come from."""
     n_words, hits, items = names
-    result = documents
-    for turn, block in enumerate(_blocks(benchmark, block_words)):
-        rows = [(row.item, row.text) for row in block.collect()]
-        shared = sent(documents.sparkSession, Fingerprints(rows, window, gram))
-
-        def prepare(shared=shared, again=turn > 0):
-            block, earlier = received(shared), (hits, items) if again else None
-            return lambda batch, data, offsets: _judged(block, batch, data, offsets, earlier)
-
-        fields = [
-            T.StructField(n_words, T.LongType()),
-            T.StructField(hits, _SPANS),
-            T.StructField(items, T.ArrayType(T.StringType())),
-        ]
-        if turn:
-            earlier = fresh(result, "n_words", "hits", "items")
-            fields = [T.StructField(new, field.dataType) for new, field in zip(earlier, fields)]
-            result = annotate(result, "text", fields, prepare).drop(*names)
-            result = result.withColumnsRenamed(dict(zip(earlier, names)))
-        else:
-            result = annotate(result, "text", fields, prepare)
-    return result
-
-
-def _judged(block, batch, data, offsets, earlier):
-    words = Words(data, offsets, ALPHANUMERIC)
-    spans, items = defaultdict(list), defaultdict(set)
-    for first, length, found in block.hits(words):
-        row = int(np.searchsorted(words.bounds, first, side="right")) - 1
-        begin = first - int(words.bounds[row])
-        spans[row].append((begin, begin + length))
-        items[row] |= found
-    if earlier:
-        names = batch.schema.names
-        old_spans, old_items = (batch.column(names.index(name)) for name in earlier)
-        for row in range(batch.num_rows):
-            spans[row] += [(span["begin"], span["end"]) for span in old_spans[row].as_py()]
-            items[row] |= set(old_items[row].as_py())
-    rows = range(batch.num_rows)
-    return [
-        pa.array(words.counts, pa.int64()),
-        pa.array([_joined(spans[row]) if row in spans else [] for row in rows], _ARROW_SPANS),
-        pa.array([sorted(items[row]) if row in items else [] for row in rows], pa.list_(pa.string())),
-    ]
+    found = _hits(documents.select(_row().alias("row"), "text"), benchmark, window, gram, salts)
+    row = fresh(documents, "row")[0]
+    counted = annotate(
+        documents.select(*map(quoted, documents.columns), _row().alias(row)),
+        "text",
+        [T.StructField(n_words, T.LongType())],
+        lambda: lambda batch, data, offsets: [
+            pa.array(Words(data, offsets, ALPHANUMERIC).counts, pa.int64())
+        ],
+    )
+    result = counted.join(found.toDF(row, hits, items), row, "left")
+    none = (F.array().cast(_SPANS), F.array().cast("array<string>"))
+    filled = [F.coalesce(quoted(n), empty).alias(n) for n, empty in zip((hits, items), none)]
+    return result.select(*map(quoted, documents.columns), quoted(n_words), *filled)
 
 
 def digest(items: list[str]) -> str:

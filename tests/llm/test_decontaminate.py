@@ -67,11 +67,26 @@ def test_against_brute_force(spark):
     docs, items = cases()
     frame, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
     wanted = brute(docs, items)
-    for options in ({}, {"block_words": 9}):
+    for options in ({}, {"salts": 1}):
         found = decontaminate.summary(frame, bench, **options).collect()
         assert sorted((tuple(row) for row in found), key=str) == wanted
 
 
+def test_benchmark_larger_than_the_documents_meets_them_in_a_shuffle(spark):
+    docs, items = cases()
+    items = items + [(100 + i, f"{PASSAGE} item {i} " + f"number{i} " * 12) for i in range(300)]
+    docs = docs + [(500 + i, f"x{i} {PASSAGE} y number7 number7", None, None) for i in range(40)]
+    frame, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        found = decontaminate.summary(frame, bench).collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert sorted((tuple(row) for row in found), key=str) == brute(docs, items)
+
+
 def test_tables(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")

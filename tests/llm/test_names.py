@@ -15,7 +15,7 @@ STAGES = {
     "lines": lambda docs, items: line_dedup.deduplicated(docs),
     "documents": lambda docs, items: jaccard_join.deduplicated(docs),
     "benchmark": lambda docs, items: decontaminate.clean(docs, items),
-    "benchmark in blocks": lambda docs, items: decontaminate.clean(docs, items, block_words=3),
+    "benchmark joined": lambda docs, items: decontaminate.clean(docs, items, salts=3),
     "personal data": lambda docs, items: pii.sanitised(docs),
 }
 
