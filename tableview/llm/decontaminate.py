@@ -13,7 +13,8 @@ Items of fewer words are one window of their own length, and for those lengths e
    windows of the benchmark in the same way. What agrees is a hit.
 
 Spark picks the way of each join by size: a small benchmark is sent to all tasks, a big one meets the
-documents in a shuffle. Nothing of either passes through the driver but the lengths of short items.
+documents in a shuffle. Texts are shuffled only of documents with a shared hash, as long as there are
+`MOST_SENT` of them at most, and beyond that all once. Nothing of either passes through the driver but the lengths of short items.
 
 Null and empty texts have no words. Items without id or without words take no part. Repeated rows
 of documents are judged one by one; an item id given twice counts once.
@@ -36,6 +37,8 @@ from tableview.llm.texts import ALPHANUMERIC, Words, annotate, chunks, fresh, se
 WINDOW = 10
 GRAM = 5
 SALTS = 16
+#: Documents with a shared hash whose names all tasks may know; beyond them all texts are shuffled.
+MOST_SENT = 500_000
 
 _SPANS = "array<struct<begin: long, end: long>>"
 _ARROW_SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -188,6 +191,8 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, salts:
     )
     shared = shared.groupBy("row").agg(F.collect_set(F.struct("length", "hash")).alias("shared"))
     shared = written(shared, "shared")
+    if shared.count() <= MOST_SENT:
+        docs = docs.join(F.broadcast(shared.select("row")), "row", "left_semi")
     near = _candidates(docs.join(shared, "row"), window, gram)
     items = windows.select("words", "item").distinct()
     span = F.struct(F.col("first").alias("begin"), F.expr("first + length").alias("end"))
