@@ -14,7 +14,8 @@ Items of fewer words are one window of their own length, and for those lengths e
 
 Spark picks the way of each join by size: a small benchmark is sent to all tasks, a big one meets the
 documents in a shuffle. Texts are shuffled only of documents with a shared hash, as long as there are
-`MOST_SENT` of them at most, and beyond that all once. Nothing of either passes through the driver but the lengths of short items.
+`MOST_SENT` of them at most, and beyond that all once. Nothing of either passes through the driver but
+the lengths of short items.
 
 Null and empty texts have no words. Items without id or without words take no part. Repeated rows
 of documents are judged one by one; an item id given twice counts once.

@@ -9,8 +9,8 @@ calibration, whose 0.5 is the threshold.
 Passages are runs of `GRAM`-byte strings that at least a share `SUPPORT` of the toxic documents
 hold, `TELLING` times as often as ordinary ones. Strings, dictionaries and calibration are learned
 from about `SAMPLE` labelled documents of each label at most, chosen by a hash of the id, three
-quarters for the dictionaries and one for the calibration: that is the only bounded part. Every text
-is scored over all its windows.
+quarters for the dictionaries and one for the calibration. Of a sampled ordinary document the dictionary
+sees `EACH` windows, evenly spaced. Nothing else is bounded: every text is scored over all its windows.
 
 Null and empty texts have one empty window. Labels that are null, or without doc_id or document, are
 not learned from. Without documents of both labels every score is the share of toxic ones, 0 if there
@@ -32,6 +32,7 @@ from tableview.llm.tables import received, sent, written
 from tableview.llm.texts import LOWER, annotate, chunks
 
 SAMPLE = 4_000
+EACH = 6
 WINDOW = 64
 STEP = 32
 GRAM = 5
@@ -98,7 +99,7 @@ def _passages(sample: DataFrame, telling: np.ndarray) -> DataFrame:
     return found.groupBy("passage").agg(F.sum("n").alias("n"))
 
 
-def _windows(sample: DataFrame, each: int = 6) -> DataFrame:
+def _windows(sample: DataFrame, each: int = EACH) -> DataFrame:
     """Evenly spaced windows of ordinary documents."""
 
     def cut(batches):
