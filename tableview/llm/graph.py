@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableview.llm.tables import written
+from tableview.llm.tables import discard, written
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -37,8 +37,10 @@ def components(pairs: DataFrame) -> DataFrame:
         above = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
         step = written(up.join(above, "up").select("id", F.col("top").alias("up")), "step")
         steps.append(step)
-        edges = edges.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b")
-        edges = written(_between(edges, "x", "y"), "edges")
+        left = edges.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b")
+        left = written(_between(left, "x", "y"), "edges")
+        discard(up, edges)
+        edges = left
     if not steps:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     tops = steps[0]
@@ -46,6 +48,7 @@ def components(pairs: DataFrame) -> DataFrame:
         further = step.toDF("up", "top")
         tops = tops.join(further, "up", "left").select("id", F.coalesce("top", "up").alias("up"))
     tops = written(tops, "tops")
+    discard(edges, *steps)
     least = tops.groupBy("up").agg(F.min("id").alias("component"))
     return tops.join(least, "up").select("id", "component")
 
