@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableview.llm.tables import received, sent, written
+from tableview.llm.tables import discard, received, sent, written
 from tableview.llm.texts import Hashes, chunks, mixed
 
 LENGTH = 200
@@ -237,6 +237,7 @@ def _sorted(different: DataFrame, docs: DataFrame, length: int) -> DataFrame:
 
     segments = held.mapInArrow(cut, "anchor long, key long, n long, segment binary")
     segments = written(segments.dropDuplicates(["anchor", "key", "n"]), "segments")
+    discard(pieces)
     size = segments.agg(F.sum(F.octet_length("segment"))).head()[0] or 0
     buckets = max(1, -(-size // BUCKET))
     segments = segments.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
@@ -248,7 +249,9 @@ def _sorted(different: DataFrame, docs: DataFrame, length: int) -> DataFrame:
         runs = [[{"low": low, "high": high} for low, high in own] for own in runs]
         return table.select(["anchor", "key", "n"]).append_column("runs", pa.array(runs, _RUNS))
 
-    return segments.groupBy("bucket").applyInArrow(sort, _VERDICT)
+    verdicts = written(segments.groupBy("bucket").applyInArrow(sort, _VERDICT), "verdicts")
+    discard(segments)
+    return verdicts
 
 
 def _counted(docs: DataFrame, crowds: DataFrame, length: int, gram: int) -> DataFrame:
@@ -324,12 +327,13 @@ def repeats(
     """row (a hash of doc_id and text) and the runs (low, high) of starts of repeated strings, of
     the documents that have any."""
     docs = documents.select(_row().alias("row"), "text")
-    found = written(_segments(docs, length, gram), "segments")
-    again = found.groupBy("anchor").agg(
+    every = written(_segments(docs, length, gram), "segments")
+    again = every.groupBy("anchor").agg(
         F.count("*").alias("times"), F.min("key").alias("least"), F.max("key").alias("most")
     )
     again = again.where("times > 1").select("anchor")
-    found = written(found.join(again, "anchor"), "again")
+    found = written(every.join(again, "anchor"), "again")
+    discard(every)
     kinds = found.groupBy("anchor", "key", "n").agg(
         F.count("*").alias("times"), F.min(F.struct("row", "start")).alias("place")
     )
@@ -338,12 +342,14 @@ def repeats(
     crowds = written(several.where(F.col("kinds") > crowd), "crowds")
     several = several.where(F.col("kinds") <= crowd)
     different = kinds.join(several, "anchor").select("anchor", "key", "n", "place.*")
-    sorted_runs = _sorted(written(different, "different"), docs, length)
+    different = written(different, "different")
+    sorted_runs = _sorted(different, docs, length)
     whole = kinds.where("times > 1").select(
         "anchor", "key", "n", F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n").alias("high"))).alias("runs"),
     )
     verdicts = whole.union(sorted_runs.where(F.size("runs") > 0))
     verdicts = written(verdicts.select("anchor", "key", "n", F.explode("runs").alias("run")), "runs")
+    discard(kinds, different, sorted_runs)
     runs = found.join(verdicts, ["anchor", "key", "n"]).select(
         "row",
         (F.col("start") + F.col("run.low")).alias("low"),
