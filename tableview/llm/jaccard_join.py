@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from tableview.catalog import quoted
 from tableview.llm.graph import components
-from tableview.llm.tables import received, sent, written
+from tableview.llm.tables import discard, received, sent, written
 from tableview.llm.texts import SPACED, Words, annotate, chunks, mixed, sequences
 
 SHINGLE = 5
@@ -264,7 +264,7 @@ def _lists(prefixes: DataFrame, buckets: int) -> DataFrame:
     rare = rare.mapInArrow(deal, "bucket long, tokens binary, keys binary, ns binary")
     rare = rare.groupBy("bucket").applyInArrow(shared, _LISTED)
     often = prefixes.select(F.explode("often").alias("token"), "key", "n").distinct()
-    often = written(often, "often")
+    table = often = written(often, "often")
     sizes = often.groupBy("token").agg(F.count("*").alias("several")).where("several > 1")
     often = often.join(sizes, "token")
     typical = often.groupBy("key").agg(F.sum("several").alias("typical"))
@@ -273,7 +273,9 @@ def _lists(prefixes: DataFrame, buckets: int) -> DataFrame:
         "token", F.col("lead.key").alias("leader"), F.col("lead.n").alias("leader_n")
     )
     often = often.join(lead, "token").select("token", "key", "n", "leader", "leader_n")
-    return rare.union(often.withColumn("frequent", F.lit(True)))
+    listed = written(rare.union(often.withColumn("frequent", F.lit(True))), "lists")
+    discard(table)
+    return listed
 
 
 def _least_shared(percent: int, n, m):
@@ -337,9 +339,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int)
             keep.append(100 * common >= percent * (len(one) + len(other) - common))
         return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cells.groupBy("cell").cogroup(shipped.groupBy("place")).applyInArrow(
-        compare, "a long, b long"
-    )
+    linked = cells.groupBy("cell").cogroup(shipped.groupBy("place"))
+    linked = written(linked.applyInArrow(compare, "a long, b long"), "links")
+    discard(sets, cells)
+    return linked
 
 
 def _cells(pairs: DataFrame) -> DataFrame:
@@ -357,9 +360,10 @@ def _cells(pairs: DataFrame) -> DataFrame:
     other = families.select(F.col("id").alias("b"), F.col("at").alias("j"))
     near = F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j"))
     cell = F.when(F.col("m") == 1, F.pmod(F.xxhash64("component"), F.lit(few))).otherwise(near)
-    return written(
-        pairs.join(one, "a").join(other, "b").select(cell.alias("cell"), "a", "b"), "cells"
-    )
+    cells = pairs.join(one, "a").join(other, "b").select(cell.alias("cell"), "a", "b")
+    cells = written(cells, "cells")
+    discard(families)
+    return cells
 
 
 _CELLS = {"tokens": np.uint64, "keys": np.int64, "ns": np.uint32, "groups": np.int64}
@@ -491,9 +495,11 @@ def links(
     buckets = 4 * max(4, docs.rdd.getNumPartitions())
     frequent = _frequent(docs.select("text"), buckets, hot, most_hot)
     prefixes = written(_prefixes(docs, frequent, buckets, percent), "prefixes")
-    members = prefixes.where("n > 0 AND doc_id IS NOT NULL")
-    classes = members.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    listed = written(_lists(members, buckets), "lists")
+    listed = _lists(prefixes.where("n > 0 AND doc_id IS NOT NULL"), buckets)
+    every = written(prefixes.select("doc_id", "n", "key"), "classes")
+    discard(prefixes)
+    classes = every.where("n > 0 AND doc_id IS NOT NULL")
+    classes = classes.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
     n, m = F.col("n"), F.col("leader_n")
     stars = (
@@ -503,7 +509,7 @@ def links(
         .where(F.col("count") >= _least_shared(percent, n, m))
         .select(F.col("key").alias("a"), F.col("leader").alias("b"))
     )
-    first = written(_linked(written(stars, "stars"), docs, classes, percent), "links")
+    first = _linked(written(stars, "stars"), docs, classes, percent)
     groups = written(components(first), "groups")
 
     own = groups.select(F.col("id").alias("key"), F.col("component").alias("grp"))
@@ -529,8 +535,8 @@ def links(
     pairs = opened.join(inside, "other").where(_fits(percent, n, F.col("m")))
     pairs = pairs.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
     pairs = written(pairs.union(crowded).distinct(), "opened")
-    second = written(_linked(pairs, docs, classes, percent), "links")
-    return prefixes.select("doc_id", "n", "key"), first.union(second)
+    discard(listed, opened, groups)
+    return every, first.union(_linked(pairs, docs, classes, percent))
 
 
 def grouped(documents: DataFrame, **options) -> DataFrame:
