@@ -157,7 +157,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     # The cost grows with the distance asked for, and most pairs are much nearer than allowed.
     near = f"levenshtein(one, other, cast({most} div 16 AS int)) >= 0"
     links = both.where(f"if({near}, true, levenshtein(one, other, {most}) >= 0)").select("a", "b")
-    return written(links, "links")
+    links = written(links, "links")
+    discard(pairs, texts)
+    return links
 
 
 def _near(similarity: float, distance: int) -> Column:
@@ -203,7 +205,8 @@ def repeats(
     first = _verified(stars, lines, similarity)
     own = components(first).toDF("kind", "grp")
     cells = shared.join(own, "kind", "left").withColumn("grp", F.coalesce("grp", "kind"))
-    cells = written(cells, "cells")
+    cells = whole = written(cells, "cells")
+    discard(shared)
     mixed = cells.groupBy("key").agg(F.min("grp").alias("least"), F.max("grp").alias("most"))
     cells = cells.join(mixed.where("least < most").select("key"), "key")
     one = cells.select("key", F.col("kind").alias("a"), "size", "sim", "grp")
@@ -216,6 +219,7 @@ def repeats(
     )
     crossed = one.join(other, (one["key"] == other["key"]) & (F.col("grp") < F.col("far")) & near)
     links = first.union(_verified(crossed.select("a", "b").distinct(), lines, similarity))
+    discard(whole)
 
     groups = components(links).toDF("kind", "grp")
     grouped = firsts.join(groups, "kind", "left")
