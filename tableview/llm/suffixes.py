@@ -327,13 +327,12 @@ def repeats(
     """row (a hash of doc_id and text) and the runs (low, high) of starts of repeated strings, of
     the documents that have any."""
     docs = documents.select(_row().alias("row"), "text")
-    every = written(_segments(docs, length, gram), "segments")
-    again = every.groupBy("anchor").agg(
-        F.count("*").alias("times"), F.min("key").alias("least"), F.max("key").alias("most")
-    )
-    again = again.where("times > 1").select("anchor")
-    found = written(every.join(again, "anchor"), "again")
-    discard(every)
+    every = written(_segments(docs, length, gram), "segments", compression="zstd")
+    again = every.groupBy("anchor").agg(F.count("*").alias("times"))
+    # Written by itself: the shuffle files of the count are gone before those of the join come.
+    again = written(again.where("times > 1").select("anchor"), "anchors")
+    found = written(every.join(again, "anchor"), "again", compression="zstd")
+    discard(every, again)
     kinds = found.groupBy("anchor", "key", "n").agg(
         F.count("*").alias("times"), F.min(F.struct("row", "start")).alias("place")
     )
@@ -357,7 +356,10 @@ def repeats(
     )
     if not crowds.isEmpty():
         runs = runs.union(_counted(docs, crowds, length, gram))
-    return runs.distinct().groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    runs = runs.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+    runs = written(runs, "repeats")
+    discard(found, verdicts, crowds)
+    return runs
 
 
 def spans(runs: list[dict], length: int) -> list[tuple[int, int]]:
@@ -373,7 +375,7 @@ def spans(runs: list[dict], length: int) -> list[tuple[int, int]]:
 
 def removed(documents: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """doc_id, n_bytes, the spans [begin, end) of bytes that go, and the bytes that stay."""
-    found = written(repeats(documents, length, **options), "repeats").withColumnRenamed("row", "r")
+    found = repeats(documents, length, **options).withColumnRenamed("row", "r")
     docs = documents.select("doc_id", _row().alias("row"), "text")
     held = docs.join(found.hint("shuffle_hash"), F.col("row") == F.col("r"), "left")
     held = held.select("doc_id", "text", "runs")
