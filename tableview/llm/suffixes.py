@@ -235,9 +235,11 @@ def _sorted(different: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                     names=["anchor", "key", "n", "segment"],
                 )
 
-    segments = held.mapInArrow(cut, "anchor long, key long, n long, segment binary")
-    segments = written(segments.dropDuplicates(["anchor", "key", "n"]), "segments")
-    discard(pieces)
+    # Written before they are grouped: the shuffle files of the texts are gone by then.
+    cuts = held.mapInArrow(cut, "anchor long, key long, n long, segment binary")
+    cuts = written(cuts, "cuts", compression="zstd")
+    segments = written(cuts.dropDuplicates(["anchor", "key", "n"]), "segments", compression="zstd")
+    discard(pieces, cuts)
     size = segments.agg(F.sum(F.octet_length("segment"))).head()[0] or 0
     buckets = max(1, -(-size // BUCKET))
     segments = segments.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
