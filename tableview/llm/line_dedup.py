@@ -20,6 +20,8 @@ equal so are one kind of line, known by a hash.
 Under each block every kind is compared with one leader first. Then only kinds that are not yet
 connected are compared with each other, so a group of many variants costs as many comparisons as
 it has members. Connection through kinds of other blocks counts; no link between groups is left out.
+Kinds of a block that are not alike are compared in pairs, which grows with the square of a large
+block: the block is dealt to parts of `CELLS_AT_ONCE` kinds, and only links are written.
 
 Null texts stay null. Empty texts have no line to remove. Rows without doc_id come first in the
 order. Rows with the same doc_id and text are one document and are treated alike.
@@ -27,6 +29,9 @@ order. Rows with the same doc_id and text are one document and are treated alike
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,77 +46,109 @@ DISTANCE = 24
 BLOCKS = (2, 3, 4, 5, 6, 8)
 #: Words that a block of each class must have: fewer say too little of a long line.
 BLOCK_WORDS = (1, 1, 1, 2, 3, 3)
-#: Bytes of a line that may have 2 ** 15 different words.
-LONG_LINE = 1 << 16
 #: Kinds sent to all tasks rather than joined by a shuffle.
 MOST_SENT = 500_000
 
+#: Kinds of a block that one task compares with all others of the block.
+CELLS_AT_ONCE = 1000
+
 #: White space other than the blank.
 SPACES = "\t\x0b\x0c\r"
 
 
 def normalised(line: Column) -> Column:
-    plain = F.translate(F.lower(line), "123456789" + SPACES, "0" * 9 + " " * len(SPACES))
-    single = F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " "))
-    return F.trim(single.otherwise(plain))
-
-
-def _counts(words: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """The number of words under the keys, and for each of 64 bits how many hashes `h` have it. The
-    counts are kept in fields of `width` bits, 64 / width of them in a long, and summed by Spark; a
-    key has fewer than 2 ** (width - 1) words."""
-    ones = sum(1 << place for place in range(0, 64, width))
-    sums = [F.expr(f"sum(shiftright(h, {k}) & {ones}L)").alias(f"c{k}") for k in range(width)]
-    return words.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
-
-
-def _sim(width: int) -> Column:
-    """The SimHash of such counts: the bits that more than half of the words have."""
-    most = (1 << width) - 1
-    bits = [
-        f"if(2 * (shiftrightunsigned(c{bit % width}, {bit // width * width}) & {most}L) > n, "
-        f"{1 << bit if bit < 63 else -(1 << 63) + 1}L{' - 1L' if bit == 63 else ''}, 0L)"
-        for bit in range(64)
+    plain = F.regexp_replace(F.lower(line), "[1-9]", "0")
+    return F.trim(F.regexp_replace(plain, f"[ {SPACES}]{{2,}}|[{SPACES}]", " "))
+
+
+def _normalised_texts(docs: DataFrame) -> DataFrame:
+    """The same for all lines of `text` at once, but for the blanks around a line. What is rarely
+    needed is looked for first."""
+    odd = [F.contains("text", F.lit(space)) for space in SPACES]
+    blanks = F.translate("text", SPACES, " " * len(SPACES))
+    single = F.regexp_replace("text", " {2,}", " ")
+    docs = docs.withColumn("text", F.regexp_replace(F.lower("text"), "[1-9]", "0"))
+    docs = docs.withColumn("text", F.when(reduce(or_, odd), blanks).otherwise(F.col("text")))
+    return docs.withColumn("text", F.when(F.contains("text", F.lit("  ")), single).otherwise(F.col("text")))
+
+
+def _ones(width: int, end: int = 64) -> int:
+    return sum(1 << place for place in range(0, end, width))
+
+
+def _counts(hashes: str, width: int) -> str:
+    """For each of 64 bits how many of the hashes have it: an array of longs that hold 64 / width
+    counts each, for fewer than 2 ** (width - 1) hashes."""
+    sums = [
+        f"aggregate({hashes}, 0L, (s, h) -> s + (shiftright(h, {k}) & {_ones(width)}L))" for k in range(width)
     ]
-    return F.expr(" | ".join(f"({bit})" for bit in bits))
+    return f"array({', '.join(sums)})"
 
 
-def with_simhash(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys of the lines with the SimHash of the different blank-separated words of `line`."""
+def _majority(n: str, counts: str, width: int) -> str:
+    """The SimHash of such counts: the bits that more than half of the n hashes have. A count that
+    is larger carries into the highest bit of its field; the last field has no place for that."""
+    last = 64 - width
+    low = _ones(width, last)
+    bits = []
+    for k in range(width):
+        count = f"element_at({counts}, {k + 1})"
+        carried = f"({count} & {(1 << last) - 1}L) + ({(1 << width - 1) - 1}L - {n} div 2) * {low}L"
+        bits.append(f"shiftrightunsigned(({carried}) & {low << width - 1}L, {width - 1 - k})")
+        bits.append(f"if(shiftrightunsigned({count}, {last}) > {n} div 2, shiftleft(1L, {last + k}), 0L)")
+    return f"({' | '.join(bits)})"
 
-    def part(some: DataFrame, width: int) -> DataFrame:
-        word = F.explode(F.array_distinct(F.split("line", " "))).alias("word")
-        words = some.select(*keys, word).select(*keys, F.xxhash64("word").alias("h"))
-        return _counts(words, keys, width).select(*keys, _sim(width).alias("sim"))
 
-    size = F.octet_length("line")
-    usual = part(lines.where(size < LONG_LINE), 16)
-    return usual.union(part(lines.where(size >= LONG_LINE), 32))
+def _counted(hashes: str) -> str:
+    """Counts of any number of hashes: fields of 8 bits for fewer than 128, and so on."""
+    n = f"size({hashes})"
+    usual, many, most = (_counts(hashes, width) for width in (8, 16, 32))
+    return f"if({n} < {1 << 7}, {usual}, if({n} < {1 << 15}, {many}, {most}))"
+
+
+def _sim(n: str, counts: str) -> str:
+    usual, many, most = (_majority(n, counts, width) for width in (8, 16, 32))
+    return f"if({n} < {1 << 7}, {usual}, if({n} < {1 << 15}, {many}, {most}))"
+
+
+#: The hashes of the different blank-separated words of `line`.
+_HASHES = "array_distinct(transform(split(line, ' '), word -> xxhash64(word)))"
+
+
+def with_simhash(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of the lines with the SimHash of the different blank-separated words of `line`."""
+    hashed = lines.select(*keys, F.expr(_HASHES).alias("hashes"))
+    counted = hashed.select(*keys, F.size("hashes").alias("n"), F.expr(_counted("hashes")).alias("counts"))
+    return counted.select(*keys, F.expr(_sim("n", "counts")).alias("sim"))
 
 
 def with_blocks(kinds: DataFrame) -> DataFrame:
     """kind, size, sim (the SimHash of all words) and blocks (a key for each block that has words
     enough) of kinds with their line and classes; sim is null for lines of too many words.
 
-    The kinds are grouped already, and all words of a kind stay where it is.
+    A kind stays one row: its words and blocks are arrays.
     """
     keys = ["kind", "size"]
-    word = F.explode(F.array_distinct(F.split("line", " "))).alias("word")
-    words = kinds.select(*keys, "classes", word).select(*keys, "classes", F.xxhash64("word").alias("h"))
-    words = words.select(*keys, "h", F.posexplode("classes").alias("at", "class"))
-    words = words.withColumn("block", F.pmod(F.shiftrightunsigned("h", 7), _of_class(BLOCKS)))
-    found = _counts(words, [*keys, "at", "class", "block"], 16)
-    own = F.when(F.col("n") >= _of_class(BLOCK_WORDS), F.xxhash64("class", "block", _sim(16)))
-    found = found.withColumn("own", own)
-    # The words of the first class are all words once.
-    whole = F.col("at") == 0
-    sums = [F.sum(F.when(whole, F.col(c))).alias(c) for c in ("n", *[f"c{k}" for k in range(16)])]
-    found = found.groupBy(*keys).agg(*sums, F.collect_list("own").alias("blocks"))
-    return found.select(*keys, F.when(F.col("n") < 1 << 15, _sim(16)).alias("sim"), "blocks")
-
-
-def _of_class(values: tuple[int, ...]) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), F.col("class") + 1)
+    least = f"element_at(array({', '.join(map(str, BLOCK_WORDS))}), class + 1)"
+    deals = []
+    for at, count in enumerate(BLOCKS):
+        own = [f"filter(hashes, h -> pmod(shiftrightunsigned(h, 7), {count}) = {n})" for n in range(count)]
+        deals.append(f"WHEN {at} THEN array({', '.join(own)})")
+    part = "named_struct('class', class, 'block', block, 'own', own)"
+    full = f"filter(transform(CASE class {' '.join(deals)} END, (own, block) -> {part}), p -> size(p.own) >= {least})"
+    parts = f"flatten(transform(classes, class -> {full}))"
+    counted = f"named_struct('class', p.class, 'block', p.block, 'n', size(p.own), 'c', {_counted('p.own')})"
+    found = kinds.select(*keys, "classes", F.expr(_HASHES).alias("hashes"))
+    found = found.withColumn("parts", F.expr(parts))
+    found = found.select(
+        *keys,
+        F.size("hashes").alias("n"),
+        F.expr(f"if(size(hashes) < {1 << 15}, {_counted('hashes')}, null)").alias("counts"),
+        F.expr(f"transform(parts, p -> {counted})").alias("parts"),
+    )
+    block = f"xxhash64(p.class, p.block, {_sim('p.n', 'p.c')})"
+    sim = F.expr(f"if(n < {1 << 15}, {_sim('n', 'counts')}, null)").alias("sim")
+    return found.select(*keys, sim, F.expr(f"transform(parts, p -> {block})").alias("blocks"))
 
 
 def _class(size: Column) -> Column:
@@ -131,9 +168,9 @@ def with_classes(lines: DataFrame, similarity: float) -> DataFrame:
 def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
     """doc, row, pos, line (normalised) and its kind, of the lines long enough."""
     docs = documents.select(F.col("doc_id").alias("doc"), "text")
-    docs = docs.select("doc", _row("doc", "text").alias("row"), F.split("text", "\n").alias("all"))
-    lines = docs.select("doc", "row", F.posexplode("all").alias("pos", "line"))
-    lines = lines.withColumn("line", normalised(F.col("line")))
+    docs = _normalised_texts(docs.select("doc", _row("doc", "text").alias("row"), "text"))
+    lines = docs.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.withColumn("line", F.trim("line"))
     lines = lines.where(F.char_length("line") >= min_chars)
     return lines.withColumn("kind", F.xxhash64("line"))
 
@@ -142,22 +179,67 @@ def _row(doc: str, text: str) -> Column:
     return F.xxhash64(F.col(doc).cast("string"), F.col(text))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of kinds whose lines are near in edit distance."""
-    pairs = written(pairs, "pairs")
-    kinds = pairs.select(F.col("a").alias("kind")).union(pairs.select("b")).distinct()
-    kinds = written(kinds, "kinds")
+def _texts(kinds: DataFrame, lines: DataFrame) -> DataFrame:
+    """(kind, line) of the kinds."""
+    kinds = written(kinds.distinct(), "kinds")
     if kinds.count() <= MOST_SENT:
         kinds = F.broadcast(kinds)
-    texts = lines.select("kind", "line").join(kinds, "kind").dropDuplicates(["kind"])
-    texts = written(texts, "texts")
+    return written(lines.select("kind", "line").join(kinds, "kind").dropDuplicates(["kind"]), "texts")
+
+
+def _trimmed(pairs: DataFrame) -> DataFrame:
+    """The pairs without the words that `x` and `y` begin with in common."""
+    differ = "array_position(zip_with(x, y, (v, w) -> v <=> w), false)"
+    pairs = pairs.withColumn("at", F.expr(f"greatest(cast({differ} AS int), 1)"))
+    cut = [F.expr(f"slice({side}, at, size({side}))").alias(side) for side in ("x", "y")]
+    return pairs.select("a", "b", "most", *cut)
+
+
+def _reversed(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({"x": F.reverse("x"), "y": F.reverse("y")})
+
+
+def _within(one: str, other: str, most: str) -> str:
+    """Whether the edit distance is at most that. The cost grows with the distance asked for, and
+    most pairs are much nearer than allowed."""
+    steps = [f"levenshtein({one}, {other}, cast({most} div {part} AS int)) >= 0" for part in (16, 4, 1)]
+    return f"if({steps[0]}, true, if({steps[1]}, true, {steps[2]}))"
+
+
+def _most(one: str, other: str, similarity: float) -> str:
+    """The edit distance allowed."""
+    longest = f"greatest(char_length({one}), char_length({other}))"
+    return f"cast(floor({longest} * {1 - similarity:.6f}) AS int)"
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of kinds whose lines are near in edit distance.
+
+    Words that both lines begin or end with do not change the distance. Putting the words between
+    in the other's place one by one, or all at once, is one way to edit them: where that is near
+    enough no distance has to be computed.
+    """
+    pairs = written(pairs, "pairs")
+    texts = _texts(pairs.select(F.col("a").alias("kind")).union(pairs.select("b")), lines)
     both = pairs.join(texts.toDF("a", "one"), "a").join(texts.toDF("b", "other"), "b")
-    longest = "greatest(char_length(one), char_length(other))"
-    most = f"cast(floor({longest} * {1 - similarity:.6f}) AS int)"
-    # The cost grows with the distance asked for, and most pairs are much nearer than allowed.
-    near = f"levenshtein(one, other, cast({most} div 16 AS int)) >= 0"
-    links = both.where(f"if({near}, true, levenshtein(one, other, {most}) >= 0)").select("a", "b")
-    links = written(links, "links")
+    both = both.withColumn("most", F.expr(_most("one", "other", similarity)))
+    both = both.select("a", "b", "most", F.split("one", " ").alias("x"), F.split("other", " ").alias("y"))
+    both = _reversed(_trimmed(_reversed(_trimmed(both))))
+    # A word on one side only goes with one blank.
+    size = "coalesce(char_length({0}), -1)".format
+    word = f"if(v <=> w, 0, greatest({size('v')}, {size('w')}) + if(v IS NULL OR w IS NULL, 1, 0))"
+    in_place = f"aggregate(zip_with(x, y, (v, w) -> {word}), 0, (s, d) -> s + d)"
+    both = both.select(
+        *("a", "b", "most"),
+        F.expr(in_place).alias("in_place"),
+        F.expr("size(x) = 0 OR size(y) = 0").alias("gone"),
+        F.array_join("x", " ").alias("one"),
+        F.array_join("y", " ").alias("other"),
+    )
+    at_once = "greatest(char_length(one), char_length(other)) + if(gone, 1, 0)"
+    sure = f"least(in_place, {at_once}) <= most"
+    near = f"if({sure}, true, if(gone, false, {_within('one', 'other', 'most')}))"
+    links = written(both.where(near).select("a", "b"), "links")
     discard(pairs, texts)
     return links
 
@@ -207,18 +289,32 @@ def repeats(
     cells = shared.join(own, "kind", "left").withColumn("grp", F.coalesce("grp", "kind"))
     cells = whole = written(cells, "cells")
     discard(shared)
-    mixed = cells.groupBy("key").agg(F.min("grp").alias("least"), F.max("grp").alias("most"))
-    cells = cells.join(mixed.where("least < most").select("key"), "key")
-    one = cells.select("key", F.col("kind").alias("a"), "size", "sim", "grp")
-    other = cells.select(
+    mixed = cells.groupBy("key").agg(
+        F.min("grp").alias("least"), F.max("grp").alias("most"), F.count("*").alias("n")
+    )
+    mixed = mixed.where("least < most").select("key", F.ceil(F.col("n") / CELLS_AT_ONCE).alias("parts"))
+    cells = held = written(cells.join(mixed, "key"), "mixed")
+    texts = _texts(cells.select("kind"), lines)
+    cells = cells.join(texts, "kind")
+    # The kinds of a large block are dealt to parts, and each part meets all of the block.
+    one = cells.withColumn("part", F.pmod(F.xxhash64("kind"), "parts"))
+    one = one.select("key", "part", F.col("kind").alias("a"), "size", "sim", "grp", "line")
+    other = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    other = other.select(
         "key",
+        "part",
         F.col("kind").alias("b"),
         F.col("size").alias("other_size"),
         F.col("sim").alias("other_sim"),
         F.col("grp").alias("far"),
+        F.col("line").alias("other_line"),
     )
-    crossed = one.join(other, (one["key"] == other["key"]) & (F.col("grp") < F.col("far")) & near)
-    links = first.union(_verified(crossed.select("a", "b").distinct(), lines, similarity))
+    # Hardly any of them are alike: they are verified where they meet and not written first.
+    alike = F.expr(_within("line", "other_line", _most("line", "other_line", similarity)))
+    meets = (one["key"] == other["key"]) & (one["part"] == other["part"]) & (F.col("grp") < F.col("far"))
+    crossed = one.join(other.hint("merge"), meets & near & alike).select("a", "b").distinct()
+    links = first.union(written(crossed, "links"))
+    discard(held, texts)
     discard(whole)
 
     groups = components(links).toDF("kind", "grp")

@@ -153,3 +153,60 @@ def test_simhash_of_long_lines(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], DOCS)
     assert line_dedup.summary(none).count() == line_dedup.deduplicated(none).count() == 0
+
+
+def test_large_blocks_meet_in_parts_and_write_no_pairs_that_are_not_alike(spark, monkeypatch):
+    """Lines that share a frequent word and a few that are alike without sharing their leader."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghiklmnoprstuvw", k=5)) for _ in range(400)]
+    lines = [" ".join(["the", *rng.sample(words, 6)]) for _ in range(120)]
+    lines += [line.replace(line.split(" ")[3], "queen") for line in lines[:30]]
+    docs = [(at, line, len(line), None) for at, line in enumerate(lines)]
+    monkeypatch.setattr(line_dedup, "CELLS_AT_ONCE", 7, raising=False)
+    rows_of = {}
+    keep = line_dedup.written
+
+    def counted(frame, label, *options, **named):
+        found = keep(frame, label, *options, **named)
+        rows_of.setdefault(label, []).append(found.count())
+        return found
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    found = line_dedup.summary(spark.createDataFrame(docs, DOCS)).collect()
+    gone = {row.doc_id: set(row.removed) for row in found if row.removed}
+    assert gone == {doc: at for (doc, _), at in removed(docs).items()} and len(gone) >= 30
+    # Candidates are written against leaders only; crossing them writes what was verified.
+    assert len(rows_of["pairs"]) == 1
+
+
+def test_distances_of_lines_with_words_put_in_left_out_and_replaced(spark):
+    rng = random.Random(6)
+    words = ["a", "bc", "def", "ghij", "klmno", "äöüßx", "qrstuvwxyzqrstuvwxyz"]
+    lines, pairs = [], []
+    for at in range(300):
+        one = rng.choices(words, k=rng.randrange(1, 12))
+        other = list(one)
+        for _ in range(rng.randrange(1, 4)):
+            place = rng.randrange(len(other) + 1)
+            other[place : place + rng.randrange(2)] = rng.choices(words, k=rng.randrange(2))
+        if one != other and other:
+            lines += [(2 * at, " ".join(one)), (2 * at + 1, " ".join(other))]
+            pairs.append((2 * at, 2 * at + 1))
+    text = dict(lines)
+    wanted = {
+        (a, b) for a, b in pairs
+        if distance(text[a], text[b]) <= math.floor(max(len(text[a]), len(text[b])) * 0.2)
+    }
+    near = line_dedup._verified(
+        spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(lines, "kind long, line string"), 0.8
+    )
+    assert {tuple(row) for row in near.collect()} == wanted
+    assert 20 < len(wanted) < len(pairs) - 20
+
+
+def test_normalised_texts_are_normalised_lines(spark):
+    texts = ["A1\t\t b\n  x9  y \r\n\x0b\x0c\n", "1\t2", "", "\n", " Σ\nΑΣ 7\r", "a\u00a0 b", "a  b"]
+    frame = spark.createDataFrame([(at, text, 0, "") for at, text in enumerate(texts)], DOCS)
+    found = sorted(line_dedup._lines(frame, 0).select("doc", "pos", "line").collect())
+    wanted = [(doc, at, normalised(line)) for doc, text in enumerate(texts) for at, line in enumerate(text.split("\n"))]
+    assert [tuple(row) for row in found] == wanted
