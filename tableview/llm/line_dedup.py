@@ -46,9 +46,14 @@ DISTANCE = 24
 BLOCKS = (2, 3, 4, 5, 6, 8)
 #: Words that a block of each class must have: fewer say too little of a long line.
 BLOCK_WORDS = (1, 1, 1, 2, 3, 3)
+#: Different words of a line from which on its blocks are not counted in fields of 16 bits.
+MOST_WORDS = 1 << 15
 #: Kinds sent to all tasks rather than joined by a shuffle.
 MOST_SENT = 500_000
 
+#: Longer lines have most of the grams that `with_grams` tells apart.
+GRAM_CHARS = 400
+
 #: Kinds of a block that one task compares with all others of the block.
 CELLS_AT_ONCE = 1000
 
@@ -85,14 +90,13 @@ def _counts(hashes: str, width: int) -> str:
     return f"array({', '.join(sums)})"
 
 
-def _majority(n: str, counts: str, width: int) -> str:
+def _majority(n: str, counts: list[str], width: int) -> str:
     """The SimHash of such counts: the bits that more than half of the n hashes have. A count that
     is larger carries into the highest bit of its field; the last field has no place for that."""
     last = 64 - width
     low = _ones(width, last)
     bits = []
-    for k in range(width):
-        count = f"element_at({counts}, {k + 1})"
+    for k, count in enumerate(counts):
         carried = f"({count} & {(1 << last) - 1}L) + ({(1 << width - 1) - 1}L - {n} div 2) * {low}L"
         bits.append(f"shiftrightunsigned(({carried}) & {low << width - 1}L, {width - 1 - k})")
         bits.append(f"if(shiftrightunsigned({count}, {last}) > {n} div 2, shiftleft(1L, {last + k}), 0L)")
@@ -107,7 +111,9 @@ def _counted(hashes: str) -> str:
 
 
 def _sim(n: str, counts: str) -> str:
-    usual, many, most = (_majority(n, counts, width) for width in (8, 16, 32))
+    usual, many, most = (
+        _majority(n, [f"element_at({counts}, {k + 1})" for k in range(width)], width) for width in (8, 16, 32)
+    )
     return f"if({n} < {1 << 7}, {usual}, if({n} < {1 << 15}, {many}, {most}))"
 
 
@@ -115,40 +121,59 @@ def _sim(n: str, counts: str) -> str:
 _HASHES = "array_distinct(transform(split(line, ' '), word -> xxhash64(word)))"
 
 
-def with_simhash(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys of the lines with the SimHash of the different blank-separated words of `line`."""
+def _sims(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of the lines, `n`, the number of their different words, and their SimHash."""
     hashed = lines.select(*keys, F.expr(_HASHES).alias("hashes"))
     counted = hashed.select(*keys, F.size("hashes").alias("n"), F.expr(_counted("hashes")).alias("counts"))
-    return counted.select(*keys, F.expr(_sim("n", "counts")).alias("sim"))
+    return counted.select(*keys, "n", F.expr(_sim("n", "counts")).alias("sim"))
+
+
+def with_simhash(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of the lines with the SimHash of the different blank-separated words of `line`."""
+    return _sims(lines, keys).drop("n")
+
+
+def _at(values: tuple[int, ...]) -> str:
+    """The value of the class, null for none."""
+    return f"get(array({', '.join(map(str, values))}), class)"
+
+
+def _key(sim: str) -> Column:
+    return F.expr(f"xxhash64(class, block, {sim})").alias("key")
 
 
 def with_blocks(kinds: DataFrame) -> DataFrame:
-    """kind, size, sim (the SimHash of all words) and blocks (a key for each block that has words
-    enough) of kinds with their line and classes; sim is null for lines of too many words.
+    """(key, kind) for each block that has words enough, of kinds with their line and classes.
 
-    A kind stays one row: its words and blocks are arrays.
+    The kinds have one row each and lie by kind already: their words are counted where they are.
+    A kind of more words than the counts hold has one row without a key, for `with_long_blocks`.
     """
-    keys = ["kind", "size"]
-    least = f"element_at(array({', '.join(map(str, BLOCK_WORDS))}), class + 1)"
-    deals = []
-    for at, count in enumerate(BLOCKS):
-        own = [f"filter(hashes, h -> pmod(shiftrightunsigned(h, 7), {count}) = {n})" for n in range(count)]
-        deals.append(f"WHEN {at} THEN array({', '.join(own)})")
-    part = "named_struct('class', class, 'block', block, 'own', own)"
-    full = f"filter(transform(CASE class {' '.join(deals)} END, (own, block) -> {part}), p -> size(p.own) >= {least})"
-    parts = f"flatten(transform(classes, class -> {full}))"
-    counted = f"named_struct('class', p.class, 'block', p.block, 'n', size(p.own), 'c', {_counted('p.own')})"
-    found = kinds.select(*keys, "classes", F.expr(_HASHES).alias("hashes"))
-    found = found.withColumn("parts", F.expr(parts))
-    found = found.select(
-        *keys,
-        F.size("hashes").alias("n"),
-        F.expr(f"if(size(hashes) < {1 << 15}, {_counted('hashes')}, null)").alias("counts"),
-        F.expr(f"transform(parts, p -> {counted})").alias("parts"),
+    words = kinds.select("kind", "classes", F.expr(_HASHES).alias("hashes"))
+    fits = F.size("hashes") < MOST_WORDS
+    words = words.select(
+        "kind",
+        F.explode(F.when(fits, F.col("classes")).otherwise(F.array(F.lit(-1)))).alias("class"),
+        F.when(fits, F.col("hashes")).otherwise(F.array(F.lit(0).cast("long"))).alias("hashes"),
     )
-    block = f"xxhash64(p.class, p.block, {_sim('p.n', 'p.c')})"
-    sim = F.expr(f"if(n < {1 << 15}, {_sim('n', 'counts')}, null)").alias("sim")
-    return found.select(*keys, sim, F.expr(f"transform(parts, p -> {block})").alias("blocks"))
+    words = words.select("kind", "class", F.explode("hashes").alias("h"))
+    block = f"cast(pmod(shiftrightunsigned(h, 7), {_at(BLOCKS)}) AS int)"
+    words = words.select("kind", "class", F.expr(block).alias("block"), "h")
+    sums = [F.expr(f"sum(shiftright(h, {k}) & {_ones(16)}L)").alias(f"c{k}") for k in range(16)]
+    counted = words.groupBy("kind", "class", "block").agg(F.count("*").alias("n"), *sums)
+    counted = counted.where(f"class < 0 OR n >= {_at(BLOCK_WORDS)}")
+    key = _key(_majority("n", [f"c{k}" for k in range(16)], 16))
+    return counted.select(F.when(F.col("class") >= 0, key).alias("key"), "kind")
+
+
+def with_long_blocks(kinds: DataFrame) -> DataFrame:
+    """The same for kinds of any number of words, one by one."""
+    dealt = kinds.select("kind", F.explode("classes").alias("class"), F.expr(_HASHES).alias("hashes"))
+    dealt = dealt.select("*", F.expr(f"explode(sequence(0, {_at(BLOCKS)} - 1))").alias("block"))
+    own = f"filter(hashes, h -> pmod(shiftrightunsigned(h, 7), {_at(BLOCKS)}) = block)"
+    dealt = dealt.select("kind", "class", "block", F.expr(own).alias("own"))
+    dealt = dealt.where(f"size(own) >= {_at(BLOCK_WORDS)}")
+    dealt = dealt.select("*", F.size("own").alias("n"), F.expr(_counted("own")).alias("counts"))
+    return dealt.select(_key(_sim("n", "counts")), "kind")
 
 
 def _class(size: Column) -> Column:
@@ -199,16 +224,55 @@ def _reversed(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"x": F.reverse("x"), "y": F.reverse("y")})
 
 
-def _within(one: str, other: str, most: str) -> str:
-    """Whether the edit distance is at most that. The cost grows with the distance asked for, and
-    most pairs are much nearer than allowed."""
-    steps = [f"levenshtein({one}, {other}, cast({most} div {part} AS int)) >= 0" for part in (16, 4, 1)]
-    return f"if({steps[0]}, true, if({steps[1]}, true, {steps[2]}))"
+def _size(word: str) -> str:
+    return f"char_length({word})"
+
+
+def _aligned(x: str, y: str) -> str:
+    """What it costs to make the words x the words y in the order they come: an edit distance or
+    more. `j` is the place in y; a word left out or put in goes with one blank."""
+    v, v1 = f"get({x}, i)", f"get({x}, i + 1)"
+    w, w1, w2 = f"get({y}, s.j)", f"get({y}, s.j + 1)", f"get({y}, s.j + 2)"
+    longest = f"greatest({_size(v)}, {_size(w)})"
+    replaced = f"if({longest} <= 32, levenshtein({v}, {w}), {longest})"
+    state = "named_struct('j', s.j + {}, 'cost', s.cost + {})".format
+    steps = f"""CASE
+        WHEN s.j >= size({y}) THEN {state(0, f"{_size(v)} + 1")}
+        WHEN {v} <=> {w} THEN {state(1, 0)}
+        WHEN {v1} = {w1} THEN {state(1, replaced)}
+        WHEN {v} = {w1} THEN {state(2, f"{_size(w)} + 1")}
+        WHEN {v1} = {w} THEN {state(0, f"{_size(v)} + 1")}
+        WHEN {v} = {w2} THEN {state(3, f"{_size(w)} + {_size(w1)} + 2")}
+        WHEN get({x}, i + 2) = {w} THEN {state(0, f"{_size(v)} + 1")}
+        ELSE {state(1, replaced)} END"""
+    rest = f"aggregate(slice({y}, s.j + 1, size({y})), s.cost, (cost, w) -> cost + char_length(w) + 1)"
+    start = "named_struct('j', 0, 'cost', 0)"
+    return f"aggregate(transform({x}, (v, i) -> i), {start}, (s, i) -> {steps}, s -> {rest})"
+
+
+def with_grams(lines: DataFrame) -> DataFrame:
+    """(kind, grams) of the lines of at most `GRAM_CHARS` characters: which of 512 hashes its runs
+    of three characters have, as eight longs. An edit changes three runs at the most, so two lines
+    differ by at least a third of the bits that one has and the other has not."""
+    runs = lines.where((F.col("size") <= GRAM_CHARS) & (F.col("size") >= 3))
+    runs = runs.select("kind", "line", F.expr("explode(sequence(1, size - 2))").alias("at"))
+    runs = runs.select("kind", F.expr("xxhash64(substring(line, at, 3))").alias("h"))
+    longs = [
+        F.expr(f"bit_or(if(shiftright(h, 6) & 7 = {k}, shiftleft(1L, cast(h & 63 AS int)), 0L))") for k in range(8)
+    ]
+    found = runs.groupBy("kind").agg(*[long.alias(f"g{k}") for k, long in enumerate(longs)])
+    return found.select("kind", F.array(*[f"g{k}" for k in range(8)]).alias("grams"))
+
+
+def _far(most: str) -> str:
+    """Whether the grams say that lines are more than that apart; null if one has none."""
+    differ = "aggregate(zip_with({}, {}, (g, h) -> bit_count(g & ~h)), 0, (s, n) -> s + n) > 3 * {}".format
+    return f"({differ('grams', 'other_grams', most)} OR {differ('other_grams', 'grams', most)})"
 
 
 def _most(one: str, other: str, similarity: float) -> str:
-    """The edit distance allowed."""
-    longest = f"greatest(char_length({one}), char_length({other}))"
+    """The edit distance allowed to lines of such sizes."""
+    longest = f"greatest({one}, {other})"
     return f"cast(floor({longest} * {1 - similarity:.6f}) AS int)"
 
 
@@ -222,23 +286,22 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     pairs = written(pairs, "pairs")
     texts = _texts(pairs.select(F.col("a").alias("kind")).union(pairs.select("b")), lines)
     both = pairs.join(texts.toDF("a", "one"), "a").join(texts.toDF("b", "other"), "b")
-    both = both.withColumn("most", F.expr(_most("one", "other", similarity)))
+    both = both.withColumn("most", F.expr(_most("char_length(one)", "char_length(other)", similarity)))
     both = both.select("a", "b", "most", F.split("one", " ").alias("x"), F.split("other", " ").alias("y"))
     both = _reversed(_trimmed(_reversed(_trimmed(both))))
     # A word on one side only goes with one blank.
     size = "coalesce(char_length({0}), -1)".format
     word = f"if(v <=> w, 0, greatest({size('v')}, {size('w')}) + if(v IS NULL OR w IS NULL, 1, 0))"
-    in_place = f"aggregate(zip_with(x, y, (v, w) -> {word}), 0, (s, d) -> s + d)"
-    both = both.select(
-        *("a", "b", "most"),
-        F.expr(in_place).alias("in_place"),
-        F.expr("size(x) = 0 OR size(y) = 0").alias("gone"),
-        F.array_join("x", " ").alias("one"),
-        F.array_join("y", " ").alias("other"),
-    )
-    at_once = "greatest(char_length(one), char_length(other)) + if(gone, 1, 0)"
-    sure = f"least(in_place, {at_once}) <= most"
-    near = f"if({sure}, true, if(gone, false, {_within('one', 'other', 'most')}))"
+    in_place = f"aggregate(zip_with(p.x, p.y, (v, w) -> {word}), 0, (s, d) -> s + d)"
+    one, other = "array_join(p.x, ' ')", "array_join(p.y, ' ')"
+    gone = "size(p.x) = 0 OR size(p.y) = 0"
+    at_once = f"greatest(char_length({one}), char_length({other})) + if({gone}, 1, 0)"
+    steps = [f"{in_place} <= p.most", f"{at_once} <= p.most", f"NOT ({gone}) AND {_aligned('p.x', 'p.y')} <= p.most"]
+    near = f"if({gone}, false, levenshtein({one}, {other}, p.most) >= 0)"
+    for step in reversed(steps):
+        near = f"if({step}, true, {near})"
+    # As the variable of a function the words are made once, wherever the filter is moved to.
+    near = f"exists(array(named_struct('x', x, 'y', y, 'most', most)), p -> {near})"
     links = written(both.where(near).select("a", "b"), "links")
     discard(pairs, texts)
     return links
@@ -266,27 +329,35 @@ def repeats(
     firsts = placed.groupBy("kind").agg(F.min(F.struct("doc", "row", "pos")).alias("first"))
     kinds = lines.groupBy("kind").agg(F.any_value("line").alias("line"))
     sketched = written(with_blocks(with_classes(kinds, similarity)), "kinds")
-
-    # Most blocks occur once; 40 bits of a key tell most of them from those that do not.
-    keyed = sketched.select(F.explode("blocks").alias("key"), "kind", "size", "sim")
-    keyed = keyed.withColumn("short", F.shiftrightunsigned("key", 24))
-    again = keyed.groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short")
-    shared = written(keyed.join(again, "short").drop("short"), "shared")
+    keyed = sketched.where("key IS NOT NULL")
+    long = sketched.where("key IS NULL").select("kind")
+    if not long.isEmpty():
+        kinds = lines.select("kind", "line").join(long, "kind").dropDuplicates(["kind"])
+        keyed = keyed.union(with_long_blocks(with_classes(kinds, similarity)))
+
+    # Most blocks occur once. What is left of them takes one exchange: the counts are made and met
+    # where the blocks of a key lie.
+    keyed = keyed.repartition("key")
+    again = keyed.groupBy("key").agg(F.min("kind").alias("lead"), F.count("*").alias("n"))
+    again = again.where("n > 1").select("key", "lead")
+    shared = written(keyed.join(again.hint("shuffle_hash"), "key"), "shared")
     discard(sketched)
-    lead = shared.groupBy("key").agg(F.min(F.struct("kind", "size", "sim")).alias("lead"))
-    lead = lead.select(
-        "key",
-        F.col("lead.kind").alias("lead"),
-        F.col("lead.size").alias("other_size"),
-        F.col("lead.sim").alias("other_sim"),
-    )
+
+    # Only the kinds that meet others are read again.
+    texts = _texts(shared.select("kind"), lines)
+    sims = _sims(texts.withColumn("size", F.char_length("line")), ["kind", "size", "line"])
+    sims = sims.withColumn("sim", F.when(F.col("n") < 1 << 15, F.col("sim"))).drop("n")
+    texts, given = written(sims, "sims"), texts
+    discard(given)
+    small = texts.select("kind", "size", "sim")
 
     near = _near(similarity, distance)
-    stars = shared.join(lead, "key").where("kind <> lead").where(near)
-    stars = stars.select(F.col("kind").alias("a"), F.col("lead").alias("b")).distinct()
-    first = _verified(stars, lines, similarity)
+    stars = shared.where("kind <> lead").select("kind", "lead").distinct()
+    stars = stars.join(small, "kind").join(small.toDF("lead", "other_size", "other_sim"), "lead").where(near)
+    stars = stars.select(F.col("kind").alias("a"), F.col("lead").alias("b"))
+    first = _verified(stars, texts, similarity)
     own = components(first).toDF("kind", "grp")
-    cells = shared.join(own, "kind", "left").withColumn("grp", F.coalesce("grp", "kind"))
+    cells = shared.drop("lead").join(own, "kind", "left").withColumn("grp", F.coalesce("grp", "kind"))
     cells = whole = written(cells, "cells")
     discard(shared)
     mixed = cells.groupBy("key").agg(
@@ -294,11 +365,11 @@ def repeats(
     )
     mixed = mixed.where("least < most").select("key", F.ceil(F.col("n") / CELLS_AT_ONCE).alias("parts"))
     cells = held = written(cells.join(mixed, "key"), "mixed")
-    texts = _texts(cells.select("kind"), lines)
-    cells = cells.join(texts, "kind")
+    grams = with_grams(texts.join(cells.select("kind").distinct(), "kind", "left_semi"))
+    cells = cells.join(texts, "kind").join(grams, "kind", "left")
     # The kinds of a large block are dealt to parts, and each part meets all of the block.
     one = cells.withColumn("part", F.pmod(F.xxhash64("kind"), "parts"))
-    one = one.select("key", "part", F.col("kind").alias("a"), "size", "sim", "grp", "line")
+    one = one.select("key", "part", F.col("kind").alias("a"), "size", "sim", "grp", "line", "grams")
     other = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     other = other.select(
         "key",
@@ -308,9 +379,11 @@ def repeats(
         F.col("sim").alias("other_sim"),
         F.col("grp").alias("far"),
         F.col("line").alias("other_line"),
+        F.col("grams").alias("other_grams"),
     )
     # Hardly any of them are alike: they are verified where they meet and not written first.
-    alike = F.expr(_within("line", "other_line", _most("line", "other_line", similarity)))
+    most = _most("size", "other_size", similarity)
+    alike = F.expr(f"if(coalesce({_far(most)}, false), false, levenshtein(line, other_line, {most}) >= 0)")
     meets = (one["key"] == other["key"]) & (one["part"] == other["part"]) & (F.col("grp") < F.col("far"))
     crossed = one.join(other.hint("merge"), meets & near & alike).select("a", "b").distinct()
     links = first.union(written(crossed, "links"))

@@ -210,3 +210,66 @@ def test_normalised_texts_are_normalised_lines(spark):
     found = sorted(line_dedup._lines(frame, 0).select("doc", "pos", "line").collect())
     wanted = [(doc, at, normalised(line)) for doc, text in enumerate(texts) for at, line in enumerate(text.split("\n"))]
     assert [tuple(row) for row in found] == wanted
+
+
+def test_words_of_a_kind_are_counted_once_for_all_its_blocks(spark, monkeypatch):
+    """No function runs over the words of a line for every block and field of a count."""
+    rng = random.Random(8)
+    lines = [" ".join(f"w{rng.randrange(900)}" for _ in range(n)) for n in (2, 3, 5, 9, 17, 40, 90, 200, 600, 1500)]
+    kinds = spark.createDataFrame(list(enumerate(lines)), "kind long, line string")
+    for least in (line_dedup.MOST_WORDS, 60):
+        monkeypatch.setattr(line_dedup, "MOST_WORDS", least)
+        frame = line_dedup.with_blocks(line_dedup.with_classes(kinds, 0.8))
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" in plan and plan.count("lambdafunction") < 8
+        found = [tuple(row) for row in frame.collect()]
+        long = {kind for key, kind in found if key is None}
+        assert long == {at for at, line in enumerate(lines) if len(set(line.split(" "))) >= least}
+        alone = line_dedup.with_classes(kinds, 0.8)
+        one_by_one = {tuple(row) for row in line_dedup.with_long_blocks(alone).collect()}
+        assert {row for row in found if row[0] is not None} == {row for row in one_by_one if row[1] not in long}
+        assert len(one_by_one) == sum(len(blocks(line)) for line in lines)
+
+
+def test_long_lines_are_as_in_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MOST_WORDS", 20)
+    docs = cases()
+    gone = removed(docs)
+    found = line_dedup.summary(spark.createDataFrame(docs, DOCS)).collect()
+    wanted = [sorted(gone.get((doc, text), ())) for doc, text, *_ in docs]
+    assert sorted(row.removed for row in found) == sorted(wanted)
+
+
+def test_lines_with_words_put_in_and_left_out_cost_no_distance(spark):
+    """Words on both sides of a long line part, so that no word is in the other's place."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghiklmnoprstuvw", k=6)) for _ in range(500)]
+    one = rng.choices(words, k=300)
+    other = one[:20] + ["putin"] + one[20:150] + one[151:250] + ["more", "words"] + one[250:280] + ["x"] + one[281:]
+    arrays = [(one, other), (other, one), (one, one), ([], one[:3]), (one[:3], []), (one[:2], one[5:9])]
+    frame = spark.createDataFrame(arrays, "x array<string>, y array<string>")
+    found = [row[0] for row in frame.selectExpr(line_dedup._aligned("x", "y")).collect()]
+    # Lines that end in a blank each: a word goes with its own.
+    true = [distance("".join(w + " " for w in x), "".join(w + " " for w in y)) for x, y in arrays]
+    assert all(cost >= least for cost, least in zip(found, true))
+    assert found[:5] == [6 + 7 + 5 + 6 + 6, 6 + 7 + 5 + 6 + 6, 0, 21, 21]
+
+
+def test_grams_part_no_lines_that_are_near(spark):
+    rng = random.Random(12)
+    lines = []
+    for _ in range(120):
+        line = rng.choices("abcdeé ", k=rng.randrange(3, 120))
+        other = list(line)
+        for _ in range(rng.randrange(1, 2 + len(line) // 3)):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.randrange(2)] = rng.choices("abcdeé ", k=rng.randrange(3))
+        lines += ["".join(line), "".join(other)]
+    rows = [(at, len(line), line) for at, line in enumerate(lines)]
+    grams = line_dedup.with_grams(spark.createDataFrame(rows, "kind long, size int, line string"))
+    first = grams.where("kind % 2 = 0").selectExpr("kind", "grams")
+    pairs = first.join(grams.selectExpr("kind - 1 AS kind", "grams AS other_grams"), "kind")
+    apart = {at: distance(lines[at], lines[at + 1]) for at in range(0, len(lines), 2)}
+    limits = spark.createDataFrame(list(apart.items()), "kind long, least int")
+    checked = pairs.join(limits, "kind").selectExpr(line_dedup._far("least"), line_dedup._far("(least div 5)")).collect()
+    assert len(checked) > 80 and not any(row[0] for row in checked) and sum(row[1] for row in checked) > 40
