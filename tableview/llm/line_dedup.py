@@ -51,9 +51,6 @@ MOST_WORDS = 1 << 15
 #: Kinds sent to all tasks rather than joined by a shuffle.
 MOST_SENT = 500_000
 
-#: Longer lines have most of the grams that `with_grams` tells apart.
-GRAM_CHARS = 400
-
 #: Kinds of a block that one task compares with all others of the block.
 CELLS_AT_ONCE = 1000
 
@@ -250,26 +247,6 @@ def _aligned(x: str, y: str) -> str:
     return f"aggregate(transform({x}, (v, i) -> i), {start}, (s, i) -> {steps}, s -> {rest})"
 
 
-def with_grams(lines: DataFrame) -> DataFrame:
-    """(kind, grams) of the lines of at most `GRAM_CHARS` characters: which of 512 hashes its runs
-    of three characters have, as eight longs. An edit changes three runs at the most, so two lines
-    differ by at least a third of the bits that one has and the other has not."""
-    runs = lines.where((F.col("size") <= GRAM_CHARS) & (F.col("size") >= 3))
-    runs = runs.select("kind", "line", F.expr("explode(sequence(1, size - 2))").alias("at"))
-    runs = runs.select("kind", F.expr("xxhash64(substring(line, at, 3))").alias("h"))
-    longs = [
-        F.expr(f"bit_or(if(shiftright(h, 6) & 7 = {k}, shiftleft(1L, cast(h & 63 AS int)), 0L))") for k in range(8)
-    ]
-    found = runs.groupBy("kind").agg(*[long.alias(f"g{k}") for k, long in enumerate(longs)])
-    return found.select("kind", F.array(*[f"g{k}" for k in range(8)]).alias("grams"))
-
-
-def _far(most: str) -> str:
-    """Whether the grams say that lines are more than that apart; null if one has none."""
-    differ = "aggregate(zip_with({}, {}, (g, h) -> bit_count(g & ~h)), 0, (s, n) -> s + n) > 3 * {}".format
-    return f"({differ('grams', 'other_grams', most)} OR {differ('other_grams', 'grams', most)})"
-
-
 def _most(one: str, other: str, similarity: float) -> str:
     """The edit distance allowed to lines of such sizes."""
     longest = f"greatest({one}, {other})"
@@ -281,7 +258,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
 
     Words that both lines begin or end with do not change the distance. Putting the words between
     in the other's place one by one, or all at once, is one way to edit them: where that is near
-    enough no distance has to be computed.
+    enough no distance has to be computed. Nor where it is near enough to follow the words of both
+    and to leave out or put in those that the other line has a word or two further on.
     """
     pairs = written(pairs, "pairs")
     texts = _texts(pairs.select(F.col("a").alias("kind")).union(pairs.select("b")), lines)
@@ -365,11 +343,10 @@ def repeats(
     )
     mixed = mixed.where("least < most").select("key", F.ceil(F.col("n") / CELLS_AT_ONCE).alias("parts"))
     cells = held = written(cells.join(mixed, "key"), "mixed")
-    grams = with_grams(texts.join(cells.select("kind").distinct(), "kind", "left_semi"))
-    cells = cells.join(texts, "kind").join(grams, "kind", "left")
+    cells = cells.join(texts, "kind")
     # The kinds of a large block are dealt to parts, and each part meets all of the block.
     one = cells.withColumn("part", F.pmod(F.xxhash64("kind"), "parts"))
-    one = one.select("key", "part", F.col("kind").alias("a"), "size", "sim", "grp", "line", "grams")
+    one = one.select("key", "part", F.col("kind").alias("a"), "size", "sim", "grp", "line")
     other = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     other = other.select(
         "key",
@@ -379,11 +356,10 @@ def repeats(
         F.col("sim").alias("other_sim"),
         F.col("grp").alias("far"),
         F.col("line").alias("other_line"),
-        F.col("grams").alias("other_grams"),
     )
     # Hardly any of them are alike: they are verified where they meet and not written first.
     most = _most("size", "other_size", similarity)
-    alike = F.expr(f"if(coalesce({_far(most)}, false), false, levenshtein(line, other_line, {most}) >= 0)")
+    alike = F.expr(f"levenshtein(line, other_line, {most}) >= 0")
     meets = (one["key"] == other["key"]) & (one["part"] == other["part"]) & (F.col("grp") < F.col("far"))
     crossed = one.join(other.hint("merge"), meets & near & alike).select("a", "b").distinct()
     links = first.union(written(crossed, "links"))
